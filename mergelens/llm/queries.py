@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergelens.llm import simhash
+from mergelens.llm import simhash, substring, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_suffix": suffix.op3_suffix,
+    "op5_substring": substring.op5_substring,
 }
 
 ORACLES: dict[str, str] = {}
