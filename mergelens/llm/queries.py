@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergelens.llm import pieces, simhash, substring, suffix
+from mergelens.llm import pieces, quality, simhash, substring, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
     "op3_suffix": suffix.op3_suffix,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_substring": substring.op5_substring,
+    "op6_quality": quality.op6_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality": quality.ORACLE,
+}
