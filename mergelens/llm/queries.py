@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergelens.llm import pieces, quality, simhash, substring, suffix
+from mergelens.llm import pieces, quality, shards, simhash, substring, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shards": shards.op1_shards,
     "op2_simhash": simhash.op2_simhash,
     "op3_suffix": suffix.op3_suffix,
     "op4_sentencepiece": pieces.op4_sentencepiece,
