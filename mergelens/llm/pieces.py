@@ -324,13 +324,15 @@ def tokenize(docs: DataFrame, model_path: str, with_ids: bool = False, with_text
                     digests.append(hashlib.sha256(packed).hexdigest())
                     decoded.append(hashlib.sha256(back.encode()).hexdigest())
                     if with_ids:
-                        all_ids.append(ids)
+                        all_ids.append(packed)
                     if with_text:
                         out.append(back)
             cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols, names = [*cols, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(all_ids), "<u4").astype(np.int32))
+                cols, names = [*cols, pa.ListArray.from_arrays(pa.array(ends), values)], [*names, "ids"]
             if with_text:
                 cols, names = [*cols, pa.array(out, pa.string())], [*names, "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergelens.llm import pieces, quality, shards, simhash, substring, suffix, urls
+from mergelens.llm import pieces, quality, shards, simhash, substring, suffix, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": shards.op1_shards,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring": substring.op5_substring,
     "op6_quality": quality.op6_quality,
     "op9_urls": urls.op9_urls,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
