@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergelens.llm import pieces, quality, shards, simhash, substring, suffix, toxicity, urls
+from mergelens.llm import decontaminate, pieces, quality, shards, simhash, substring, suffix, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": shards.op1_shards,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_substring": substring.op5_substring,
     "op6_quality": quality.op6_quality,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op9_urls": urls.op9_urls,
     "op10_toxicity": toxicity.op10_toxicity,
 }
