@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergelens.llm import decontaminate, pieces, quality, shards, simhash, substring, suffix, toxicity, urls
+from mergelens.llm import decontaminate, licenses, pieces, quality, shards, simhash, substring, suffix, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": shards.op1_shards,
@@ -16,10 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring": substring.op5_substring,
     "op6_quality": quality.op6_quality,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_licenses": licenses.op8_licenses,
     "op9_urls": urls.op9_urls,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op6_quality": quality.ORACLE,
+    "op8_licenses": licenses.ORACLE,
 }
