@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where a null doc_id stands in the order of documents: before every other.
@@ -29,8 +29,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and the key of a document: ``dk`` (its id, a null id as the smallest) with ``th`` (a hash of its text).
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, text, ``more`` and the key of a document: ``dk`` (its id, a null id as the smallest) with ``th`` (a hash of its text).
 
     Rows that repeat both id and text are one document; rows that share an id but not a text are several.
     """
@@ -39,4 +39,5 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("dk"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
+        *[v.alias(k) for k, v in (more or {}).items()],
     )

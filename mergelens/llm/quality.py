@@ -59,7 +59,9 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": F.coalesce(F.size("__hit"), F.lit(0)).cast("long"),
     }
-    return df.select(*[c for c in names if c not in made], *[v.alias(k) for k, v in made.items()])
+    # A generator of one row: a filter on what it makes is not pushed below it, where it would copy the expressions above
+    # into each other and evaluate arrays for each of their elements.
+    return df.select(*[c for c in names if c not in made], F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
 
 
 def default_rules(text_col: str = "text") -> list[Rule]:

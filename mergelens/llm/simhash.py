@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from mergelens.llm._store import materialise
+from mergelens.llm._store import NO_ID, keyed, materialise
 from mergelens.llm.components import components
 
 BLOCK = 1 << 16  # shingles hashed at once
@@ -36,7 +37,7 @@ def _fingerprint(text: str | None, n: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): the 64-bit SimHash of the word ``n``-shingles of each whole text, repeats included.
+    """(doc_id, th, fp long), th a hash of the text: the 64-bit SimHash of the word ``n``-shingles of each whole text, repeats included.
 
     Null and blank texts have fingerprint zero; a text of fewer than ``n`` words is one shingle.
     """
@@ -44,9 +45,9 @@ def fingerprints(docs: DataFrame, n: int = 4, seed: int = 42, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([_fingerprint(t.as_py(), n, seed) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fps)], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs, id_col, text_col).select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -155,7 +156,7 @@ def links(fps: DataFrame, distance: int = 4, cell_cap: int = 2048) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of ``distance`` bits or fewer.
+    """(doc_id, th, fp, component_id, group): group names the component by a fingerprint, component_id is the smallest doc_id reachable over links of ``distance`` bits or fewer.
 
     Equal texts share a fingerprint, which is compared once however many documents have it. Null doc_ids are never the
     smallest unless a component has no other. Repeated rows come back as often as they stand in ``docs``; an empty table
@@ -167,8 +168,19 @@ def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, distance: int =
     group = F.coalesce("component", "fp")
     joined = one.join(found, one.fp == found.node, "left").select("fp", "first", group.alias("group"))
     least = joined.groupBy("group").agg(F.min("first").alias("component_id"))
-    named = joined.join(least, "group").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = joined.join(least, "group").select("fp", "component_id", "group")
+    return marked.join(named, "fp").select("doc_id", "th", "fp", "component_id", "group")
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which one document of each group in ``found`` (see ``near_duplicates``) is left: the one of
+    smallest id, and of smallest text hash among several texts of that id; a null id only where there is no other. Of
+    rows that repeat id and text one stays."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("dk"), "th")
+    firsts = found.groupBy("group").agg(F.min(rank).alias("x")).select("x.dk", "x.th")
+    rows = keyed(docs, id_col, text_col, {"row": F.struct("*")}).select("dk", "th", "row").join(firsts, ["dk", "th"])
+    nth = F.row_number().over(W.partitionBy("dk", "th").orderBy(F.xxhash64("row")))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

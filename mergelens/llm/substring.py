@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mergelens.llm import _repeats as R
 from mergelens.llm._rolling import BYTE_WORDS, grams, prefix, runs, sliding_argmin
@@ -154,7 +155,9 @@ def _finish(width: int, with_text: bool):
                     texts.append(_without(text, gone) if gone else text)
             cols = [R.doc_id(b.column("dk")), b.column("th"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             names = ["doc_id", "th", "n_words", "n_removed", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array([x.decode() for x in texts], pa.string())] if with_text else []), names + ["text"] * with_text)
+            if with_text:
+                cols, names = [*cols, pa.array([x.decode() for x in texts], pa.string()), b.column("row")], [*names, "text", "row"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -171,7 +174,8 @@ def _without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def substring_dedup(docs: DataFrame, width: int = 20, m: int = 5, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th, n_words, n_removed, kept_sha256 and, if asked for, the kept text of every row of ``docs``.
+    """doc_id, th, n_words, n_removed, kept_sha256 of every row of ``docs`` and, if asked for, the kept text and a struct
+    ``row`` of the columns besides the text.
 
     Removes each word covered by a window of ``width`` words whose sequence also starts earlier: in a document of smaller
     doc_id, or earlier in the same one. Windows are judged on the input. Words are runs of bytes other than ASCII white
@@ -179,10 +183,12 @@ def substring_dedup(docs: DataFrame, width: int = 20, m: int = 5, with_text: boo
     ordered by a hash of the text; rows that repeat both are one document and all get its result. An empty table gives an
     empty one, a text of fewer words than a window stays whole.
     """
-    docs = R.keyed(docs, id_col, text_col)
+    more = {"row": F.struct(*[c for c in docs.columns if c != text_col])} if with_text else {}
+    docs = R.keyed(docs, id_col, text_col, more)
     rows = docs.selectExpr("dk", "th", "cast(text as binary) as text").mapInArrow(_rows(width, m), R.RUNS)
     judged = R.judge(rows, True, "substring-runs")
-    out = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    out = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string"
+    out += f", text string, row {docs.schema['row'].dataType.simpleString()}" if with_text else ""
     return R.spans(docs, judged, _pack(width), _compare(width)).mapInArrow(_finish(width, with_text), out)
 
 
