@@ -10,41 +10,40 @@ from pyspark.sql import functions as F
 from mergelens.functions.paths import dir_of
 from mergelens.operators.findings import finding
 
-#: name, severity, pattern (its first group is what to hide), what it is. The choice of patterns is this engine's own.
+#: name, severity, what stands before the secret, the secret, what follows it, what it is. The choice of patterns is this
+#: engine's own.
 SECRETS = [
-    ("aws-access-key-id", "critical", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", "AWS access key id"),
-    ("aws-secret-key", "critical", r"(?i)aws[a-z_\-]*secret[a-z_\-]*[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9/+=]{40})", "AWS secret key"),
-    ("github-token", "critical", r"\b((?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}))", "GitHub token"),
-    ("private-key", "critical", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", "private key"),
-    ("slack-token", "error", r"\b(xox[abprs]-[A-Za-z0-9-]{10,})", "Slack token"),
-    ("stripe-key", "critical", r"\b([sr]k_live_[A-Za-z0-9]{16,})", "Stripe key"),
-    ("generic-api-key", "error", r"(?i)(?:api[_-]?key|secret|token|passw(?:or)?d)[\"']?\s*[:=]\s*[\"']([A-Za-z0-9_\-+/=.]{16,})[\"']", "credential"),
+    ("aws-access-key-id", "critical", r"\b", r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"\b", "AWS access key id"),
+    ("aws-secret-key", "critical", r"(?i)aws[a-z_\-]*secret[a-z_\-]*[\"']?\s*[:=]\s*[\"']?", r"[A-Za-z0-9/+=]{40}", "", "AWS secret key"),
+    ("github-token", "critical", r"\b", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,})", "", "GitHub token"),
+    ("private-key", "critical", "", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "", "private key"),
+    ("slack-token", "error", r"\b", r"xox[abprs]-[A-Za-z0-9-]{10,}", "", "Slack token"),
+    ("stripe-key", "critical", r"\b", r"[sr]k_live_[A-Za-z0-9]{16,}", "", "Stripe key"),
+    ("generic-api-key", "error", r"(?i)(?:api[_-]?key|secret|token|passw(?:or)?d)[\"']?\s*[:=]\s*[\"']", r"[A-Za-z0-9_\-+/=.]{16,}", r"[\"']", "credential"),
 ]
 LOCK_FILES = ("go.sum", "go.mod", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "composer.lock", "Gemfile.lock", "uv.lock")
 
 
-def redact(text: Column, pattern: str) -> Column:
-    """The text with what the pattern's first group holds replaced."""
-    secret = F.regexp_extract(text, "(?d)" + pattern, 1)
-    return F.when(secret != "", F.replace(text, secret, F.lit("[redacted]"))).otherwise(text)
+def redact(text: Column) -> Column:
+    """The text with every secret in it replaced."""
+    for _, _, before, secret, after, _ in SECRETS:
+        text = F.regexp_replace(text, f"(?d)({before}){secret}({after})", "$1[redacted]$2")
+    return text
 
 
 def detect_secrets(lines: DataFrame) -> DataFrame:
     """A finding for each added line that holds a secret, by the first pattern of ``SECRETS`` that matches; its evidence
     hides every secret of the line. Lock files are passed over."""
     base = F.regexp_replace("path", r"^.*/", "")
-    clean: Column = F.col("text")
-    for _, _, pattern, _ in SECRETS:
-        clean = redact(clean, pattern)
     kind: Column = F.lit(None)
-    for k, (name, severity, pattern, what) in reversed(list(enumerate(SECRETS))):
-        kind = F.when(F.col("text").rlike("(?d)" + pattern), F.struct(F.lit(k).alias("k"), F.lit(f"secret.{name}").alias("rule"), F.lit(severity).alias("severity"), F.lit(what).alias("what"))).otherwise(kind)
+    for k, (name, severity, *pattern, what) in reversed(list(enumerate(SECRETS))):
+        kind = F.when(F.col("text").rlike("(?d)" + "".join(pattern)), F.struct(F.lit(k).alias("k"), F.lit(f"secret.{name}").alias("rule"), F.lit(severity).alias("severity"), F.lit(what).alias("what"))).otherwise(kind)
     hit = lines.where(~base.isin(*LOCK_FILES)).withColumn("s", kind).where("s is not null")
     return hit.select(
         *finding(
             rule_id=F.col("s.rule"), category=F.lit("secret"), severity=F.col("s.severity"), file=F.col("path"), line_start=F.col("number"), line_end=F.col("number"),
             message=F.concat(F.lit("This line seems to hold a "), F.col("s.what"), F.lit("; move it out of the code and revoke it.")),
-            reasoning=F.concat(F.lit("matched "), F.col("s.rule")), evidence=F.array(clean), seq=F.array(F.col("s.k").cast("long"), F.col("line_ord").cast("long")),
+            reasoning=F.concat(F.lit("matched "), F.col("s.rule")), evidence=F.array(redact(F.col("text"))), seq=F.array(F.col("s.k").cast("long"), F.col("line_ord").cast("long")),
         )
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from mergelens.functions.lineage import cut
 from mergelens.functions.text import severity_weight
 from mergelens.schemas import SEVERITIES
 
@@ -52,10 +53,12 @@ def rank(findings: DataFrame, seq: Sequence[str] = ("seq",)) -> DataFrame:
 
 def with_rank(findings: DataFrame, seq: Sequence[str] = ("seq",), parts: int = 64, out: str = "rank") -> DataFrame:
     """``findings`` with their rank as a column, without one task for all: rows are numbered within ranges of the sort
-    order, and counts of the ranges before are added. Bounds come from a sample of the keys, ties stay together."""
+    order, and counts of the ranges before are added. The numbered rows are written first, since the bounds of the ranges
+    come from a sample that another run would draw anew."""
     keys = rank_keys(seq)
     ranged = findings.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id())
-    numbered = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*keys)))
+    # within a range the rows are sorted where they are: no second shuffle by the range's number
+    numbered = cut(ranged.sortWithinPartitions(*keys).withColumn("_n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1), "rank")
     counts = numbered.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     return numbered.join(F.broadcast(before), "_p").withColumn(out, (F.col("_n") + F.col("_b")).cast("long")).drop("_p", "_n", "_b")

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from mergelens.plans.queries import ORACLES, QUERIES
+
+flagship = QUERIES["review"]
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
