@@ -103,8 +103,8 @@ def _split(points: DataFrame, nodes: list[_Node], extent: list[tuple[float, floa
     goals = {}
     for i in open_:
         n, r = nodes[i], stats.get(i)
-        lows = [min([r[2 + 2 * d]] * bool(r) + [h.x[d] for h in n.heavy], default=0.0) for d in range(dims)]
-        highs = [max([r[3 + 2 * d]] * bool(r) + [h.x[d] for h in n.heavy], default=0.0) for d in range(dims)]
+        lows = [min(([r[2 + 2 * d]] if r else []) + [h.x[d] for h in n.heavy], default=0.0) for d in range(dims)]
+        highs = [max(([r[3 + 2 * d]] if r else []) + [h.x[d] for h in n.heavy], default=0.0) for d in range(dims)]
         n.axis = max(range(dims), key=lambda d: (highs[d] - lows[d]) / ((extent[d][1] - extent[d][0]) or 1.0))
         n.low, n.high = (r[2 + 2 * n.axis], r[3 + 2 * n.axis]) if r else (0.0, 0.0)
         goals[i] = ((r[1] if r else 0) + sum(h.weight for h in n.heavy)) * (n.leaves // 2) / n.leaves

@@ -67,21 +67,25 @@ def _windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.cumsum(lens) - lens)[of] + first, size, of
 
 
-def train(texts: list[str], labels: list[int], dim: int = 4, rounds: int = 3, steps: int = 24, rate: float = 0.1, decay: float = 1e-6, least: int = 3, aside: int = 5, seed: int = 0) -> Model:
+def train(texts: list[str], labels: list[int], dim: int = 4, rounds: int = 3, steps: int = 24, rate: float = 0.1, decay: float = 1e-6, least: int = 3, aside: int = 5, seed: int = 0, stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Fits a model; words of fewer than ``least`` texts are left out, so that no text is learnt by heart. One text in
-    ``aside``, by its hash, is kept for the calibration."""
+    ``aside``, by its hash, is kept for the calibration, in which a clean and a toxic text stand for as many as
+    ``stands_for`` says."""
     kept = [i for i, t in enumerate(texts) if zlib.crc32(t.encode("utf-8", "replace")) % aside]
     spare = [i for i in range(len(texts)) if i not in set(kept)] if len(kept) < len(texts) else []
     model = _fit([words(texts[i]) for i in kept], [labels[i] for i in kept], dim, rounds, steps, rate, decay, least, seed)
     top = _top(model, [texts[i] for i in spare])
     y = np.array([labels[i] for i in spare], float)
-    share = (sum(labels) + 1) / (len(labels) + 2)
+    many = np.where(y > 0, stands_for[1], stands_for[0])
+    many = many * (len(many) / many.sum()) if len(many) else many
+    toxic, clean = sum(labels) * stands_for[1], (len(labels) - sum(labels)) * stands_for[0]
+    share = (toxic + 1) / (toxic + clean + 2)
     # two numbers by Newton steps; without evidence to the contrary, a flat line at the share of toxic texts
     a, c = 0.1, float(np.log(share / (1 - share)))
     for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(a * top + c, -30, 30)))
-        s = p * (1 - p) + 1e-6
-        ga, gc = ((p - y) * top).sum() + 1e-2 * a, (p - y).sum()
+        s = many * (p * (1 - p) + 1e-6)
+        ga, gc = (many * (p - y) * top).sum() + 1e-2 * a, (many * (p - y)).sum()
         haa, hac, hcc = (s * top * top).sum() + 1e-2, (s * top).sum(), s.sum() + 1e-2
         det = haa * hcc - hac * hac
         da, dc = (hcc * ga - hac * gc) / det, (haa * gc - hac * ga) / det
@@ -202,20 +206,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 5000, sample
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
     ``labels``: doc_id, toxic 0/1. Learns from labelled rows whose crc32(doc_id as text) is no multiple of ``folds``: of
-    those with the lowest hash of their id, ``sample_docs`` at most, the texts of ``sample_chars`` characters at most.
+    either label those with the lowest hash of their id, ``sample_docs`` in all at most and half of that of a label, and of
+    them the texts of ``sample_chars`` characters at most; the calibration weighs them back.
     Equal texts are learnt once; null labels are ignored; without labels of both kinds every score is the smoothed share of
     toxic ones. Scores read the whole text and nothing but it: repeated rows score alike, null and empty texts as if
     nothing were known of them. A null doc_id is not held out. An empty table gives an empty one.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic is not null and doc_id is not null").where(fold != 0)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    counts = dict(known.groupBy("toxic").agg(F.count("*")).collect())  # two rows
+    half = sample_docs // 2
+    stands_for = tuple(max(1.0, counts.get(y, 0) / half) for y in (0, 1))
+    nearest = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)
+    known = nearest(0).union(nearest(1))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     short = own.where(F.char_length("text") <= sample_chars)
     # at most sample_docs labels, so the broadcast is bounded; equal texts go on once
     rows = short.join(F.broadcast(known), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r.text)
-    model = train([r.text for r in rows], [int(r.toxic) for r in rows])
+    model = train([r.text for r in rows], [int(r.toxic) for r in rows], stands_for=stands_for)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
