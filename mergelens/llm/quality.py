@@ -76,14 +76,16 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def plan_cascade(df: DataFrame, rules: Sequence[Rule], sample_rows: int = 1000, seed: int = 7) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected), the most rejection for its cost first, from a sample of ``sample_rows`` rows at
-    most. Seconds are those of evaluating the rule over the sample, less those of reading it. The order changes which
+def take_sample(docs: DataFrame, rows: int = 1000, seed: int = 7) -> DataFrame:
+    """``rows`` rows at most, drawn before anything is computed from them, and written."""
+    total = docs.count()
+    return materialise(docs.sample(min(1.0, 1.2 * rows / max(total, 1)), seed).limit(rows), "quality-sample")
+
+
+def plan_cascade(sample: DataFrame, rules: Sequence[Rule]) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds, share rejected), the most rejection for its cost first. ``sample`` has the columns that the rules
+    read. Seconds are those of evaluating the rule over the sample, less those of reading it. The order changes which
     rule is asked first and never which rows fail."""
-    total = df.count()
-    if not total or not rules:
-        return [(r, 0.0, 0.0) for r in rules]
-    sample = materialise(df.sample(min(1.0, 1.2 * sample_rows / total), seed).limit(sample_rows), "quality-sample")
 
     def timed(what: Column) -> tuple[float, float]:
         best, got = float("inf"), 0.0
@@ -93,27 +95,30 @@ def plan_cascade(df: DataFrame, rules: Sequence[Rule], sample_rows: int = 1000,
             best = min(best, time.perf_counter() - began)
         return best, got
 
+    if not rules:
+        return []
     floor, _ = timed(F.lit(False))
     found = [(r, *timed(r.fails())) for r in rules]
     found = [(r, max(s - floor, 1e-3), share) for r, s, share in found]
     return sorted(found, key=lambda x: -(x[2] + 1e-6) / x[1])
 
 
-def cascade(df: DataFrame, rules: Sequence[Rule], out: str = "rejected_by", sample_rows: int = 1000) -> DataFrame:
+def cascade(df: DataFrame, rules: Sequence[Rule], sample: DataFrame, out: str = "rejected_by") -> DataFrame:
     """``df`` with the name of the first rule of the cascade that rejects the row, null where none does; a row that has
-    failed asks no further rule. A rule that is null for a row doesn't reject it."""
+    failed asks no further rule. A rule that is null for a row doesn't reject it. ``sample``: see ``plan_cascade``."""
     first: Column = F.lit(None).cast("string")
-    for rule, _, _ in reversed(plan_cascade(df, rules, sample_rows)):
+    for rule, _, _ in reversed(plan_cascade(sample, rules)):
         first = F.when(rule.fails(), F.lit(rule.name)).otherwise(first)
     return df.withColumn(out, first)
 
 
-def quality(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None) -> DataFrame:
+def quality(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
     """``docs`` with the columns of ``features``, base_failed (fewer than 50 words, or over half of them in repeated
-    windows) and kept: false if base_failed, else the verdict of the cascade. Null and empty texts fail; an empty table
+    windows) and kept: false if base_failed, else the verdict of the cascade, whose order is planned on ``sample_rows`` rows at most. Null and empty texts fail; an empty table
     gives an empty one; repeated rows are judged alike."""
     df = features(docs, text_col).withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    judged = cascade(df, default_rules(text_col) if rules is None else rules)
+    sample = features(take_sample(docs, sample_rows), text_col)
+    judged = cascade(df, default_rules(text_col) if rules is None else rules, sample)
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("rejected_by")
 
 

@@ -155,7 +155,7 @@ def test_rules_reject_what_they_name(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in quality.quality(df).where("kept").collect()} == {0}
     feats = quality.features(df)
-    named = {r.doc_id: r.rejected_by for r in quality.cascade(feats, quality.default_rules(), out="rejected_by").collect()}
+    named = {r.doc_id: r.rejected_by for r in quality.cascade(feats, quality.default_rules(), feats).collect()}
     assert named[0] is None and [named[k] for k in range(1, 5)] == list(bad)
     plan = quality.plan_cascade(feats, quality.default_rules())
     worth = [(share + 1e-6) / seconds for _, seconds, share in plan]
