@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Segments that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: The rank of a pair that makes no piece.
 NONE = 2**31 - 1
 #: Parts of more characters are merged one by one.
