@@ -114,8 +114,8 @@ def cascade(df: DataFrame, rules: Sequence[Rule], sample: DataFrame, out: str =
 
 def quality(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
     """``docs`` with the columns of ``features``, base_failed (fewer than 50 words, or over half of them in repeated
-    windows) and kept: false if base_failed, else the verdict of the cascade, whose order is planned on ``sample_rows`` rows at most. Null and empty texts fail; an empty table
-    gives an empty one; repeated rows are judged alike."""
+    windows) and kept: false if base_failed, else the verdict of the cascade, whose order is planned on ``sample_rows``
+    rows at most. Null and empty texts fail; an empty table gives an empty one; repeated rows are judged alike."""
     df = features(docs, text_col).withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     sample = features(take_sample(docs, sample_rows), text_col)
     judged = cascade(df, default_rules(text_col) if rules is None else rules, sample)
