@@ -142,7 +142,7 @@ def evaluate(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             hits.append(F.when(fits, F.struct(F.lit(k).alias("k"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.pattern).alias("pattern"), F.lit(r.message).alias("message"))))
     kind = "array<struct<k:int,name:string,severity:string,pattern:string,message:string>>"
     found = F.array_compact(F.array(*hits)).cast(kind) if hits else F.expr(f"cast(array() as {kind})")
-    hit = lines.withColumn("_m", found).where(F.size("_m") > 0).select("path", "number", "text", "line_ord", F.explode("_m").alias("m"))
+    hit = lines.select("path", "number", "text", "line_ord", F.explode(found).alias("m"))
     reason = F.concat(F.lit("rule "), quoted(F.col("m.name")), F.lit(" matched pattern "), quoted(F.col("m.pattern")))
     return hit.select(
         *finding(
