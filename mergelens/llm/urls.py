@@ -4,7 +4,8 @@ The tree of a host has a level for each path segment, up to ``DEPTH``. A segment
 tokens) becomes a wildcard of its class at once. At each level a literal branch whose children and labels don't differ
 statistically from those of its siblings taken together is merged with them under ``*``; comparing each branch with the
 rest instead of with each other keeps the work in proportion to the branches. A template is rejected by the share of
-labelled bad pages under it, smoothed towards the share among all labelled pages.
+labelled bad pages under it, smoothed towards the share among all labelled pages. Where no page of a template has a label,
+the labels of the same generalised path on all hosts count instead.
 """
 
 from __future__ import annotations
@@ -97,7 +98,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labels:
     """page_id, host, path, rule, template, bad_share, verdict of every row of ``pages``.
 
     The verdict is the rule's where one fits. Elsewhere it is ``block`` where the page's template has a smoothed share of
-    bad labels of ``purity`` or more, else ``allow``. Labels are ``labels`` (page_id, bad 0/1), one row a page, or, where
+    bad labels of ``purity`` or more, else ``allow``. A template without labels takes those of the page's
+    generalised path on all hosts; without any there it has the prior and is allowed. Labels are ``labels`` (page_id, bad 0/1), one row a page, or, where
     none are given, the rules' own verdicts on the pages that they decide. The smoothing is towards the share of bad
     labels below ``purity`` in all pages, as if ``prior_weight`` more labels had it. Null and unparsable urls have an
     empty host and path and are allowed; repeated rows are judged alike; an empty table gives an empty one.
@@ -121,8 +123,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labels:
     leaf = tree.groupBy("host", *marks).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     got = counted.agg(F.sum("labelled"), F.sum("bad")).head()
     prior = min((got[1] or 0) / got[0] if got[0] else 0.0, purity * 0.999)
-    share = (F.col("b") + prior_weight * prior) / (F.col("l") + prior_weight)
-    scored = tree.join(leaf, ["host", *marks]).select("host", *segs, F.concat_ws("/", F.col("host"), *[F.when(F.col(m) != "$", F.col(m)) for m in marks]).alias("template"), share.alias("bad_share"))
+    # a template without labels has those of its pages' shape on all hosts
+    shape = F.xxhash64(*[F.coalesce(s, F.lit("$")) for s in segs])
+    known = counted.where("labelled > 0").groupBy(shape.alias("shape")).agg(F.sum("labelled").alias("shape_l"), F.sum("bad").alias("shape_b"))
+    tree = tree.withColumn("shape", shape).join(leaf, ["host", *marks]).join(known, "shape", "left")
+    l_ = F.when(F.col("l") > 0, F.col("l")).otherwise(F.coalesce("shape_l", F.lit(0)))
+    b_ = F.when(F.col("l") > 0, F.col("b")).otherwise(F.coalesce("shape_b", F.lit(0)))
+    share = (b_ + prior_weight * prior) / (l_ + prior_weight)
+    scored = tree.select("host", *segs, F.concat_ws("/", F.col("host"), *[F.when(F.col(m) != "$", F.col(m)) for m in marks]).alias("template"), share.alias("bad_share"))
     scored = scored.select(F.xxhash64("host", *[F.coalesce(s, F.lit("$")) for s in segs]).alias("k"), "template", "bad_share")
     df = df.withColumn("k", F.xxhash64("host", *[F.coalesce(s, F.lit("$")) for s in segs])).join(scored, "k", "left")
     verdict = F.coalesce("said", F.when((F.col("host") != "") & (F.col("bad_share") >= purity), "block").otherwise("allow"))
