@@ -1,6 +1,6 @@
 """URL filters: rules by host and path, and a path-template tree for what no rule decides.
 
-The tree of a host has a level for each path segment, up to ``DEPTH``. A segment that varies (digits, hexadecimal, long
+The tree of a host has a level for each path segment. A segment that varies (digits, hexadecimal, long
 tokens) becomes a wildcard of its class at once. At each level a literal branch whose children and labels don't differ
 statistically from those of its siblings taken together is merged with them under ``*``; comparing each branch with the
 rest instead of with each other keeps the work in proportion to the branches. A template is rejected by the share of
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from mergelens.llm._store import materialise
 
-DEPTH = 3
 #: (host, path prefix, verdict); an empty path fits every path.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -56,42 +55,52 @@ def generalise(segment: Column) -> Column:
 
 
 def templates(pages: DataFrame, z: float = 2.6) -> DataFrame:
-    """(host, s1.., bad, labelled) to (host, raw segments, template): the tree of each host after merging.
+    """(host, segs, n, labelled, bad) to the same with ``up``: the tree of each host after merging.
 
-    ``pages`` has one row for each host and generalised path (columns s1 to s``DEPTH``, null beyond its end) with the
-    counts n, labelled and bad.
+    ``pages`` has one row for each host and generalised path (``segs``, an array of any length) with the counts n, labelled
+    and bad. ``up`` is the template, each segment after a slash, and a last slash for the path's end. The tree grows until
+    no branch has children left; a path that is alone under its branch has nothing to merge with and is done at once.
     """
-    segs = [f"s{i}" for i in range(1, DEPTH + 1)]
-    tree = pages.withColumns({f"t{i}": F.lit("") for i in range(1, DEPTH + 1)})
-    for i in range(1, DEPTH + 1):
-        up = [f"t{j}" for j in range(1, i)]
-        seg = F.coalesce(F.col(f"s{i}"), F.lit("$"))
-        child = F.coalesce(F.col(f"s{i + 1}"), F.lit("$")) if i < DEPTH else F.lit("$")
-        tree = tree.withColumn("seg", seg).withColumn("child", child)
-        kids = tree.groupBy("host", *up, "seg", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    tree = pages.withColumn("up", F.lit(""))
+    done = []
+    # a path ends in a segment of its own, "", one level beyond its last
+    deepest = pages.agg(F.max(F.size("segs"))).head()[0]
+    for i in range(1, (-1 if deepest is None else deepest) + 2):
+        tree = tree.withColumn("seg", F.coalesce(F.get("segs", F.lit(i - 1)), F.lit(""))).withColumn("child", F.coalesce(F.get("segs", F.lit(i)), F.lit("")))
+        kids = tree.groupBy("host", "up", "seg", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")], F.count("*").alias("paths"))
         kids = materialise(kids, f"urls-kids-{i}")
         # of each branch: its rows, labels and bad labels, and how far its children lie from those of its siblings; by
         # aggregates and joins, which deal out a host of many branches, where a window would hold it in one task
-        at = kids.groupBy("host", *up).agg(F.sum("n").alias("level"), F.sum("labelled").alias("all_l"), F.sum("bad").alias("all_b"))
-        at_child = kids.groupBy("host", *up, "child").agg(F.sum("n").alias("all_child"))
-        at_seg = kids.groupBy("host", *up, "seg").agg(F.sum("n").alias("own"))
-        kids = kids.join(at_child, ["host", *up, "child"]).join(at_seg, ["host", *up, "seg"]).join(at, ["host", *up])
+        at = kids.groupBy("host", "up").agg(F.sum("n").alias("level"), F.sum("labelled").alias("all_l"), F.sum("bad").alias("all_b"), F.sum("paths").alias("all_paths"))
+        at_child = kids.groupBy("host", "up", "child").agg(F.sum("n").alias("all_child"))
+        at_seg = kids.groupBy("host", "up", "seg").agg(F.sum("n").alias("own"))
+        kids = kids.join(at_child, ["host", "up", "child"]).join(at_seg, ["host", "up", "seg"]).join(at, ["host", "up"])
         kids = kids.withColumn("rest", F.col("level") - F.col("own"))
         p, q = F.col("n") / F.col("own"), (F.col("all_child") - F.col("n")) / F.greatest(F.col("rest"), F.lit(1))
         both = F.col("all_child") / (F.col("own") + F.col("rest"))
         apart = F.abs(p - q) > z * F.sqrt(both * (1 - both) * (1 / F.col("own") + 1 / F.greatest(F.col("rest"), F.lit(1)))) + 1e-9
-        branch = kids.groupBy("host", *up, "seg").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), *[F.max(c).alias(c) for c in ("rest", "all_l", "all_b")], F.max(apart).alias("apart"))
+        branch = kids.groupBy("host", "up", "seg").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), *[F.max(c).alias(c) for c in ("rest", "all_l", "all_b", "all_paths")], F.max(apart).alias("apart"))
         l_, b_ = F.col("l"), F.col("b")
         branch = branch.withColumns({"l2": F.col("all_l") - l_, "b2": F.col("all_b") - b_})
         pool = (b_ + F.col("b2")) / F.greatest(l_ + F.col("l2"), F.lit(1))
         differs = F.abs(b_ / F.greatest(l_, F.lit(1)) - F.col("b2") / F.greatest(F.col("l2"), F.lit(1))) > z * F.sqrt(pool * (1 - pool) * (1 / F.greatest(l_, F.lit(1)) + 1 / F.greatest(F.col("l2"), F.lit(1)))) + 1e-9
         unlike = (l_ > 0) & (F.col("l2") > 0) & differs
         known = (l_ > 0) != (F.col("l2") > 0)  # labels on one side alone tell nothing of the other
-        keep = (F.col("rest") == 0) | F.col("apart") | unlike | known | F.col("seg").rlike(r"^\{|^\$$")
-        branch = branch.select("host", *up, "seg", F.when(keep, F.col("seg")).otherwise("*").alias("merged"))
-        tree = tree.join(branch, ["host", *up, "seg"]).withColumn(f"t{i}", F.col("merged")).drop("merged", "seg", "child")
-        tree = materialise(tree, f"urls-tree-{i}")
-    return tree.select("host", *segs, *[f"t{i}" for i in range(1, DEPTH + 1)], "n", "labelled", "bad")
+        keep = (F.col("rest") == 0) | F.col("apart") | unlike | known | F.col("seg").rlike(r"^(\{|$)")
+        branch = branch.select("host", "up", "seg", F.when(keep, F.col("seg")).otherwise("*").alias("merged"), (F.col("all_paths") == 1).alias("alone"))
+        grown = tree.join(branch, ["host", "up", "seg"])
+        more = F.when(F.col("alone"), F.concat_ws("/", F.slice("segs", i, F.greatest(F.size("segs") - i + 1, F.lit(0))), F.lit(""))).otherwise(F.col("merged"))
+        more = F.when(F.col("seg") == "", "").otherwise(more)
+        grown = grown.withColumn("up", F.concat_ws("/", "up", more)).withColumn("ends", F.col("alone") | (F.col("seg") == ""))
+        grown = materialise(grown.select("host", "segs", "n", "labelled", "bad", "up", "ends"), f"urls-tree-{i}")
+        done.append(grown.where("ends").drop("ends"))
+        tree = grown.where("not ends").drop("ends")
+        if tree.isEmpty():
+            break
+    out = done[0] if done else tree
+    for part in done[1:]:
+        out = out.union(part)
+    return out
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labels: DataFrame | None = None, prior_weight: float = 5.0, purity: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -108,31 +117,27 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labels:
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     df = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("said", said)
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    named = {f"s{i}": generalise(F.get("segs", i - 1)) for i in range(1, DEPTH + 1)}
-    df = df.withColumn("segs", segments).withColumns(named).drop("segs")
+    df = df.withColumn("segs", F.transform(segments, generalise))
     if labels is None:
         df = df.withColumn("bad", (F.col("said") == "block").cast("int"))
     else:
         one = labels.groupBy(F.col(labels.columns[0]).alias("page_id")).agg(F.max(labels.columns[1]).cast("int").alias("bad"))
         df = df.join(one, "page_id", "left")
-    segs = [f"s{i}" for i in range(1, DEPTH + 1)]
-    counted = df.groupBy("host", *segs).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    counted = df.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     counted = materialise(counted, "urls-paths")
     tree = templates(counted)
-    marks = [f"t{i}" for i in range(1, DEPTH + 1)]
-    leaf = tree.groupBy("host", *marks).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    leaf = tree.groupBy("host", "up").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     got = counted.agg(F.sum("labelled"), F.sum("bad")).head()
     prior = min((got[1] or 0) / got[0] if got[0] else 0.0, purity * 0.999)
     # a template without labels has those of its pages' shape on all hosts
-    shape = F.xxhash64(*[F.coalesce(s, F.lit("$")) for s in segs])
+    shape = F.xxhash64("segs")
     known = counted.where("labelled > 0").groupBy(shape.alias("shape")).agg(F.sum("labelled").alias("shape_l"), F.sum("bad").alias("shape_b"))
-    tree = tree.withColumn("shape", shape).join(leaf, ["host", *marks]).join(known, "shape", "left")
+    tree = tree.withColumn("shape", shape).join(leaf, ["host", "up"]).join(known, "shape", "left")
     l_ = F.when(F.col("l") > 0, F.col("l")).otherwise(F.coalesce("shape_l", F.lit(0)))
     b_ = F.when(F.col("l") > 0, F.col("b")).otherwise(F.coalesce("shape_b", F.lit(0)))
     share = (b_ + prior_weight * prior) / (l_ + prior_weight)
-    scored = tree.select("host", *segs, F.concat_ws("/", F.col("host"), *[F.when(F.col(m) != "$", F.col(m)) for m in marks]).alias("template"), share.alias("bad_share"))
-    scored = scored.select(F.xxhash64("host", *[F.coalesce(s, F.lit("$")) for s in segs]).alias("k"), "template", "bad_share")
-    df = df.withColumn("k", F.xxhash64("host", *[F.coalesce(s, F.lit("$")) for s in segs])).join(scored, "k", "left")
+    scored = tree.select(F.xxhash64("host", "segs").alias("k"), F.concat("host", F.regexp_replace("up", "/$", "")).alias("template"), share.alias("bad_share"))
+    df = df.withColumn("k", F.xxhash64("host", "segs")).join(scored, "k", "left")
     verdict = F.coalesce("said", F.when((F.col("host") != "") & (F.col("bad_share") >= purity), "block").otherwise("allow"))
     return df.select("page_id", "host", "path", "rule", "template", "bad_share", verdict.alias("verdict"))
 

@@ -11,3 +11,15 @@ def test_labels_reach_templates_without_any(spark, tmp_path):
     got = {dict(rows)[r.page_id]: r for r in urls.op9_urls(spark, str(tmp_path)).collect()}
     assert all(got[u].rule is None for u in open_) and len(got) == len(rows)
     assert {u for u in open_ if got[u].verdict == "block"} == {u for u in open_ if "/es/" in u}
+
+
+def test_labels_of_deep_branches_stay_apart(spark):
+    rows = [(i, f"http://host.net/a/b/c/d/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)]
+    rows += [(900, "http://host.net/a/b/c/d/spam/x/y/z/1/2/3"), (901, "http://host.net/" + "q/" * 60), (902, "http://host.net"), (903, None)]
+    labels = [(i, i % 2) for i in range(0, 200, 3)]
+    df, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")
+    got = {r.page_id: r for r in urls.filter_urls(df, urls.RULES, lab).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if r.verdict == "block"} == set(range(1, 200, 2))
+    assert got[1].template == "host.net/a/b/c/d/spam/{n}" and got[0].template == "host.net/a/b/c/d/news/{n}"
+    assert got[900].template == "host.net/a/b/c/d/spam/x/y/z/{n}/{n}/{n}" and got[901].template == "host.net" + "/q" * 60
+    assert got[902].template == "host.net" and got[903].template == ""
