@@ -23,6 +23,7 @@ from mergelens.llm._rolling import BYTE_WORDS, grams, mix, prefix, spans
 BITS = 18
 SIZES = (3, 4, 5)
 WINDOW = 8  # words of a window, and the scale of its average
+PART = 16_000  # words of a long text whose windows are scored at once
 CHUNK = 1 << 18
 MARKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -164,19 +165,29 @@ def score(model: Model, texts: list[str | None]) -> np.ndarray:
 
 
 def _top(model: Model, texts: list[str | None]) -> np.ndarray:
-    """The highest logit of the windows of each text."""
+    """The highest logit of the windows of each text: one from every word on, and the short last one of ``_windows``."""
     top = np.full(len(texts), model.bias)
-    group: list[tuple[int, list[bytes]]] = []
+    group: list[tuple[int, list[bytes], int]] = []  # row, words, and those of the last that training had as a short window
 
     def flush() -> None:
-        lens = np.array([len(b) for _, b in group])
-        ids, owner = subwords([w for _, b in group for w in b])
+        lens, tail = np.array([len(b) for _, b, _ in group]), np.array([x for _, _, x in group])
+        ids, owner = subwords([w for _, b, _ in group for w in b])
         n = int(lens.sum())
         value = np.bincount(owner, model.toxic[ids], n) / np.bincount(owner, minlength=n)
-        first, size, of = _windows(lens)
-        logit = np.add.reduceat(value, first) * (WINDOW / size) + model.bias
-        rows = np.array([r for r, _ in group])
-        best = np.maximum.reduceat(logit, np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])))
+        # a window begins at each word that has WINDOW words from there on; a shorter text is one window, filled with zeros
+        width = np.maximum(lens, WINDOW)
+        begin = np.cumsum(width) - width
+        padded = np.zeros(int(width.sum()))
+        padded[np.arange(n) + np.repeat(begin - (np.cumsum(lens) - lens), lens)] = value
+        sums = sum(padded[k : len(padded) - WINDOW + 1 + k] for k in range(WINDOW))
+        per = width - WINDOW + 1
+        at = np.cumsum(per) - per
+        logit = sums[np.arange(int(per.sum())) + np.repeat(begin - at, per)] * np.repeat(WINDOW / np.minimum(lens, WINDOW), per) + model.bias
+        rows = np.array([r for r, _, _ in group])
+        best = np.maximum.reduceat(logit, at)
+        end = begin + width
+        last = sum(np.where(k <= tail, padded[end - k], 0.0) for k in range(1, WINDOW))
+        best = np.where(tail > 0, np.maximum(best, last * (WINDOW / np.maximum(tail, 1)) + model.bias), best)
         for r, x in zip(rows.tolist(), best.tolist(), strict=True):
             top[r] = x if not seen[r] else max(top[r], x)
             seen[r] = True
@@ -186,9 +197,9 @@ def _top(model: Model, texts: list[str | None]) -> np.ndarray:
     size = 0
     for row, text in enumerate(texts):
         ws = words(text)
-        for at in range(0, len(ws), WINDOW * 2000):  # long texts in whole windows
-            part = ws[at : at + WINDOW * 2000]
-            group.append((row, part))
+        for at in range(0, ws and max(1, len(ws) - WINDOW + 1) or 0, PART):  # the windows that begin in a part of a long text
+            part = ws[at : at + PART + WINDOW - 1]
+            group.append((row, part, len(ws) % WINDOW if at + len(part) == len(ws) > WINDOW else 0))
             size += sum(map(len, part))
             if size >= CHUNK:
                 flush()
