@@ -34,6 +34,11 @@ def callees(refs: DataFrame, file: str, name: str) -> DataFrame:
     return refs_from(refs, file, name).select(F.col("dst_file").alias("file"), F.col("dst_name").alias("name"), "kind").distinct().orderBy("file", "name", "kind")
 
 
+def refs_into_file(refs: DataFrame, file: str) -> DataFrame:
+    """Edges into any symbol of a file."""
+    return refs.where(F.col("dst_file") == file).select(*EDGE).distinct().orderBy(*EDGE)
+
+
 def symbol_kind(symbols: DataFrame, file: str, name: str) -> str | None:
     """Kind of a symbol, of its first line if it has several."""
     row = symbols.where((F.col("file_path") == file) & (F.col("name") == name)).agg(F.min_by("kind", F.struct("line", "kind")).alias("k")).head()
@@ -51,6 +56,7 @@ def type_uses(refs: DataFrame, symbols: DataFrame, file: str, name: str) -> Data
 
 
 def imports_of(imports: DataFrame, file: str) -> DataFrame:
+    """import_path of a file, sorted; an index holds each once."""
     return imports.where(F.col("file_path") == file).select("import_path").orderBy("import_path")
 
 

@@ -55,15 +55,21 @@ def test_budget_and_estimates(spark):
     assert [r[0] for r in df.select(estimate_tokens(F.col("s"))).collect()] == [0, 1, 2, 1]
 
 
-@pytest.mark.parametrize(
-    ("start", "end", "radius", "first", "last"),
-    [(10, 10, 2, 8, 12), (5, 7, 1, 4, 8), (1, 1, 5, 1, 6), (20, 20, 5, 15, 20), (200, 200, 3, 17, 20), (10, 10, 0, 7, 13), (0, 0, 1, 1, 2), (7, 3, 1, 6, 8)],
-)
-def test_windows(spark, start, end, radius, first, last):
-    text = "\n".join(f"l{i}" for i in range(1, 21)) + "\n"
-    df = spark.createDataFrame([("f", text, start, end, radius)], "path string, text string, line_start int, line_end int, radius int")
-    got = [(r.number, r.text) for r in context.file_window(df).orderBy("number").collect()]
-    assert got == [(i, f"l{i}") for i in range(first, last + 1)]
+def test_windows_by_the_law(spark):
+    """A window holds the lines within its radius of the place; where that is none, the file's last radius + 1 lines."""
+    n = 9
+    places = [(s, e, r) for s in (-1, 0, 1, 4, 9, 10, 13, 40) for e in (0, 3, 6, 11) for r in (-2, 0, 1, 2, 12)]
+    text = "\n".join(f"l{i}" for i in range(1, n + 1)) + "\n"
+    df = spark.createDataFrame([(f"{s}:{e}:{r}", text, s, e, r) for s, e, r in places], "path string, text string, line_start int, line_end int, radius int")
+    got = {}
+    for x in context.file_window(df).orderBy("path", "number").collect():
+        assert x.text == f"l{x.number}"
+        got.setdefault(x.path, []).append(x.number)
+    for s, e, r in places:
+        first, reach = (s if s > 0 else 1), (r if r > 0 else context.RADIUS)
+        last = e if e >= first else first
+        near = [i for i in range(1, n + 1) if first - reach <= i <= last + reach]
+        assert got[f"{s}:{e}:{r}"] == (near or [i for i in range(1, n + 1) if i >= n - reach]), (s, e, r)
 
 
 def test_answers(spark):

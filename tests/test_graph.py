@@ -6,79 +6,72 @@ from mergelens.schemas import INDEX_IMPORTS, INDEX_REFS, INDEX_SYMBOLS
 from mergelens.sources import files as fsrc
 from mergelens.sources.goparse import GoSyntaxError, index_directory, parse
 
-A = """package demo
+CRATES = """package depot
 
-const limit = 3
-
-var count = 1
-
-type Store struct {
-	Title string
+type Crate struct {
+	weight int
+	lid    *Lid
 }
 
-type Reader interface {
-	Get([]byte) (int, error)
-}
+type Lid struct{ open bool }
 
-func New() *Store {
-	return &Store{}
-}
+const (
+	heaviest = 40
+	lightest = heaviest / 8
+)
 
-var seed = New()
+var ledger []Crate
 
-func (st *Store) Save() {
-	count++
+func fill(n int) Crate {
+	if n > heaviest {
+		n = heaviest
+	}
+	return Crate{weight: n, lid: &Lid{}}
 }
 
-func resolve() int { return limit }
+func (c Crate) Light() bool { return c.weight <= lightest }
 
-func recurse() {
-	recurse()
+func (l *Lid) flip(times int) {
+	if l.open = !l.open; times > 1 {
+		l.flip(times - 1)
+	}
 }
 """
-B = """package demo
+LOADS = """package depot
 
-import "fmt"
+import (
+	"os"
+	"strconv"
+)
 
-type Cache struct {
-	Store
-	label string
-}
+type Scale interface{ Light() bool }
 
-func describe() string {
-	v := New()
-	if v != nil {
-		v.Save()
+func load(onto []Crate, sizes ...int) []Crate {
+	for _, s := range sizes {
+		onto = append(onto, fill(s))
 	}
-	sum := count
-	fmt.Println(sum)
-	return fmt.Sprintf("n=%d", sum)
+	ledger = onto
+	return onto
 }
 
-func pick() int {
-	resolve := 7
-	_ = resolve
-	return resolve
-}
+func print(s Scale) { os.Stdout.WriteString(strconv.FormatBool(s.Light())) }
 
-func call() int {
-	return resolve()
-}
+func borrowed(fill func(int) Crate) Crate { return fill(1) }
 
-func helper(err error) int {
-	if err != nil {
-		return limit
+func countdown(n int) {
+	if n > 0 {
+		countdown(n - 1)
 	}
-	return 0
 }
 """
-X = "package sub\n\nfunc A() {}\n\nfunc B() {\n\tA()\n}\n"
-BROKEN = "package demo\n\nfunc Oops( {\n"
+YARD = "package yard\n\nfunc Gate() { Lamp() }\n\nfunc Lamp() {}\n"
+TORN = "package depot\n\nvar half = [\n"
 EDGES = [
-    ("a.go", "New", "a.go", "Store", "use"), ("a.go", "Store.Save", "a.go", "Store", "use"), ("a.go", "Store.Save", "a.go", "count", "use"),
-    ("a.go", "resolve", "a.go", "limit", "use"), ("a.go", "seed", "a.go", "New", "call"), ("b.go", "Cache", "a.go", "Store", "use"),
-    ("b.go", "call", "a.go", "resolve", "call"), ("b.go", "describe", "a.go", "New", "call"), ("b.go", "describe", "a.go", "count", "use"),
-    ("b.go", "helper", "a.go", "limit", "use"),
+    ("crates.go", "Crate", "crates.go", "Lid", "use"), ("crates.go", "lightest", "crates.go", "heaviest", "use"), ("crates.go", "ledger", "crates.go", "Crate", "use"),
+    ("crates.go", "fill", "crates.go", "Crate", "use"), ("crates.go", "fill", "crates.go", "Lid", "use"), ("crates.go", "fill", "crates.go", "heaviest", "use"),
+    ("crates.go", "Crate.Light", "crates.go", "Crate", "use"), ("crates.go", "Crate.Light", "crates.go", "lightest", "use"), ("crates.go", "Lid.flip", "crates.go", "Lid", "use"),
+    ("loads.go", "load", "crates.go", "Crate", "use"), ("loads.go", "load", "crates.go", "fill", "call"), ("loads.go", "load", "crates.go", "ledger", "use"),
+    ("loads.go", "print", "loads.go", "Scale", "use"), ("loads.go", "borrowed", "crates.go", "Crate", "use"),
 ]
 
 
@@ -87,13 +80,16 @@ def edges(*sources):
     return sorted((p, s, f, d, k) for p, rs in refs.items() for s, f, d, k in rs), parsed, skipped
 
 
-def test_demo_package():
-    got, parsed, skipped = edges(("a.go", A), ("b.go", B), ("broken.go", BROKEN))
-    assert got == sorted(EDGES) and skipped == ["broken.go"]
+def test_a_package_of_two_files():
+    got, parsed, skipped = edges(("crates.go", CRATES), ("loads.go", LOADS), ("torn.go", TORN))
+    assert got == sorted(EDGES) and skipped == ["torn.go"]
     kinds = {n: k for f in parsed for n, k, _ in f.symbols}
-    assert kinds == {"limit": "const", "count": "var", "Store": "struct", "Reader": "interface", "New": "func", "seed": "var", "Store.Save": "method", "resolve": "func", "recurse": "func", "Cache": "struct", "describe": "func", "pick": "func", "call": "func", "helper": "func"}
-    assert parsed[1].imports == ["fmt"]
-    assert edges(("b.go", B), ("a.go", A))[0] == got
+    assert kinds == {
+        "Crate": "struct", "Lid": "struct", "heaviest": "const", "lightest": "const", "ledger": "var", "fill": "func", "Crate.Light": "method",
+        "Lid.flip": "method", "Scale": "interface", "load": "func", "print": "func", "borrowed": "func", "countdown": "func",
+    }
+    assert parsed[1].imports == ["os", "strconv"]
+    assert edges(("loads.go", LOADS), ("crates.go", CRATES))[0] == got
 
 
 @pytest.mark.parametrize(
@@ -147,10 +143,13 @@ def source_frame(spark, texts, repo="r"):
     return fsrc.source_files(df, repo)
 
 
+SOURCES = {"crates.go": CRATES, "loads.go": LOADS, "yard/y.go": YARD}
+
+
 @pytest.fixture(scope="module")
 def indexed(spark, tmp_path_factory):
     store = Store(spark, str(tmp_path_factory.mktemp("index")))
-    first = sync(source_frame(spark, {"a.go": A, "b.go": B, "sub/x.go": X}), "r", store)
+    first = sync(source_frame(spark, SOURCES), "r", store)
     return store, first
 
 
@@ -158,45 +157,51 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-def test_first_sync_and_queries(spark, indexed):
+def test_queries_of_an_index(spark, indexed):
     store, first = indexed
-    assert (first.dirs_changed, first.files, first.symbols, first.refs) == (2, 3, 16, 11)
+    assert (first.files, first.symbols, first.refs, first.dirs_changed) == (3, 15, len(EDGES) + 1, 2)
     refs, symbols, imports = (store.index(t, "r") for t in ("index_refs", "index_symbols", "index_imports"))
-    assert rows(graph.callers(refs, "a.go", "New")) == [("a.go", "seed", "call"), ("b.go", "describe", "call")]
-    assert rows(graph.callees(refs, "b.go", "describe")) == [("a.go", "New", "call"), ("a.go", "count", "use")]
-    assert rows(graph.type_uses(refs, symbols, "a.go", "Store")) == [("a.go", "New", "use"), ("a.go", "Store.Save", "use"), ("b.go", "Cache", "use")]
-    assert rows(graph.callers(refs, "a.go", "resolve")) == [("b.go", "call", "call")]
-    for name in ("New", "Nothing"):
+    for file, name in {(e[2], e[3]) for e in EDGES}:  # every symbol that an edge leads to
+        assert rows(graph.callers(refs, file, name)) == sorted((a, b, k) for a, b, c, d, k in EDGES if (c, d) == (file, name))
+    for file, name in {(e[0], e[1]) for e in EDGES}:
+        assert rows(graph.callees(refs, file, name)) == sorted((c, d, k) for a, b, c, d, k in EDGES if (a, b) == (file, name))
+    assert rows(graph.type_uses(refs, symbols, "crates.go", "Lid")) == [("crates.go", "Crate", "use"), ("crates.go", "Lid.flip", "use"), ("crates.go", "fill", "use")]
+    for name in ("fill", "Barrel"):
         with pytest.raises(ValueError):
-            graph.type_uses(refs, symbols, "a.go", name)
-    assert rows(graph.imports_of(imports, "b.go")) == [("fmt",)] and rows(graph.imports_of(imports, "a.go")) == []
-    assert rows(graph.files_touching(refs, "a.go", "New")) == [("a.go",), ("b.go",)]
-    assert rows(graph.files_touching(refs, "sub/x.go", "B")) == [("sub/x.go",)]
-    assert rows(graph.impact_set(refs, ["a.go"])) == [("a.go", 0), ("b.go", 1)]
-    assert rows(graph.impact_set(refs, ["sub/x.go"])) == [("sub/x.go", 0)]
-    assert rows(graph.impact_set(refs, ["sub/x.go", "./b.go", "", "/"])) == [("b.go", 0), ("sub/x.go", 0), ("a.go", 1)]
-    assert rows(graph.impact_set(refs, ["unknown.go"])) == [("unknown.go", 0)]
+            graph.type_uses(refs, symbols, "crates.go", name)
+    assert rows(graph.refs_into_file(refs, "yard/y.go")) == [("yard/y.go", "Gate", "yard/y.go", "Lamp", "call")]
+    assert rows(graph.refs_into_file(refs, "crates.go")) == sorted(e for e in EDGES if e[2] == "crates.go")
+    assert [rows(graph.imports_of(imports, f)) for f in ("loads.go", "crates.go")] == [[("os",), ("strconv",)], []]
+    assert rows(graph.files_touching(refs, "crates.go", "fill")) == [("crates.go",), ("loads.go",)]
+    assert rows(graph.files_touching(refs, "yard/y.go", "Gate")) == [("yard/y.go",)]
     got = {r.path: (len(r.symbols), r.imports) for r in graph.repo_index(store.index("index_files", "r"), symbols, imports).collect()}
-    assert got == {"a.go": (9, []), "b.go": (5, ["fmt"]), "sub/x.go": (2, [])}
-    assert graph.repo_index(store.index("index_files", "r"), symbols, imports, "sub").count() == 1
-    assert rows(graph.refs_to(refs, "sub/x.go", "A")) == [("sub/x.go", "B", "sub/x.go", "A", "call")]
+    assert got == {"crates.go": (8, []), "loads.go": (5, ["os", "strconv"]), "yard/y.go": (2, [])}
+    assert graph.repo_index(store.index("index_files", "r"), symbols, imports, "yard").count() == 1
+
+
+def test_impact_by_steps(spark, indexed):
+    refs = indexed[0].index("index_refs", "r")
+    assert rows(graph.impact_set(refs, ["./loads.go", "yard/../yard/y.go", "", "/"])) == [("loads.go", 0), ("yard/y.go", 0), ("crates.go", 1)]
+    assert rows(graph.impact_set(refs, ["nowhere.go"])) == [("nowhere.go", 0)]
+    chain = spark.createDataFrame([("r", f"f{i}", "n", f"f{i + 1}", "n", "use") for i in range(5)], INDEX_REFS)
+    assert rows(graph.impact_set(chain, ["f2"])) == [("f2", 0), ("f1", 1), ("f3", 1), ("f0", 2), ("f4", 2)]
 
 
 def test_later_syncs(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
-    texts = {"a.go": A, "b.go": B, "sub/x.go": X}
-    dry = sync(source_frame(spark, texts), "r")
-    assert (dry.dirs_changed, dry.files, dry.symbols, dry.refs) == (2, 3, 16, 11) and dry == sync(source_frame(spark, texts), "r", store)
-    again = sync(source_frame(spark, texts), "r", store)
-    assert (again.dirs_changed, again.files) == (0, 0)
-    touched = sync(source_frame(spark, texts | {"a.go": A + "\n// more\n"}), "r", store)
-    assert (touched.dirs_changed, touched.files) == (1, 2)
-    gone = sync(source_frame(spark, {"a.go": A + "\n// more\n", "b.go": B}), "r", store)
+    dry = sync(source_frame(spark, SOURCES), "r")
+    assert dry == sync(source_frame(spark, SOURCES), "r", store) and dry.files == 3
+    assert sync(source_frame(spark, SOURCES), "r", store).dirs_changed == 0
+    edited = SOURCES | {"loads.go": LOADS + "\nvar spare = heaviest\n"}
+    got = sync(source_frame(spark, edited), "r", store)
+    assert (got.dirs_changed, got.files, got.symbols) == (1, 2, 14)  # both files of the folder, none of the other
+    assert rows(graph.callers(store.index("index_refs", "r"), "crates.go", "heaviest"))[-1] == ("loads.go", "spare", "use")
+    gone = sync(source_frame(spark, {k: v for k, v in edited.items() if "/" not in k}), "r", store)
     assert (gone.dirs_changed, gone.files) == (1, 0)
-    assert store.index("index_files", "r").where("dir = 'sub'").count() == 0 and store.index("index_refs", "r").count() == 10
-    broken = sync(source_frame(spark, {"a.go": A + "\n// more\n", "b.go": B, "broken.go": BROKEN}), "r", store)
-    assert broken.skipped == ["broken.go"] and broken.dirs_changed == 1
-    assert sync(source_frame(spark, {"a.go": A + "\n// more\n", "b.go": B, "broken.go": BROKEN}), "r", store).dirs_changed == 1
+    assert store.index("index_files", "r").where("dir = 'yard'").count() == 0 and store.index("index_refs", "r").count() == len(EDGES) + 1
+    for _ in range(2):  # a file that can't be parsed has no row, so its folder is looked at each time
+        torn = sync(source_frame(spark, {"crates.go": CRATES, "loads.go": edited["loads.go"], "torn.go": TORN}), "r", store)
+        assert torn.skipped == ["torn.go"] and torn.dirs_changed == 1
     assert store.migrate() == []
 
 

@@ -23,8 +23,8 @@ def repo(tmp_path):
     run(root, "config", "user.email", "a@example.org")
     run(root, "config", "user.name", "A Person")
     (root / "base.go").write_text("package demo\n\nfunc Base() {}\n")
-    (root / "callee.go").write_text("package demo\n\nfunc Callee() int { return 1 }\n")
-    (root / "caller.go").write_text("package demo\n\nfunc Caller() int { return Callee() }\n")
+    (root / "tide.go").write_text("package demo\n\nconst Ebb = 4\n")
+    (root / "quay.go").write_text("package demo\n\nvar berths = [...]int{Ebb, 9}\n")
     (root / "README.md").write_text("one\n")
     run(root, "add", ".")
     run(root, "commit", "-qm", "first")
@@ -35,12 +35,12 @@ def test_working_tree(spark, repo):
     (repo / "README.md").write_text("one\ntwo\nthree\n")
     (repo / "new.txt").write_text("n\n")
     (repo / "base.go").unlink()
-    run(repo, "mv", "callee.go", "moved.go")
+    run(repo, "mv", "tide.go", "moved.go")
     changes, diffs = g.working_diff(spark, str(repo))
     got = {r.path: (r.status, r.old_path, r.additions, r.deletions) for r in changes.collect()}
-    assert got == {"README.md": ("modified", "", 2, 0), "new.txt": ("added", "", 1, 0), "base.go": ("deleted", "", 0, 3), "moved.go": ("renamed", "callee.go", 3, 0)}
+    assert got == {"README.md": ("modified", "", 2, 0), "new.txt": ("added", "", 1, 0), "base.go": ("deleted", "", 0, 3), "moved.go": ("renamed", "tide.go", 3, 0)}
     assert {r.path: r.diff_text for r in diffs.collect()}["new.txt"] == "@@ -0,0 +1,1 @@\n+n\n"
-    assert g.blame(str(repo), "caller.go", 3)[1] == "A Person"
+    assert g.blame(str(repo), "quay.go", 3)[1] == "A Person"
 
 
 def test_not_a_repository(spark, tmp_path):
@@ -74,19 +74,19 @@ def test_findings_are_ranked_redacted_and_kept(spark, repo, tmp_path):
 
 
 def test_model_stage(spark, repo, tmp_path):
-    (repo / "callee.go").write_text("package demo\n\nfunc Callee() int { return 2 }\n")
+    (repo / "tide.go").write_text("package demo\n\nconst Ebb = 6\n")
     seen = []
 
     def answer(system, prompt):
         seen.append(prompt)
-        return json.dumps([{"file": "callee.go", "line": 3, "severity": "error", "message": "changed"}, {"file": "callee.go", "line": 99, "severity": "error", "message": "nowhere"}, {"message": "no place"}])
+        return json.dumps([{"file": "tide.go", "line": 3, "severity": "error", "message": "changed"}, {"file": "tide.go", "line": 99, "severity": "error", "message": "nowhere"}, {"message": "no place"}])
 
     store = Store(spark, str(tmp_path / "store"))
     got = review(spark, str(repo), providers=[agent.Provider("p", "m", True, answer)], store=store)
     rows = {f["message"]: f for f in got.golden()["findings"]}
     assert (rows["changed"]["severity"], rows["changed"]["confidence"], rows["changed"]["demoted"]) == ("error", 0.6, False)
     assert (rows["nowhere"]["severity"], rows["nowhere"]["demoted"]) == ("info", True)
-    assert "--- caller.go (distance 1)" in seen[0] and "+3 func Callee() int { return 2 }" in seen[0]
+    assert "--- quay.go (distance 1)" in seen[0] and "+3 const Ebb = 6" in seen[0]
     assert got.degradations == ["model stage: 1 entries were no findings"]
     remote = agent.Provider("far", "m", False, answer)
     skipped = review(spark, str(repo), merge([]), providers=[remote])
