@@ -66,11 +66,13 @@ def choose_provider(providers: DataFrame, keys: Sequence[str] = (), local_only:
 
 
 def lookup_fixtures(prompts: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """``prompts`` (id, system, prompt) with the response of the first fixture that fits, null if none does."""
-    p, f = prompts.alias("p"), fixtures.alias("f")
-    fits = (F.col("p.system") == F.col("f.system")) & ((F.col("p.prompt") == F.col("f.prompt")) | (F.col("f.prompt") == ""))
-    found = p.join(f, fits, "left").groupBy("p.id").agg(F.min_by("f.response", F.col("f.ord")).alias("response"))
-    return prompts.join(found, "id", "left")
+    """``prompts`` (id, system, prompt) with the response of the first fixture that fits, null if none does. Fixtures are
+    first brought down to one for each system and prompt, so that each prompt meets two at most: its own and the one for
+    any prompt."""
+    first = fixtures.groupBy("system", "prompt").agg(F.min(F.struct("ord", "response")).alias("own"))
+    any_ = first.where("prompt = ''").select("system", F.col("own").alias("any"))
+    out = prompts.join(first, ["system", "prompt"], "left").join(any_, "system", "left")
+    return out.select(*prompts.columns, F.least("own", "any").getField("response").alias("response"))
 
 
 def parse_answer(answer: str) -> list[dict]:

@@ -48,23 +48,29 @@ def chunks(added: DataFrame, related: DataFrame | None = None, keys: list[str] |
     return out
 
 
-def fit(parts: DataFrame, remaining: Column, keys: list[str] | None = None, slices: int = 64) -> DataFrame:
-    """``parts`` (section, ord, chunk) with kept: each section shows its chunks in order up to the first that doesn't fit,
-    and the next section goes on with what is left.
+def fit(parts: DataFrame, remaining: int, keys: list[str] | None = None) -> DataFrame:
+    """The chunks of ``parts`` (section, ord, chunk) that are shown, with their cost: each section shows its chunks in order
+    up to the first that doesn't fit, and the next section goes on with what is left of ``remaining`` tokens.
 
     Costs are one or more, so a section's part is exactly the chunks whose running sum stays within what remains for it.
+    The sums are of two levels: of files, a row each, and of the lines within a file. Only files that begin within the
+    budget have their lines summed, so what any task sorts is a pack's files, a file's lines or a budget's chunks.
     """
-    keys = keys or []
-    cost = parts.withColumns({"cost": estimate_tokens(F.col("chunk")), "remaining": remaining})
-    run = F.sum("cost").over(W.partitionBy(*keys, "section").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = cost.withColumn("run", run)
-    left, kept = F.col("remaining"), {}
+    own = [*(keys or []), "section"]
+    file = [F.col("ord.a").alias("_a"), F.col("ord.b").alias("_b")]
+    cost = parts.withColumn("cost", estimate_tokens(F.col("chunk"))).select("*", *file)
+    files = cost.groupBy(*own, "_a", "_b").agg(F.sum("cost").alias("_total"))
+    before = F.sum("_total").over(W.partitionBy(*own).orderBy("_a", "_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_total")
+    files = files.withColumn("_before", before).where(F.col("_before") < remaining).drop("_total")
+    run = F.sum("cost").over(W.partitionBy(*own, "_a", "_b").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = cost.join(files, [*own, "_a", "_b"]).withColumn("run", run + F.col("_before")).where(F.col("run") <= remaining)
+    left, kept = F.lit(remaining), F.lit(False)
     for s in range(3):  # what a section takes is the largest running sum that fits
-        took = F.max(F.when((F.col("section") == s) & (F.col("run") <= F.col(f"_left{s}")), F.col("run"))).over(W.partitionBy(*keys))
-        out = out.withColumn(f"_left{s}", left).withColumn(f"_took{s}", F.coalesce(took, F.lit(0)))
-        left = F.col(f"_left{s}") - F.col(f"_took{s}")
-        kept[s] = (F.col("section") == s) & (F.col("run") <= F.col(f"_left{s}"))
-    return out.withColumn("kept", kept[0] | kept[1] | kept[2]).drop("remaining", "run", *[f"_left{s}" for s in range(3)], *[f"_took{s}" for s in range(3)])
+        fits = (F.col("section") == s) & (F.col("run") <= F.col("_left"))
+        out = out.withColumn("_left", left)
+        out = out.withColumn("_took", F.max(F.when(fits, F.col("run"))).over(W.partitionBy(*(keys or [])))).withColumn("_kept", kept | fits)
+        left, kept = F.col("_left") - F.coalesce("_took", F.lit(0)), F.col("_kept")
+    return out.where("_kept").select(*parts.columns, "cost")
 
 
 def baseline_block(findings: DataFrame | None) -> str:
@@ -80,11 +86,9 @@ def baseline_block(findings: DataFrame | None) -> str:
 def pack_context(added: DataFrame, related: DataFrame | None, baseline: str, budget: int) -> str:
     """The text of a context pack: the baseline, then what fits of the diff and of the related code, then a note if
     anything was cut. Only what fits comes to the driver."""
-    remaining = budget - (len(baseline.encode()) + 3) // 4
-    shown = fit(chunks(added, related), F.lit(remaining))
-    cut = bool(shown.where("not kept").head(1))
-    text = "".join(r.chunk for r in shown.where("kept").orderBy("section", "ord").select("chunk").collect())
-    return baseline + text + NOTE * cut
+    parts = chunks(added, related)
+    shown = fit(parts, budget - (len(baseline.encode()) + 3) // 4).orderBy("section", "ord").select("chunk").collect()
+    return baseline + "".join(r.chunk for r in shown) + NOTE * (len(shown) < parts.count())
 
 
 def window_bounds(start: Column, end: Column, radius: Column, total: Column) -> tuple[Column, Column]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from mergelens.functions.text import lines_of
 
@@ -22,34 +21,35 @@ def new_start(header: Column) -> Column:
     return F.regexp_replace(field, r"^\+|,.*$", "").try_cast("int")
 
 
-def diff_lines(diffs: DataFrame, path_col: str = "path", diff_col: str = "diff_text") -> DataFrame:
-    """path, pos, raw, kind, start: the lines of each diff. kind: ``hunk`` (a header with a number), ``skip``, ``add``,
-    ``same``, ``other``."""
-    lines = diffs.select(F.col(path_col).alias("path"), F.posexplode(F.split(F.col(diff_col), "\n", -1)).alias("pos", "raw"))
-    start = F.when(F.col("raw").startswith("@@"), new_start(F.col("raw")))
-    kind = (
-        F.when(F.col("raw").startswith("@@"), "head")
-        .when(F.col("raw").startswith("+++") | F.col("raw").startswith("---"), "skip")
-        .when(F.col("raw").startswith("+"), "add")
-        .when(F.col("raw").startswith(" "), "same")
-        .otherwise("other")
-    )
-    return lines.withColumns({"kind": kind, "start": start})
+def _is(line: Column, kind: str) -> Column:
+    """What a line of a diff is: ``head``, ``skip`` (a file header), ``add``, ``same`` or ``gone``."""
+    header = line.startswith("+++") | line.startswith("---")
+    return {
+        "head": line.startswith("@@"),
+        "skip": header,
+        "add": line.startswith("+") & ~header,
+        "same": line.startswith(" "),
+        "gone": line.startswith("-") & ~header,
+    }[kind]
 
 
 def added_lines(diffs: DataFrame, path_col: str = "path", diff_col: str = "diff_text") -> DataFrame:
-    """path, number, text, line_ord: added lines with their new-side numbers.
+    """path, number, text, line_ord: added lines with their new-side numbers, of each diff for itself.
 
     A header sets the number, added and unchanged lines advance it; a line that looks like a file header (``+++``,
-    ``---``) is passed over without advancing, also inside a hunk. Lines before any header count from 0. The numbers are
-    running counts in windows over a path: one diff is the work of one task, diffs are dealt out.
+    ``---``) is passed over without advancing, also inside a hunk. Lines before any header count from 0. A diff is cut at
+    its headers; of a hunk only the lines that advance are left, so their places in it are their numbers: no window and
+    no shuffle, and a diff never leaves its row.
     """
-    w = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = F.col("kind").isin("add", "same").cast("int")
-    lines = diff_lines(diffs, path_col, diff_col).withColumns({"hunk": F.count("start").over(w), "run": F.sum(steps).over(w)})
-    lines = lines.withColumn("base", F.last(F.when(F.col("start").isNotNull(), F.col("start") - F.col("run")), True).over(w))
-    number = F.coalesce("base", F.lit(0)) + F.col("run") - 1
-    return lines.where("kind = 'add'").select("path", number.cast("int").alias("number"), F.substring("raw", 2, 2**31 - 1).alias("text"), F.col("pos").alias("line_ord"))
+    at = F.transform(F.split(F.col(diff_col), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    starts = F.filter(F.transform(F.filter("_at", lambda a: _is(a.x, "head")), lambda a: F.struct(a.i.alias("i"), new_start(a.x).alias("n"))), lambda h: h.n.isNotNull())
+    heads = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("n"))), starts)
+    end = lambda k: F.coalesce(F.get("_heads", k + 1).i, F.size("_at"))
+    hunk = lambda h, k: F.struct(h.n.alias("n"), F.slice("_at", h.i + 2, end(k) - h.i - 1).alias("ls"))
+    df = diffs.select(F.col(path_col).alias("path"), at.alias("_at")).withColumn("_heads", heads)
+    df = df.select("path", F.explode(F.transform("_heads", hunk)).alias("h"))
+    step = df.select("path", "h.n", F.posexplode(F.filter("h.ls", lambda a: _is(a.x, "add") | _is(a.x, "same"))).alias("k", "a"))
+    return step.where(_is(F.col("a.x"), "add")).select("path", (F.col("n") + F.col("k")).cast("int").alias("number"), F.substring("a.x", 2, 2**31 - 1).alias("text"), F.col("a.i").alias("line_ord"))
 
 
 def file_lines(files: DataFrame, path_col: str, text_col: str) -> DataFrame:
@@ -60,12 +60,13 @@ def file_lines(files: DataFrame, path_col: str, text_col: str) -> DataFrame:
 
 
 def diff_stat(diffs: DataFrame, path_col: str = "path", diff_col: str = "diff_text") -> DataFrame:
-    """path, additions, deletions: counted from the first ``@@`` line on, file headers left out."""
-    w = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    lines = diff_lines(diffs, path_col, diff_col).withColumn("inside", F.max(F.col("kind") == "head").over(w))
-    plus = F.col("inside") & (F.col("kind") == "add")
-    minus = F.col("inside") & (F.col("kind") != "skip") & F.col("raw").startswith("-")
-    return lines.groupBy("path").agg(F.sum(plus.cast("long")).alias("additions"), F.sum(minus.cast("long")).alias("deletions"))
+    """path, additions, deletions of each diff: counted within its row from the first ``@@`` line on, file headers left
+    out."""
+    lines = F.split(F.col(diff_col), "\n", -1)
+    first = F.array_position(F.transform("_ls", lambda x: _is(x, "head")), True).cast("int")
+    df = diffs.select(F.col(path_col).alias("path"), lines.alias("_ls")).withColumn("_in", F.when(first > 0, F.slice("_ls", first, F.size("_ls"))))
+    n = lambda kind: F.greatest(F.size(F.filter("_in", lambda x: _is(x, kind))), F.lit(0)).cast("long")
+    return df.select("path", F.coalesce(n("add"), F.lit(0)).alias("additions"), F.coalesce(n("gone"), F.lit(0)).alias("deletions"))
 
 
 def parse_status(df: DataFrame, raw_col: str = "raw") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 from mergelens.functions.paths import clean_path, dir_of, glob_regex, is_safe
 from mergelens.functions.text import estimate_tokens, normal_severity, severity_weight, whole_seconds
 from mergelens.operators import agent, context, detect, diff, findings, graph, rules, sync
-from mergelens.plans.store import latest_per_repo, numbered_reviews
+from mergelens.plans.store import latest_per_repo, numbered_reviews, review_findings
 from mergelens.sources import config, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,10 +128,25 @@ def rule_eval(spark, d):
 GENERIC = r"(?i)(?:api[_-]?key|secret|token|passw(?:or)?d)[\"'']?\s*[:=]\s*[\"'']([A-Za-z0-9_\-+/=.]{16,})[\"'']"
 
 
-@query(f"""WITH {LINES} SELECT path AS file, CAST(number AS INT) AS line_start, 'secret.generic-api-key' AS rule_id, 'error' AS severity,
-replace(text, regexp_extract(text, '{GENERIC}', 1), '[redacted]') AS evidence FROM lines WHERE regexp_matches(text, '{GENERIC}')""")
+# What is put into lines by their place: a secret of each of the other patterns, and near misses that are none.
+PLANTED = {
+    5: "key AKIA" + "Q7" * 8, 6: "AWS_SECRET_ACCESS_KEY = " + "aB3/" * 10, 7: "clone with ghp_" + "x9" * 18 + " please", 8: "-----BEGIN RSA PRIVATE KEY-----",
+    9: "hook xoxb-" + "12-ab" * 3, 10: "pay sk_live_" + "Zz0" * 6, 11: "short AKIA" + "Q7" * 7, 12: "ghp_" + "x9" * 10, 13: "token = [redacted]",
+}
+SECRET_KINDS = [(5, "aws-access-key-id", "critical"), (6, "aws-secret-key", "critical"), (7, "github-token", "critical"), (8, "private-key", "critical"), (9, "slack-token", "error"), (10, "stripe-key", "critical")]
+HIDDEN = {5: "key [redacted]", 6: "AWS_SECRET_ACCESS_KEY = [redacted]", 7: "clone with [redacted] please", 8: "[redacted]", 9: "hook [redacted]", 10: "pay [redacted]"}
+
+
+@query(f"""WITH {LINES}, p AS (SELECT path, number, CASE number % 40 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in PLANTED.items())} ELSE text END AS text FROM lines)
+SELECT path AS file, CAST(number AS INT) AS line_start, 'secret.generic-api-key' AS rule_id, 'error' AS severity,
+replace(text, regexp_extract(text, '{GENERIC}', 1), '[redacted]') AS evidence FROM p WHERE regexp_matches(text, '{GENERIC}')
+UNION ALL SELECT path, CAST(number AS INT), 'secret.' || name, severity, evidence FROM lines JOIN (VALUES {", ".join(f"({k}, '{n}', '{s}', '{HIDDEN[k]}')" for k, n, s in SECRET_KINDS)}) v(k, name, severity, evidence) ON number % 40 = k""")
 def secret_scan(spark, d):
-    return detect.detect_secrets(_lines(spark, d)).select("file", "line_start", "rule_id", "severity", F.col("evidence")[0].alias("evidence"))
+    text = F.col("text")
+    for k, v in PLANTED.items():
+        text = F.when(F.col("number") % 40 == k, v).otherwise(text)
+    found = detect.detect_secrets(_lines(spark, d).withColumn("text", text))
+    return found.select("file", "line_start", "rule_id", "severity", F.col("evidence")[0].alias("evidence"))
 
 
 GLOBS = ["**/*.go", "src/src1/*.js", "src/src?/*", "src/**", "*.txt"]
@@ -208,9 +223,9 @@ def list_reviews(spark, d):
 @query("""SELECT o_orderkey AS review_id, o_orderpriority AS mode, l_partkey, NULLIF(l_linenumber, 3) AS line_start, count(*) OVER (PARTITION BY o_orderkey) AS findings_count
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
 def get_review(spark, d):
-    o = _table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("review_id"), F.col("o_orderpriority").alias("mode"))
+    o = _table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("mode"))
     li = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("review_id"), "l_partkey", F.expr("nullif(l_linenumber, 3)").alias("line_start"))
-    return o.join(li, "review_id").withColumn("findings_count", F.count("*").over(W.partitionBy("review_id")))
+    return review_findings(o, li)
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +251,7 @@ def callees(spark, d):
 
 @query(f"WITH {REFS_SQL} SELECT DISTINCT src_file, src_name, dst_file, dst_name, kind FROM e WHERE dst_file = 's9'")
 def refs_into_file(spark, d):
-    return _refs(spark, d).where("dst_file = 's9'").select(*graph.EDGE).distinct().orderBy(*graph.EDGE)
+    return graph.refs_into_file(_refs(spark, d), "s9")
 
 
 @query(f"WITH {REFS_SQL} SELECT DISTINCT src_file AS file, src_name AS name, kind FROM e WHERE dst_file = 's6' AND dst_name = 'A'")
@@ -245,10 +260,10 @@ def type_uses(spark, d):
     return graph.type_uses(_refs(spark, d), s, "s6", "A")
 
 
-@query("SELECT DISTINCT CAST(page_id % 10 AS BIGINT) AS file_path, regexp_extract(url, '://([^/?#]*)', 1) AS import_path FROM pages")
+@query("SELECT DISTINCT 'p' || l_partkey AS import_path FROM lineitem WHERE l_suppkey = 7")
 def imports_of(spark, d):
-    p = _table(spark, d, "pages").select((F.col("page_id") % 10).alias("file_path"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("import_path"))
-    return p.distinct()
+    i = _table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("file_path"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("import_path"))
+    return graph.imports_of(i.distinct(), "s7")
 
 
 @query(f"WITH {REFS_SQL} SELECT DISTINCT src_file AS path FROM e WHERE dst_file = 's5' AND dst_name = 'N' UNION SELECT 's5'")
@@ -256,27 +271,27 @@ def files_touching(spark, d):
     return graph.files_touching(_refs(spark, d), "s5", "N")
 
 
-@query(f"""WITH {REFS_SQL}, p AS (SELECT DISTINCT src_file AS a, dst_file AS b FROM e WHERE l_orderkey % 50 = 0), g AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+@query(f"""WITH {REFS_SQL}, p AS (SELECT DISTINCT src_file AS a, dst_file AS b FROM e), g AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 s AS (SELECT unnest(['c11', 'c25', 'c40', 'nowhere']) AS path), d1 AS (SELECT DISTINCT b AS path FROM g JOIN s ON a = path), d2 AS (SELECT DISTINCT b AS path FROM g JOIN d1 ON a = path)
 SELECT path, CAST(min(distance) AS INT) AS distance FROM (SELECT path, 0 AS distance FROM s UNION ALL SELECT path, 1 FROM d1 UNION ALL SELECT path, 2 FROM d2) GROUP BY path""")
 def impact_set(spark, d):
-    return graph.impact_set(_refs(spark, d).where("l_orderkey % 50 = 0"), ["c11", "./c25", "c40", "x/../nowhere", "", "/"])
+    return graph.impact_set(_refs(spark, d), ["c11", "./c25", "c40", "x/../nowhere", "", "/"])
 
 
-@query("""SELECT c_custkey AS path, c_mktsegment AS language, count(o_orderkey) AS symbols, min(o_orderkey) AS first_symbol FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+@query("""SELECT c_custkey AS path, c_mktsegment AS language, count(o_orderkey) AS symbols, min(o_orderkey) AS first_symbol, count(DISTINCT o_orderpriority) AS imports, min(o_orderpriority) AS first_import FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
 def repo_index(spark, d):
     c, o = _table(spark, d, "customer"), _table(spark, d, "orders")
     f = c.select(F.lit("r").alias("repo_path"), F.col("c_custkey").alias("path"), F.col("c_mktsegment").alias("language"), F.lit("").alias("hash"))
     s = o.select(F.lit("r").alias("repo_path"), F.col("o_custkey").alias("file_path"), F.col("o_orderkey").cast("string").alias("name"), F.lit("func").alias("kind"), F.col("o_orderkey").cast("int").alias("line"))
-    i = s.select("repo_path", "file_path", F.col("name").alias("import_path")).limit(0)
+    i = o.select(F.lit("r").alias("repo_path"), F.col("o_custkey").alias("file_path"), F.col("o_orderpriority").alias("import_path")).distinct()
     got = graph.repo_index(f, s, i)
-    return got.select("path", "language", F.size("symbols").cast("long").alias("symbols"), F.get("symbols", F.lit(0)).line.cast("long").alias("first_symbol"))
+    return got.select("path", "language", F.size("symbols").cast("long").alias("symbols"), F.get("symbols", F.lit(0)).line.cast("long").alias("first_symbol"), F.size("imports").cast("long").alias("imports"), F.get("imports", F.lit(0)).alias("first_import"))
 
 
-@query("SELECT c_custkey AS path, o_orderpriority AS name, o_orderkey AS line FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 50 = 0")
+@query("SELECT c_custkey AS path, o_orderpriority AS name, o_orderkey AS line FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def symbol_rows(spark, d):
     f = _table(spark, d, "customer").select(F.lit("r").alias("repo_path"), F.col("c_custkey").alias("path"))
-    s = _table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.lit("r").alias("repo_path"), F.col("o_custkey").alias("file_path"), F.col("o_orderpriority").alias("name"), F.lit("func").alias("kind"), F.col("o_orderkey").alias("line"))
+    s = _table(spark, d, "orders").select(F.lit("r").alias("repo_path"), F.col("o_custkey").alias("file_path"), F.col("o_orderpriority").alias("name"), F.lit("func").alias("kind"), F.col("o_orderkey").alias("line"))
     return graph.symbol_rows(f, s).select("path", "name", "line")
 
 
@@ -318,8 +333,8 @@ SELECT source, count(*) AS chunks, CAST(sum(cost) AS BIGINT) AS tokens FROM run
 def context_pack(spark, d):
     docs = _table(spark, d, "documents").select("source", _path().alias("path"), "text")
     lines = docs.select("source", "path", F.posexplode(diff.lines_of(F.col("text"))).alias("i", "text")).select("source", "path", (F.col("i") + 1).alias("number"), (F.col("i") + 1).alias("line_ord"), "text")
-    shown = context.fit(context.chunks(lines, keys=["source"]), F.lit(9000), ["source"])
-    return shown.where("kept").groupBy("source").agg(F.count("*").alias("chunks"), F.sum("cost").alias("tokens"))
+    shown = context.fit(context.chunks(lines, keys=["source"]), 9000, ["source"])
+    return shown.groupBy("source").agg(F.count("*").alias("chunks"), F.sum("cost").alias("tokens"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN '' ELSE 'f' || conv_id END AS file, CAST(turn % 4 AS INT) AS line_start, CASE WHEN role IN ('user') THEN 'error' ELSE 'warning' END AS severity,
@@ -351,12 +366,13 @@ def route_provider(spark, d):
     return agent.choose_provider(p, ["k"]).select("k", "name")
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_brand AS system, p_type AS prompt FROM part), f AS (SELECT p_brand AS system, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS prompt, p_name || '!' AS response, p_partkey AS ord FROM part WHERE p_partkey % 20 = 0)
-SELECT p.id, (SELECT arg_min(response, ord) FROM f WHERE f.system = p.system AND f.prompt IN ('', p.prompt)) AS response FROM p""")
+@query("""WITH p AS (SELECT p_partkey AS id, p_brand AS system, p_type AS prompt FROM part), f AS (SELECT p_brand AS system, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS prompt, p_name || '!' AS response, p_partkey AS ord FROM part),
+g AS (SELECT system, prompt, arg_min(response, ord) AS response, min(ord) AS ord FROM f GROUP BY ALL)
+SELECT p.id, CASE WHEN a.ord < coalesce(b.ord, a.ord + 1) THEN a.response ELSE b.response END AS response FROM p LEFT JOIN g a ON a.system = p.system AND a.prompt = p.prompt LEFT JOIN g b ON b.system = p.system AND b.prompt = ''""")
 def fixture_lookup(spark, d):
     part = _table(spark, d, "part")
     p = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("system"), F.col("p_type").alias("prompt"))
-    f = part.where("p_partkey % 20 = 0").select(F.col("p_brand").alias("system"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_type")).alias("prompt"), F.concat("p_name", F.lit("!")).alias("response"), F.col("p_partkey").alias("ord"))
+    f = part.select(F.col("p_brand").alias("system"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_type")).alias("prompt"), F.concat("p_name", F.lit("!")).alias("response"), F.col("p_partkey").alias("ord"))
     return agent.lookup_fixtures(p, f).select("id", "response")
 
 
@@ -398,15 +414,23 @@ def severity_normal(spark, d):
     return _table(spark, d, "orders").select("o_orderkey", s.alias("severity"), severity_weight(s).alias("weight"))
 
 
-@query("""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nxt FROM nation)
-SELECT 'r' || r || '/n' || k || '.go' AS src_file, 'N' || k AS src_name, 'r' || r || '/n' || nxt || '.go' AS dst_file, 'N' || nxt AS dst_name, 'call' AS kind FROM n WHERE nxt IS NOT NULL
-UNION ALL SELECT 'r' || r || '/n' || k || '.go', 'v' || k, 'r' || r || '/n' || k || '.go', 'N' || k, 'use' FROM n""")
+@query("""WITH n AS (SELECT c_custkey AS k, 'n' || c_nationkey || '/c' AS f, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS x FROM customer)
+SELECT f || k || '.go' AS src_file, v.src AS src_name, f || v.to_ || '.go' AS dst_file, v.dst AS dst_name, v.kind FROM n,
+LATERAL (VALUES ('T' || k, x, 'T' || x, 'use'), ('T' || k || '.Go', k, 'T' || k, 'use'), ('T' || k || '.Go', k, 'C' || k, 'use'), ('T' || k || '.Go', x, 'F' || x, 'call'), ('F' || k, k, 'C' || k, 'use'),
+('V' || k, k, 'F' || k, 'call'), ('G' || k, x, 'T' || x || '.Go', 'call')) v(src, to_, dst, kind) WHERE v.dst IS NOT NULL""")
 def graph_index(spark, d):
-    n = _table(spark, d, "nation").select("n_nationkey", "n_regionkey").withColumn("nxt", F.lead("n_nationkey").over(W.partitionBy("n_regionkey").orderBy("n_nationkey")))
-    k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
-    call = F.when(F.col("nxt").isNull(), "").otherwise(F.concat(F.lit("\tN"), F.col("nxt").cast("string"), F.lit("()\n")))
-    text = F.concat(F.lit("package r\n\nfunc N"), k, F.lit("() {\n"), call, F.lit("}\n\nvar v"), k, F.lit(" = N"), k, F.lit("\n"))
-    src = n.select(F.concat(F.lit("r"), r, F.lit("/n"), k, F.lit(".go")).alias("path"), text.cast("binary").alias("content"))
+    """A file for each customer, a folder for each nation: a type that holds the next one, a method, a constant, a function
+    with a local of the next function's name, an initialised variable and a call of a method by its type."""
+    c = _table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dir"))
+    c = c.withColumn("x", F.lead("k").over(W.partitionBy("dir").orderBy("k")))
+    lines = [
+        "package p", 'import "fmt"', "const C@ = 1", "type T@ struct {#\tnext *T$#\tsize int\n}", "func (t *T@) Go() int {\n\tfmt.Println(C@, t.size)#\tF$()\n\treturn t.size\n}",
+        "func F@() int {#\tF$ := C@#\t_ = F$\n\treturn C@\n}", "var V@ = F@()", "#func G@() { T$.Go(nil); C@ := 2; _ = C@ }",
+    ]
+    text = F.lit("\n\n".join(lines) + "\n")
+    text = F.when(F.col("x").isNull(), F.regexp_replace(text, r"#[^\n]*(?=\n)", "")).otherwise(F.replace(text, F.lit("#"), F.lit("\n")))
+    text = F.replace(F.replace(text, F.lit("@"), F.col("k").cast("string")), F.lit("$"), F.coalesce(F.col("x").cast("string"), F.lit("")))
+    src = c.select(F.concat("dir", F.lit("/c"), F.col("k").cast("string"), F.lit(".go")).alias("path"), text.cast("binary").alias("content"))
     rows = files.index_rows(files.source_files(src, "repo"))
     return rows.where("record = 'ref'").select(F.col("file").alias("src_file"), F.col("name").alias("src_name"), "dst_file", "dst_name", "kind")
 

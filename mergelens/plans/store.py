@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -30,6 +30,19 @@ def latest_per_repo(reviews: DataFrame, repo: str = "repo_path", at: str = "star
     return reviews.groupBy(repo).agg(top, F.count("*").alias("reviews")).select("top.*", "reviews")
 
 
+def review_findings(reviews: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings of reviews, each with what its review says of itself: ``findings`` joined by review_id with ``reviews``
+    (id, mode, ..) and the number of the review's findings, counted before the join."""
+    counted = findings.groupBy("review_id").agg(F.count("*").alias("findings_count"))
+    heads = reviews.withColumnRenamed("id", "review_id").drop("findings_count").join(counted, "review_id")
+    return findings.join(heads, "review_id")
+
+
+def finding_order() -> list[Column]:
+    """By file and line, findings of a whole file first."""
+    return [F.col("file"), F.col("line_start").asc_nulls_first(), F.col("position")]
+
+
 class Store:
     """Tables in a folder; missing ones are made when the store opens."""
 
@@ -80,7 +93,7 @@ class Store:
         if not found:
             raise KeyError(id_)
         rows = self.read("findings").where(F.col("review_id") == id_)
-        return found[0].asDict(), rows.orderBy(F.col("file"), F.col("line_start").asc_nulls_first(), "position")
+        return found[0].asDict(), rows.orderBy(*finding_order())
 
     def list_reviews(self, repo: str) -> DataFrame:
         return self.read("reviews").where(F.col("repo_path") == repo).orderBy(F.col("started_at").desc(), F.col("id").desc())
