@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir`` and read back: what follows sees the same rows however often it runs,
-    and a lost executor costs no recomputation. A temporary folder is used only where that setting is unset."""
+    and a lost executor costs no recomputation. Where that setting is unset, a temporary folder serves a local master;
+    on a cluster, whose machines share none, that is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="mergelens-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/mergelens/{label}-{uuid.uuid4().hex}"

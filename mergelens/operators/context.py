@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -101,6 +103,19 @@ def window_bounds(start: Column, end: Column, radius: Column, total: Column) ->
     return F.when(gone, F.greatest(total - radius, F.lit(1))).otherwise(first), F.when(gone, total).otherwise(last)
 
 
+def code_window(spark: SparkSession, repo: str, file: str, line_start: int, line_end: int, radius: int = 0) -> DataFrame:
+    """number, text, hit: the lines of a file of a working tree around a place; ``hit`` marks those of the place itself.
+    Raises ValueError for a path that is empty or leads out of the repository, OSError for one that can't be read."""
+    path = os.path.normpath(file or "..")
+    if not repo or os.path.isabs(path) or path.split(os.sep)[0] == os.pardir:
+        raise ValueError(f"no file of the repository: {file!r}")
+    with open(os.path.join(repo, path), encoding="utf-8", errors="replace", newline="") as f:
+        text = f.read()
+    first, last = max(line_start, 1), max(line_end, line_start, 1)
+    df = spark.createDataFrame([(path, text, line_start, line_end, radius)], "path string, text string, line_start int, line_end int, radius int")
+    return file_window(df).select("number", "text", F.col("number").between(first, last).alias("hit")).orderBy("number")
+
+
 def file_window(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """path, number, text: for rows with line_start, line_end and radius the lines around, cut out of the file's array of
     lines before it explodes."""

@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergelens.functions.lineage import cut
 from mergelens.functions.text import split_budget
 from mergelens.operators import agent, context, findings, graph
 from mergelens.operators.detect import run_detectors
@@ -20,7 +21,7 @@ from mergelens.operators.rules import Rule, default_rules, evaluate
 from mergelens.plans.store import Store, sync
 from mergelens.sources import config as configs
 from mergelens.sources.files import discover
-from mergelens.sources.git import GitError, working_diff
+from mergelens.sources.git import GitError, NotARepository, working_diff
 
 VERSION = "0.1.0"
 
@@ -51,26 +52,34 @@ def reduce_findings(parts: Sequence[DataFrame]) -> DataFrame:
     return findings.with_ids(findings.dedupe(findings.union_all(parts)))
 
 
+class SyncFailed(RuntimeError):
+    """The index could not be brought up to date."""
+
+
 def related_files(spark: SparkSession, repo: str, lines: DataFrame, store: Store) -> DataFrame:
     """path, distance, code of files that the change may touch, beyond the changed ones."""
     files = discover(spark, repo)
-    sync(files, repo, store)
+    try:
+        sync(files, repo, store)
+    except Exception as e:
+        raise SyncFailed(e) from e
     changed = [r.path for r in lines.select("path").distinct().collect()]  # a row a changed file
     reached = graph.impact_set(store.index("index_refs", repo), changed).where("distance > 0")
     return reached.join(files.select("path", F.col("content").cast("string").alias("code")), "path").select("path", "distance", "code")
 
 
-def model_findings(lines: DataFrame, related: DataFrame | None, baseline: DataFrame, providers: Sequence[agent.Provider], budget: int, local_only: bool) -> tuple[DataFrame, int]:
-    """Verified findings of the model stage and the number of entries that were no findings. Raises what routing and
-    parsing raise."""
+def model_findings(lines: DataFrame, related: DataFrame | None, baseline: DataFrame, providers: Sequence[agent.Provider], budget: int, local_only: bool) -> tuple[DataFrame, int, int, str]:
+    """Verified findings of the model stage, the number of entries that were no findings and of findings that are not on
+    added lines, and the provider's name. Raises what routing and parsing raise."""
     spark = lines.sparkSession
     room, _ = split_budget(budget)
     prompt = context.pack_context(lines, related, context.baseline_block(baseline), room)
-    _, answer = agent.route(providers, agent.SYSTEM, prompt, local_only)
+    name, answer = agent.route(providers, agent.SYSTEM, prompt, local_only)
     agent.parse_answer(answer)  # raises for what isn't an array of findings
     found = agent.candidates(spark.createDataFrame([(0, answer)], "ord int, answer string"))
     invalid = found.where("not valid").count()
-    return agent.verify(found.where("valid").drop("valid"), lines), invalid
+    verified = agent.verify(found.where("valid").drop("valid"), lines)
+    return verified, invalid, verified.where("demoted").count(), name
 
 
 def review(
@@ -87,9 +96,13 @@ def review(
     if not os.path.isdir(repo):
         raise ValueError(f"{repo} is no folder")
     config = config or configs.merge([])
+    rules = default_rules() if rules is None else rules
     out = Review(uuid.uuid4().hex[:16], repo, config["mode"], spark.createDataFrame([], "id string"))
     try:
         _, diffs = working_diff(spark, repo)
+    except NotARepository:
+        out.degradations.append("the folder is no git working tree: reviewed without a diff")
+        diffs = spark.createDataFrame([], "path string, diff_text string")
     except GitError as e:
         out.degradations.append(f"diff not available: {e}")
         diffs = spark.createDataFrame([], "path string, diff_text string")
@@ -97,18 +110,26 @@ def review(
     try:
         parts, out.analyzers_run, notes = run_detectors(lines, detectors)
         out.degradations += notes
-        parts.append(evaluate(lines, default_rules() if rules is None else rules))
+        parts.append(evaluate(lines, rules))
+        if rules:
+            out.analyzers_run.append("rules")
         if providers:
+            related = None
+            if store:
+                try:
+                    related = related_files(spark, repo, lines, store)
+                except SyncFailed as e:
+                    out.degradations.append(f"index sync failed: {e}")
+                except Exception as e:  # the pack goes on without related code
+                    out.degradations.append(f"impact slice not available: {e}")
             try:
-                related = related_files(spark, repo, lines, store) if store else None
-            except Exception as e:  # the pack goes on without related code
-                out.degradations.append(f"impact slice not available: {e}")
-                related = None
-            try:
-                found, invalid = model_findings(lines, related, reduce_findings(parts), providers, config["budgets.review_tokens"], config["mode"] == "offline")
+                found, invalid, demoted, name = model_findings(lines, related, reduce_findings(parts), providers, config["budgets.review_tokens"], config["mode"] == "offline")
                 parts.append(found)
+                out.analyzers_run.append(f"llm:{name}")
                 if invalid:
                     out.degradations.append(f"model stage: {invalid} entries were no findings")
+                if demoted:
+                    out.degradations.append(f"model stage: {demoted} findings are not on added lines")
             except Exception as e:  # the model stage only adds
                 out.degradations.append(f"model stage skipped: {e}")
         out.findings = findings.with_rank(reduce_findings(parts), parts=8)
@@ -117,8 +138,7 @@ def review(
             store.save_review({"id": out.id, "repo_path": repo, "mode": out.mode, "started_at": out.started_at, "finished_at": now}, out.findings)
             out.findings = store.get_review(out.id)[1].withColumnRenamed("position", "rank").withColumn("seq", F.array(F.col("rank").cast("long")))
         else:
-            rows = out.findings.collect()
-            out.findings = spark.createDataFrame(rows, out.findings.schema)
+            out.findings = cut(out.findings, "review")
     finally:
         lines.unpersist()
     return out
@@ -129,6 +149,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     import argparse
     import sys
 
+    from mergelens.plans.app import settings
+
     parser = argparse.ArgumentParser("mergelens")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("version")
@@ -143,8 +165,8 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        config, warnings = configs.load_for_repo(args.repo, os.path.expanduser("~/.mergelens/config.yaml"), args.config)
-        got = review(spark, os.path.abspath(args.repo), config, store=Store(spark, args.store) if args.store else None)
+        s = settings(os.path.abspath(args.repo), args.config)
+        got = review(spark, os.path.abspath(args.repo), s.config, s.rules, providers=s.providers, store=Store(spark, args.store) if args.store else None)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
@@ -154,6 +176,6 @@ def main(argv: Sequence[str] | None = None) -> int:
         print(f"review {got.id} of {got.repo} ({got.mode}): {findings.summary_line(got.findings)}")
         for x in findings.rank(got.findings).collect():
             print(f"{x.severity:<8} {x.file}:{x.line_start} {x.message}")
-        for note in [*warnings, *got.degradations]:
+        for note in [*s.warnings, *got.degradations]:
             print(f"note: {note}")
     return 0

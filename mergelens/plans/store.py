@@ -8,6 +8,9 @@ that nothing refers to.
 from __future__ import annotations
 
 import os
+import secrets
+import time
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,14 +80,17 @@ class Store:
     # reviews
 
     def save_review(self, review: dict, findings: DataFrame) -> None:
-        """``review``: id, repo_path, mode, started_at, finished_at; findings in the order of ``rank`` if they have it."""
+        """``review``: id, repo_path, mode, started_at, finished_at; findings in the order of ``rank`` if they have it. A
+        review is there with all its findings or not at all: they are written under the name of this attempt, which the
+        review's row then gives, so that what a lost attempt wrote belongs to no review."""
         own = with_ids(findings)
         position = F.col("rank").cast("int") if "rank" in own.columns else F.lit(None).cast("int")
-        rows = own.withColumns({"review_id": F.lit(review["id"]), "position": position})
+        attempt = uuid.uuid4().hex
+        rows = own.withColumns({"review_id": F.lit(review["id"]), "position": position, "attempt": F.lit(attempt)})
         names = [c.split()[0] for c in STORED_FINDINGS.split(", ")]
         rows.select(*names).write.mode("append").parquet(self._path("findings"))
-        n = self.read("findings").where(F.col("review_id") == review["id"]).count()
-        row = (review["id"], review["repo_path"], review["mode"], review["started_at"].replace(microsecond=0), review["finished_at"].replace(microsecond=0), n)
+        n = self.read("findings").where((F.col("review_id") == review["id"]) & (F.col("attempt") == attempt)).count()
+        row = (review["id"], review["repo_path"], review["mode"], review["started_at"].replace(microsecond=0), review["finished_at"].replace(microsecond=0), n, attempt)
         self.spark.createDataFrame([row], REVIEWS).coalesce(1).write.mode("append").parquet(self._path("reviews"))
 
     def get_review(self, id_: str) -> tuple[dict, DataFrame]:
@@ -92,7 +98,7 @@ class Store:
         found = self.read("reviews").where(F.col("id") == id_).head(1)
         if not found:
             raise KeyError(id_)
-        rows = self.read("findings").where(F.col("review_id") == id_)
+        rows = self.read("findings").where((F.col("review_id") == id_) & F.col("attempt").eqNullSafe(found[0].attempt)).drop("attempt")
         return found[0].asDict(), rows.orderBy(*finding_order())
 
     def list_reviews(self, repo: str) -> DataFrame:
@@ -120,11 +126,17 @@ class Store:
     def hashes(self, repo: str) -> DataFrame:
         return self.index("index_files", repo).select("path", "hash")
 
+    def _new_gen(self) -> int:
+        """A number above every generation there is, of the time in microseconds and 12 random bits: writers that start
+        together have numbers of their own, and of their changes to one directory the greater stands whole."""
+        last = self.read("manifest").agg(F.max("gen")).head()[0] or 0
+        return max(last + 1, (time.time_ns() // 1000 << 12) | secrets.randbits(12))
+
     def replace_dirs(self, repo: str, dirs: Iterable[str], tables: dict[str, DataFrame]) -> None:
         """Replaces directories whole in all four tables; those that get no file are gone. Raises ValueError, and changes
         nothing, if an edge has an unknown end."""
         check_refs(tables["index_refs"], tables["index_symbols"])
-        gen = (self.read("manifest").agg(F.max("gen")).head()[0] or 0) + 1
+        gen = self._new_gen()
         for name, df in tables.items():
             cols = [c.split()[0] for c in INDEX_TABLES[name].split(", ")]
             df.select(*cols, "dir", F.lit(gen).cast("long").alias("gen")).write.mode("append").parquet(self._path(name))
@@ -133,7 +145,7 @@ class Store:
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(self._path("manifest"))
 
     def delete_dir(self, repo: str, folder: str) -> None:
-        gen = (self.read("manifest").agg(F.max("gen")).head()[0] or 0) + 1
+        gen = self._new_gen()
         self.spark.createDataFrame([(repo, folder, gen, False)], MANIFEST).coalesce(1).write.mode("append").parquet(self._path("manifest"))
 
 

@@ -17,8 +17,8 @@ FINDINGS = (
     "id string, rule_id string, category string, severity string, source string, file string, line_start int, line_end int, "
     "message string, reasoning string, evidence array<string>, confidence double, demoted boolean, seq array<long>"
 )
-REVIEWS = "id string, repo_path string, mode string, started_at timestamp, finished_at timestamp, findings_count int"
-STORED_FINDINGS = "review_id string, " + FINDINGS.replace(", seq array<long>", ", position int")
+REVIEWS = "id string, repo_path string, mode string, started_at timestamp, finished_at timestamp, findings_count int, attempt string"
+STORED_FINDINGS = "review_id string, " + FINDINGS.replace(", seq array<long>", ", position int, attempt string")
 RULES = "name string, paths array<string>, path_res array<string>, severity string, pattern string, message string, source string, ord int"
 INDEX_FILES = "repo_path string, path string, language string, hash string, updated_at timestamp"
 INDEX_SYMBOLS = "repo_path string, file_path string, name string, kind string, line int"

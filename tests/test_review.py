@@ -48,14 +48,15 @@ def test_not_a_repository(spark, tmp_path):
     with pytest.raises(g.NotARepository):
         g.working_diff(spark, str(tmp_path))
     got = review(spark, str(tmp_path))
-    assert got.findings.count() == 0 and "diff not available" in got.degradations[0]
+    assert got.findings.count() == 0 and "without a diff" in got.degradations[0]
     with pytest.raises(ValueError):
         review(spark, str(tmp_path / "none"))
 
 
 def test_clean_tree(spark, repo):
     got = review(spark, str(repo), detectors=())
-    assert got.golden() == {"repo": str(repo), "mode": "offline", "analyzers_run": [], "findings": []}
+    assert got.golden() == {"repo": str(repo), "mode": "offline", "analyzers_run": ["rules"], "findings": []}
+    assert review(spark, str(repo), rules=[], detectors=()).analyzers_run == []
 
 
 def test_findings_are_ranked_redacted_and_kept(spark, repo, tmp_path):
@@ -87,7 +88,8 @@ def test_model_stage(spark, repo, tmp_path):
     assert (rows["changed"]["severity"], rows["changed"]["confidence"], rows["changed"]["demoted"]) == ("error", 0.6, False)
     assert (rows["nowhere"]["severity"], rows["nowhere"]["demoted"]) == ("info", True)
     assert "--- quay.go (distance 1)" in seen[0] and "+3 const Ebb = 6" in seen[0]
-    assert got.degradations == ["model stage: 1 entries were no findings"]
+    assert got.degradations == ["model stage: 1 entries were no findings", "model stage: 1 findings are not on added lines"]
+    assert got.analyzers_run == ["secrets", "rules", "llm:p"]
     remote = agent.Provider("far", "m", False, answer)
     skipped = review(spark, str(repo), merge([]), providers=[remote])
     assert skipped.findings.count() == 0 and "model stage skipped" in skipped.degradations[0]
@@ -121,3 +123,32 @@ def test_command_line(capsys):
     with pytest.raises(SystemExit) as e:
         main([])
     assert e.value.code == 2
+
+
+def test_what_a_lost_attempt_wrote_is_no_part_of_a_review(spark, tmp_path):
+    from mergelens.operators.findings import finding
+
+    store, at = Store(spark, str(tmp_path / "s")), datetime(2025, 5, 5)
+    review_ = {"id": "r", "repo_path": "/a", "mode": "offline", "started_at": at, "finished_at": at}
+    written = Store.__dict__["save_review"]
+    lost = Store(spark, str(tmp_path / "s"))
+    lost.spark = _NoRows(spark)
+    with pytest.raises(RuntimeError):  # dies between the findings and the review's row
+        written(lost, review_, spark.range(3).select(*finding(file=none_col("f"))))
+    assert store.read("findings").count() == 3 and store.list_reviews("/a").count() == 0
+    store.save_review(review_, spark.range(2).select(*finding(file=none_col("g"))))
+    head, rows = store.get_review("r")
+    assert head["findings_count"] == 2 and {r.file for r in rows.collect()} == {"g"}
+
+
+class _NoRows:
+    """A session that can read but makes no rows."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
+
+    def createDataFrame(self, *_):
+        raise RuntimeError("lost")
