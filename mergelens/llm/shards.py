@@ -84,7 +84,8 @@ def _settle(n: _Node, bins: list, goal: float, slack: float) -> None:
         if edge + w >= rest or k == len(bins) - 1:
             if w <= slack or points == 1 or least == most and n.at is not None:
                 right = edge + w - rest < rest - edge  # the nearer edge of the bin
-                place = (bins[k + 1][2] if k + 1 < len(bins) else n.high + 1 if n.at is None else 1.0) if right else least
+                # beyond the last bin of a range there is no place known but the next number: other points may follow
+                place = (bins[k + 1][2] if k + 1 < len(bins) else math.nextafter(most, math.inf)) if right else least
                 n.cut = (place, 0.0) if n.at is None else (n.at, place)
             elif least == most:
                 n.at, n.low, n.high, n.below = least, 0.0, 1.0, edge
@@ -92,7 +93,7 @@ def _settle(n: _Node, bins: list, goal: float, slack: float) -> None:
                 n.low, n.high, n.below = least, most, edge
             return
         edge += w
-    n.cut = (n.high + 1, 0.0)
+    n.cut = (math.nextafter(n.high, math.inf), 0.0)
 
 
 def _split(points: DataFrame, nodes: list[_Node], extent: list[tuple[float, float]], shard_bytes: float) -> tuple[DataFrame, list[_Node]]:

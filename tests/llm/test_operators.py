@@ -57,6 +57,49 @@ def test_a_group_larger_than_a_shard_is_cut(spark):
     check_shards(rows, source, 5, 0.12)
 
 
+def test_shards_are_a_tree_of_weighted_medians(spark):
+    """Every split of the tree against brute force: along the widest dimension, at the point nearest to the weighted median."""
+    rng = random.Random(3)
+    xs, ys = rng.sample(range(10**6), 300), rng.sample(range(300), 300)
+    rows = [(i, "t" * rng.randint(1, 400) + str(i), float(xs[i]) ** 3, float(ys[i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x double, y double").repartition(3)
+    shard = {r.doc_id: r.shard for r in shards.kd_shards(df, ["x", "y"], n_shards=6).collect()}
+    points = [(r[2:], len(r[1]) + 1, shard[r[0]]) for r in rows]
+    extent = [max(p[0][d] for p in points) - min(p[0][d] for p in points) for d in (0, 1)]
+    todo = [(0, 6)]
+    while todo:
+        first, n = todo.pop()
+        if n == 1:
+            continue
+        own = [p for p in points if first <= p[2] < first + n]
+        axis = max((0, 1), key=lambda d: (max(p[0][d] for p in own) - min(p[0][d] for p in own)) / extent[d])
+        own.sort(key=lambda p: p[0][axis])
+        left = [p[2] < first + n // 2 for p in own]
+        k = sum(left)
+        assert all(left[:k]) and not any(left[k:])
+        goal, before = sum(p[1] for p in own) * (n // 2) / n, sum(p[1] for p in own[:k])
+        slack = sum(p[1] for p in points) / 6 * shards.SLACK
+        assert abs(before - goal) <= min(abs(before - own[k - 1][1] - goal), abs(before + own[k][1] - goal)) + slack
+        todo += [(first, n // 2), (first + n // 2, n - n // 2)]
+
+
+@pytest.mark.parametrize("ids", [range(4000), [10**16 + 7 * i for i in range(4000)]])
+def test_registered_shards_of_skewed_values(spark, tmp_path, ids):
+    """Nearly all rows tie in all dimensions but the id, which is beyond the doubles' whole numbers; sizes differ widely."""
+    rng = random.Random(9)
+    rows = [(d, prose(rng, 1 + int(60 * rng.random() ** 4)) + str(i), "en", "hot" if i % 10 else f"s{i % 70}", 5) for i, d in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = shards.op1_shards(spark, str(tmp_path)).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    mean = sum(sizes.values()) / 8
+    assert len(got) == len(rows) and sorted(sizes) == list(range(8)) and all(abs(v / mean - 1) < 0.02 for v in sizes.values()), sizes
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {r[0]: (len(r[1].encode()) + 1, zlib.crc32(r[1].encode())) for r in rows}
+
+
 def test_shards_of_odd_rows(spark, docs):
     source = [(r[0], r[1]) for r in corpus()]
     check_shards(shards.kd_shards(docs, ["lang", "source", "n_chars", "doc_id"], n_shards=3).collect(), source, 3, 0.9)
