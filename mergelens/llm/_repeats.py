@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,7 +22,12 @@ from mergelens.llm._store import NO_ID, keyed, materialise
 
 RUNS = "mh long, dg long, dk long, th long, start int, n int, twice boolean, dup boolean"
 #: From so many different runs under one minimiser, each window goes to a bucket of its own.
-HOT = 2000
+HOT = 500
+#: Partitions and rows of each that are looked at for frequent minimisers, how often such a one is found there, and how many
+#: there may be.
+PARTS, ROWS, OFTEN, MOST = 64, 320, 24, 100_000
+#: Tasks among which the runs of a frequent minimiser are dealt.
+SALT = 256
 
 
 def combine(mh: np.ndarray, dg: np.ndarray, dk: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray, first_stays: bool) -> pa.RecordBatch:
@@ -52,10 +58,31 @@ def combine(mh: np.ndarray, dg: np.ndarray, dk: np.ndarray, th: np.ndarray, star
     return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(cols, kinds, strict=True)], ["mh", "dg", "dk", "th", "start", "n", "twice", "dup"])
 
 
-def judge(rows: DataFrame, first_stays: bool, label: str) -> DataFrame:
+def frequent(texts: DataFrame, cut: Callable, label: str) -> DataFrame:
+    """mh: minimisers that ``OFTEN`` or more different runs have in the first ``ROWS`` rows of some ``PARTS`` partitions.
+
+    Only where runs are compared depends on this, never which: a frequent minimiser is dealt among tasks by digest, window
+    by window, and one that was not seen here is dealt the same way where ``judge`` counts over ``HOT`` runs of it.
+    """
+    step = max(1, texts.rdd.getNumPartitions() // PARTS)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() % step == 0:
+            for b in batches:
+                yield from cut(iter([b.slice(0, ROWS)]))
+                return
+
+    counts = texts.mapInArrow(some, RUNS).where("not dup").groupBy("mh").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    return materialise(counts.orderBy(F.col("n").desc()).limit(MOST).select("mh"), label)
+
+
+def judge(rows: DataFrame, first_stays: bool, label: str, often: DataFrame) -> DataFrame:
     """Of all runs those that are duplicates as a whole (dup) and the representatives whose windows have to be compared
-    (rep; hot if there are over ``HOT`` of them). One shuffle by minimiser; the hot digests were combined before it."""
-    by_dg = W.partitionBy("mh", "dg").orderBy("dk", "th", "start")
+    (rep; hot if there are over ``HOT`` of them, or their minimiser is among those of ``often``, whose runs are dealt
+    among ``SALT`` tasks). One shuffle by minimiser; equal runs were combined before it, batch by batch."""
+    rows = rows.join(F.broadcast(often.withColumn("often", F.lit(True))), "mh", "left")
+    rows = rows.withColumn("part", F.when(F.col("often"), F.pmod("dg", F.lit(SALT))).otherwise(0)).repartition("mh", "part")
+    by_dg = W.partitionBy("mh", "part", "dg").orderBy("dk", "th", "start")
     at = F.struct("dk", "th", "start")
     rows = rows.withColumn("head", F.first(at).over(by_dg)).withColumn("new", F.row_number().over(by_dg) == 1)
     if first_stays:
@@ -64,10 +91,11 @@ def judge(rows: DataFrame, first_stays: bool, label: str) -> DataFrame:
         whole = by_dg.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         rows = rows.withColumn("tail", F.last(at).over(whole)).withColumn("any", F.max("twice").over(whole))
         known = F.col("dup") | F.col("any") | (F.col("head") != F.col("tail"))
-    kinds = F.sum(F.col("new").cast("int")).over(W.partitionBy("mh"))
+    kinds = F.sum(F.col("new").cast("int")).over(W.partitionBy("mh", "part"))
     rows = rows.withColumn("known", known).withColumn("kinds", kinds)
-    rep = F.col("new") & (F.col("kinds") > 1)
-    rows = rows.select("mh", "dk", "th", "start", "n", F.col("known").alias("dup"), rep.alias("rep"), (F.col("kinds") > HOT).alias("hot"))
+    dealt = F.coalesce("often", F.lit(False))
+    rep = F.col("new") & ((F.col("kinds") > 1) | dealt)
+    rows = rows.select("mh", "dk", "th", "start", "n", F.col("known").alias("dup"), rep.alias("rep"), ((F.col("kinds") > HOT) | dealt).alias("hot"))
     return materialise(rows.where("dup or rep"), label)
 
 
@@ -136,4 +164,4 @@ def doc_id(dk: pa.Array) -> pa.Array:
     return pa.array(values, mask=values == NO_ID)
 
 
-__all__ = ["RUNS", "combine", "covered", "doc_id", "judge", "keyed", "spans"]
+__all__ = ["RUNS", "combine", "covered", "doc_id", "frequent", "judge", "keyed", "spans"]

@@ -13,20 +13,34 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests, local mode)."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset, a temporary folder serves a local master; on a cluster,
+    whose machines share none, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="mergelens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` to a table of its own in the shared folder and read it back, so that a lost executor costs no
-    recomputation of what stands before it."""
+    recomputation of what stands before it; and the table's path."""
     path = f"{shared_dir(df.sparkSession)}/mergelens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """``table`` for good."""
+    return table(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,14 @@ def grid_masks(distance: int, spare: int = 2) -> list[int]:
     return [sum(pair) for pair in combinations(groups, spare)]
 
 
+def spare_groups(n: int, distance: int) -> int:
+    """How many groups of segments a cell fixes for ``n`` fingerprints: more cells of fewer rows each as ``n`` grows. The
+    cost of a fingerprint is that of its rows, one a grid, and of the strangers in its cells; a segment's count has one
+    and a half bits."""
+    grids = lambda s: comb(distance + s, s)
+    return min(range(2, 9), key=lambda s: grids(s) * (4 + n / 2 ** (48 * s / (distance + s))))
+
+
 def _forest(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links (x, y): no component is lost, no cycle is kept."""
     top: dict[int, int] = {}
@@ -110,9 +119,10 @@ def links(fps: DataFrame, distance: int = 4, cell_cap: int = 2048) -> DataFrame:
     are linked. ``fps``: one column fp, distinct.
 
     Every fingerprint goes to its cell of each grid. A cell of more than ``cell_cap`` fingerprints is dealt to blocks and
-    each pair of blocks is compared as a cell of its own, so no task holds a whole hot cell and no pair is lost.
+    each pair of blocks is compared as a cell of its own, so no task holds a whole hot cell and no pair is lost. The
+    number of grids follows the number of fingerprints, see ``spare_groups``.
     """
-    masks = grid_masks(distance)
+    masks = grid_masks(distance, spare_groups(fps.count(), distance))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,11 +173,12 @@ def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, distance: int =
     gives an empty one.
     """
     marked = materialise(fingerprints(docs, n, seed, id_col, text_col), "simhash-docs")
-    one = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    one = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     found = components(links(one.select("fp"), distance))
     group = F.coalesce("component", "fp")
-    joined = one.join(found, one.fp == found.node, "left").select("fp", "first", group.alias("group"))
-    least = joined.groupBy("group").agg(F.min("first").alias("component_id"))
+    joined = materialise(one.join(found, one.fp == found.node, "left").select("fp", "first", group.alias("group")), "simhash-groups")
+    # a table, so that the join has an exchange on either side and the rows of a large group are split among tasks
+    least = materialise(joined.groupBy("group").agg(F.min("first").alias("component_id")), "simhash-least")
     named = joined.join(least, "group").select("fp", "component_id", "group")
     return marked.join(named, "fp").select("doc_id", "th", "fp", "component_id", "group")
 

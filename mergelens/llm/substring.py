@@ -185,8 +185,9 @@ def substring_dedup(docs: DataFrame, width: int = 20, m: int = 5, with_text: boo
     """
     more = {"row": F.struct(*[c for c in docs.columns if c != text_col])} if with_text else {}
     docs = R.keyed(docs, id_col, text_col, more)
-    rows = docs.selectExpr("dk", "th", "cast(text as binary) as text").mapInArrow(_rows(width, m), R.RUNS)
-    judged = R.judge(rows, True, "substring-runs")
+    texts = docs.selectExpr("dk", "th", "cast(text as binary) as text")
+    cut = _rows(width, m)
+    judged = R.judge(texts.mapInArrow(cut, R.RUNS), True, "substring-runs", R.frequent(texts, cut, "substring-often"))
     out = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string"
     out += f", text string, row {docs.schema['row'].dataType.simpleString()}" if with_text else ""
     return R.spans(docs, judged, _pack(width), _compare(width)).mapInArrow(_finish(width, with_text), out)

@@ -168,8 +168,9 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 100, with_bytes:
     that, and all get its result. An empty table gives an empty one; a text shorter than ``width`` stays whole.
     """
     docs = R.keyed(docs, id_col, text_col)
-    rows = docs.selectExpr("dk", "th", "cast(text as binary) as text").mapInArrow(_rows(width, gram), R.RUNS)
-    judged = R.judge(rows, False, "suffix-runs")
+    texts = docs.selectExpr("dk", "th", "cast(text as binary) as text")
+    cut = _rows(width, gram)
+    judged = R.judge(texts.mapInArrow(cut, R.RUNS), False, "suffix-runs", R.frequent(texts, cut, "suffix-often"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
     return R.spans(docs, judged, _pack(width), _compare(width)).mapInArrow(_finish(width, with_bytes), out)
 

@@ -1,6 +1,7 @@
 """SimHash, substring and suffix dedup against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -62,8 +63,18 @@ def test_simhash(docs):
     assert got == want and len({x for _, _, x in got}) < len(rows) - 15
 
 
-@pytest.mark.parametrize("cap", [2048, 3])
-def test_links_lose_no_component(spark, cap):
+def test_more_fingerprints_more_grids():
+    assert [simhash.spare_groups(n, 4) for n in (0, 10**5)] == [2, 2]
+    chosen = [simhash.spare_groups(10**k, 4) for k in range(5, 13)]
+    assert chosen == sorted(chosen) and chosen[-1] > 3
+    for s in (2, 3, 5):  # fingerprints within the distance share ``s`` of the groups, so one of the cells
+        assert len(simhash.grid_masks(4, s)) == math.comb(4 + s, s)
+
+
+@pytest.mark.parametrize(("cap", "spare"), [(2048, None), (3, None), (2048, 4)])
+def test_links_lose_no_component(spark, monkeypatch, cap, spare):
+    if spare:
+        monkeypatch.setattr(simhash, "spare_groups", lambda n, d: spare)
     rng = random.Random(3)
     fps = set()
     for _ in range(40):  # chains of neighbours and strangers
@@ -154,11 +165,12 @@ def brute_substring(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "hot", "chunk"), [(20, 2000, 1 << 19), (20, 1, 400), (8, 2, 1 << 19)])
-def test_substring(docs, monkeypatch, width, hot, chunk):
+@pytest.mark.parametrize(("width", "hot", "chunk", "often"), [(20, 2000, 1 << 19, 24), (20, 1, 400, 2), (8, 2, 1 << 19, 24), (8, 2000, 1 << 19, 1)])
+def test_substring(docs, monkeypatch, width, hot, chunk, often):
     from mergelens.llm._store import NO_ID
 
     monkeypatch.setattr(_repeats, "HOT", hot)
+    monkeypatch.setattr(_repeats, "OFTEN", often)
     monkeypatch.setattr(substring, "CHUNK", chunk)
     want = brute_substring(corpus(), width)
     got = substring.substring_dedup(docs, width=width, m=4, with_text=True).collect()
@@ -191,11 +203,12 @@ def brute_suffix(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "gram", "hot", "chunk"), [(400, 100, 2000, 1 << 19), (100, 24, 1, 700), (60, 16, 3, 1 << 19)])
-def test_suffix(docs, monkeypatch, width, gram, hot, chunk):
+@pytest.mark.parametrize(("width", "gram", "hot", "chunk", "often"), [(400, 100, 2000, 1 << 19, 24), (100, 24, 1, 700, 2), (60, 16, 3, 1 << 19, 24), (60, 16, 2000, 1 << 19, 1)])
+def test_suffix(docs, monkeypatch, width, gram, hot, chunk, often):
     from mergelens.llm._store import NO_ID
 
     monkeypatch.setattr(_repeats, "HOT", hot)
+    monkeypatch.setattr(_repeats, "OFTEN", often)
     monkeypatch.setattr(suffix, "CHUNK", chunk)
     want = brute_suffix(corpus(), width)
     rows = suffix.suffix_dedup(docs, width=width, gram=gram).collect()
