@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A seed is the shortest run of ``SHORT`` to ``LONG`` words of a test item, from each of its words on, that chance would put
-at a place of the corpus with probability ``RARE`` or less, words taken one by one with their frequencies in all
-documents. A leaked item hardly moves those, so a leak of many copies doesn't make its own seeds common. Where a document
+A seed is the shortest run of ``SHORT`` to ``LONG`` words of a test item, from each of its words on, that is rare: that
+chance would put at a place of the corpus so seldom that all seeds together cause ``CHANCE`` alignments a document, words
+taken one by one with their frequencies in all documents. A leaked item hardly moves those, so a leak of many copies doesn't make its own seeds common. Where a document
 holds a seed, the item is aligned with the words around, and the score of the best local alignment, as a share of the
 item's score with itself, tells edited copies from chance.
 """
@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 from mergelens.llm._rolling import BYTE_WORDS, grams, prefix, spans
 from mergelens.llm.toxicity import words
 
-SHORT, LONG, RARE = 3, 6, 1e-8
+SHORT, LONG = 2, 6
+#: Alignments of a document that chance may cause, all seeds of a block together.
+CHANCE = 0.1
+#: Words of a text that one alignment takes on at once.
+REACH = 1 << 16
 CHUNK = 1 << 18
 MATCH, MISS, GAP = 2, -1, 1
 
@@ -52,7 +56,7 @@ def _bags(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.n
 class Seeds:
     """The seeds of some test items: for each length sorted hashes, with the items and places that each stands for."""
 
-    def __init__(self, items: list[np.ndarray], frequency: dict[int, float]):
+    def __init__(self, items: list[np.ndarray], frequency: dict[int, float], rare: float = 1e-8):
         self.items = items
         found: dict[int, dict[int, list[tuple[int, int]]]] = {n: {} for n in range(1, LONG + 1)}
         for k, item in enumerate(items):
@@ -62,7 +66,7 @@ class Seeds:
                 for n in range(min(SHORT, len(item)), LONG + 1):
                     if i + n > len(item):
                         break
-                    if n == min(LONG, len(item)) or logs[i + n] - logs[i] <= math.log(RARE):
+                    if n == min(LONG, len(item)) or logs[i + n] - logs[i] <= math.log(rare):
                         found[n].setdefault(int(hashed[n][i]), []).append((k, i))
                         break
         self.tables = {}
@@ -101,6 +105,29 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _best(own: np.ndarray, hashes: np.ndarray, places: list[int], low: int, high: int) -> tuple[int, int, int]:
+    """Score, begin and end of the best alignment of an item with a text (``low`` to ``high`` of ``hashes``) around the
+    places where a seed would have it begin: one sweep over the sorted places. Stretches that overlap are aligned as one;
+    a long one in parts that overlap by more words than an alignment of positive score can have, so none is cut."""
+    near, best, k = len(own) // 2 + 1, (0, 0, 0), 0
+    places = sorted(set(places))
+    while k < len(places):
+        first = places[k]
+        while k + 1 < len(places) and places[k + 1] - near <= places[k] + len(own) + near:
+            k += 1
+        a, stop = max(low, first - near), min(high, places[k] + len(own) + near)
+        while True:
+            b = min(stop, a + REACH + 4 * len(own))
+            got = align(own, hashes[a:b])
+            if got[0] > best[0]:
+                best = got[0], a + got[1], a + got[2]
+            if b == stop:
+                break
+            a += REACH
+        k += 1
+    return best
+
+
 def _matches(seeds: Seeds, threshold: float, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, similarity, first word, number of words) of every item that a text holds."""
     for rows, lens, hashes in _bags(texts):
@@ -108,22 +135,10 @@ def _matches(seeds: Seeds, threshold: float, texts: list[str | None]) -> Iterato
         text_of = np.repeat(np.arange(len(lens)), lens)
         for (k, item), places in sorted(seeds.hits(hashes, text_of).items()):
             low, high, own = int(ends[k] - lens[k]), int(ends[k]), seeds.items[item]
-            reach, best, done = len(own) // 2 + 1, (0, 0, 0), -1
-            for p in sorted(set(places)):
-                if p <= done:
-                    continue
-                stop = p  # places near each other belong to one copy
-                for q in sorted(set(places)):
-                    if stop < q <= stop + reach:
-                        stop = q
-                a, b = max(low, p - reach), min(high, stop + len(own) + reach)
-                got = align(own, hashes[a:b])
-                if got[0] > best[0]:
-                    best = got[0], a + got[1] - low, a + got[2] - low
-                done = stop
-            similarity = best[0] / (MATCH * len(own))
+            score, begin, end = _best(own, hashes, places, low, high)
+            similarity = score / (MATCH * len(own))
             if similarity >= threshold:
-                yield rows[k], item, similarity, best[1], best[2] - best[1]
+                yield rows[k], item, similarity, begin - low, end - begin
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, Seeds]]:
@@ -137,19 +152,21 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterat
         vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *items]))
 
         def count(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray = vocabulary) -> Iterator[pa.RecordBatch]:
-            totals, n = np.zeros(len(vocabulary), np.int64), 0
+            totals, n, rows = np.zeros(len(vocabulary), np.int64), 0, 0
             for b in batches:
+                rows += b.num_rows
                 for _, lens, hashes in _bags(b.column("text").to_pylist()):
                     n += int(lens.sum())
                     if len(vocabulary):
                         at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
                         totals += np.bincount(at[vocabulary[at] == hashes], minlength=len(vocabulary))
             some = np.flatnonzero(totals)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(totals[some], n))], ["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(totals[some], [n, rows]))], ["w", "n"])
 
         counted = dict(docs.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n")).collect())  # a row a word of the items
-        total = max(1, counted.pop(-1, 0))
-        yield ids, Seeds(items, {int(vocabulary[w]): n / total for w, n in counted.items()})
+        total, rows = max(1, counted.pop(-1, 0)), max(1, counted.pop(-2, 0))
+        rare = min(1.0, CHANCE / max(1.0, sum(map(len, items)) * total / rows))
+        yield ids, Seeds(items, {int(vocabulary[w]): n / total for w, n in counted.items()}, rare)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +176,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     Words are compared in lower case and without ASCII punctuation. ``benchmark`` (item_id, text) is the stated query
     set: it goes to the executors in blocks of ``block_bytes`` at most, a pass over the documents for each, and no
     document is joined with another. Null and empty texts hold and are held by nothing; repeated rows are each reported;
-    empty tables give an empty one.
+    a text that holds an item many times, or is one long repetition, has one row an item, of its best copy; empty tables
+    give an empty one. Other columns are read by nothing.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
