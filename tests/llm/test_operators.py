@@ -197,12 +197,33 @@ def test_rules_reject_what_they_name(spark):
     rows = [(0, good)] + [(k, t) for k, t in enumerate(bad.values(), 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in quality.quality(df).where("kept").collect()} == {0}
-    feats = quality.features(df)
-    named = {r.doc_id: r.rejected_by for r in quality.cascade(feats, quality.default_rules(), feats).collect()}
-    assert named[0] is None and [named[k] for k in range(1, 5)] == list(bad)
-    plan = quality.plan_cascade(feats, quality.default_rules())
+    plan = quality.plan_cascade(quality.take_sample(df), quality.default_rules())
     worth = [(share + 1e-6) / seconds for _, seconds, share in plan]
     assert worth == sorted(worth, reverse=True) and len(plan) == 4
+    in_order = sorted(plan, key=lambda x: list(bad).index(x[0].name))
+    named = {r.doc_id: r.by for r in quality.features(df).select("doc_id", quality.first_failed(in_order, quality._columns("text")).alias("by")).collect()}
+    assert named[0] is None and [named[k] for k in range(1, 5)] == list(bad)
+
+
+def test_the_verdict_alone_is_that_of_all_features(spark, docs):
+    clash = docs.selectExpr("*", "'mine' as kept", "1 as base_failed", "'x' as rejected_by", "doc_id as n_symbols", "2 as __w")
+    judged = quality.quality(docs.select("doc_id", "text")).collect()
+    got = quality.passing(clash)
+    assert got.columns == clash.columns and {(r.kept, r.base_failed, r.rejected_by) for r in got.collect()} == {("mine", 1, "x")}
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((r.doc_id, r.text) for r in judged if r.kept)
+    again = quality.quality(clash)
+    assert {r.rejected_by for r in again.collect()} == {"x"} and again.where("kept").count() == got.count()  # own columns replace the others
+    assert quality.passing(docs.limit(0)).count() == 0
+    none = quality.passing(docs, rules=[quality.Rule("null", lambda f: quality.F.lit(None).cast("boolean"))])
+    assert none.count() == sum(not r.base_failed for r in judged)  # a rule that is null rejects nothing
+
+
+def test_what_a_later_rule_reads_is_not_computed(spark):
+    """A row that the first rule rejects doesn't reach the second, which would raise."""
+    df = quality._prepared(spark.createDataFrame([(1, "few words"), (2, "w " * 60)], "doc_id long, text string"), "text")
+    fail = quality.Rule("fail", lambda f: quality.F.when(f["n_words"] < 50, quality.F.raise_error(quality.F.lit("asked")).cast("boolean")).otherwise(False))
+    plan = [(quality.BASE[0], 1.0, 0.5), (fail, 1.0, 0.0)]
+    assert [r[0] for r in df.orderBy("doc_id").select(quality.first_failed(plan, quality.expressions())).collect()] == ["few_words", None]
 
 
 def in_duckdb(sql, rows):
@@ -271,6 +292,51 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_edited_copies_against_all_pairs(spark):
+    """Recall of seeds: every document aligned with every item, at all rates of edits, also a regular one."""
+    rng = random.Random(21)
+    items = [prose(rng, rng.randint(20, 60)) for _ in range(10)]
+    rows = [(i, prose(rng, 80)) for i in range(100)]
+    for i in range(240):
+        ws, rate = items[i % 10].split(), 0.05 * (i % 9)
+        if i % 9 == 8:  # each third word another
+            ws = [w if j % 3 else "".join(words(rng, 2)) for j, w in enumerate(ws)]
+        else:
+            ws = [x for w in ws for x in ([w] if rng.random() >= rate else rng.choice([[], words(rng, 1), [w, *words(rng, 1)]]))]
+        rows.append((1000 + i, prose(rng, 30) + " " + " ".join(ws) + " " + prose(rng, 20)))
+    want = {}
+    hashed = [decontaminate.word_hashes([toxicity.words(t)]) for t in items]
+    for d, t in rows:
+        text = decontaminate.word_hashes([toxicity.words(t)])
+        for k, item in enumerate(hashed):
+            similarity = decontaminate.align(item, text)[0] / (2 * len(item))
+            if similarity >= 0.5:
+                want[d, k] = similarity
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and all(got[x] == pytest.approx(want[x]) for x in got)
+    assert len(want) > 200 and len(got) >= 0.95 * len(want), (len(got), len(want))
+
+
+def test_a_repetitive_text_is_swept_once(monkeypatch):
+    rng = random.Random(4)
+    item = prose(rng, 30)
+    hashed = decontaminate.word_hashes([toxicity.words(item)])
+    seeds = decontaminate.Seeds([hashed], {})
+    text = prose(rng, 50) + " " + " ".join([item] * 3000) + " " + prose(rng, 50)
+    calls, align = [], decontaminate.align
+    monkeypatch.setattr(decontaminate, "align", lambda a, b: calls.append(len(b)) or align(a, b))
+    assert [(r, i, s, n) for r, i, s, _, n in decontaminate._matches(seeds, 0.5, [text])] == [(0, 0, 1.0, len(hashed))]
+    assert sum(calls) < 1.1 * len(text.split())
+    monkeypatch.setattr(decontaminate, "REACH", 64)  # parts that overlap lose no alignment
+    for edit in range(5):
+        ws = item.split()
+        del ws[3 * edit : 3 * edit + 2]
+        text = " ".join([prose(rng, 40), " ".join(ws), item, prose(rng, 10)] * 3)
+        got = [(s, f, n) for _, _, s, f, n in decontaminate._matches(seeds, 0.5, [text])]
+        score, a, b = align(hashed, decontaminate.word_hashes([toxicity.words(text)]))
+        assert [s for s, _, _ in got] == [score / (2 * len(hashed))] and got[0][1:] == (a, b - a)
+
+
 # licences
 
 
