@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mergelens.llm import decontaminate, licenses, pieces, quality, shards, simhash, substring, suffix, toxicity, urls
+from mergelens.llm import bottomk, decontaminate, licenses, periodic, pieces, quality, shards, simhash, spelling, substring, suffix, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": shards.op1_shards,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_urls": urls.op9_urls,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic": periodic.op11_periodic,
+    "op12_minhash": bottomk.op12_minhash,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
