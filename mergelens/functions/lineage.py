@@ -5,20 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back: what follows sees the same rows however often it runs,
-    and a lost executor costs no recomputation. Where that setting is unset, a temporary folder serves a local master;
-    on a cluster, whose machines share none, that is an error."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where it is unset, a temporary folder serves a local master; on a cluster, whose machines
+    share none, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="mergelens-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/mergelens/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what follows sees the same rows however often it runs, and a lost
+    executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession)}/mergelens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from mergelens.functions.lineage import cut
 from mergelens.functions.text import estimate_tokens, lines_of
 
 BASELINE = "Findings that are known already; do not report them again:\n"
@@ -55,22 +56,24 @@ def fit(parts: DataFrame, remaining: int, keys: list[str] | None = None) -> Data
     up to the first that doesn't fit, and the next section goes on with what is left of ``remaining`` tokens.
 
     Costs are one or more, so a section's part is exactly the chunks whose running sum stays within what remains for it.
-    The sums are of two levels: of files, a row each, and of the lines within a file. Only files that begin within the
-    budget have their lines summed, so what any task sorts is a pack's files, a file's lines or a budget's chunks.
+    The chunks are written once with their costs, dealt to blocks by ranges of their order. A first sweep sums the blocks,
+    which gives the sum before each; a second one sums within the blocks that begin inside the budget, and only those are
+    shuffled again. So a task holds a block or a pack's budget, however much a pack has.
     """
     own = [*(keys or []), "section"]
-    file = [F.col("ord.a").alias("_a"), F.col("ord.b").alias("_b")]
-    cost = parts.withColumn("cost", estimate_tokens(F.col("chunk"))).select("*", *file)
-    files = cost.groupBy(*own, "_a", "_b").agg(F.sum("cost").alias("_total"))
-    before = F.sum("_total").over(W.partitionBy(*own).orderBy("_a", "_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_total")
-    files = files.withColumn("_before", before).where(F.col("_before") < remaining).drop("_total")
-    run = F.sum("cost").over(W.partitionBy(*own, "_a", "_b").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = cost.join(files, [*own, "_a", "_b"]).withColumn("run", run + F.col("_before")).where(F.col("run") <= remaining)
-    left, kept = F.lit(remaining), F.lit(False)
+    cost = parts.withColumn("cost", estimate_tokens(F.col("chunk")))
+    cost = cut(cost.repartitionByRange(*own, "ord").withColumn("_block", F.spark_partition_id()), "context-costs")
+    sums = cost.groupBy(*own, "_block").agg(F.sum("cost").alias("_total"))
+    by_block = W.partitionBy(*own).orderBy("_block").rowsBetween(W.unboundedPreceding, W.currentRow)  # a row a block
+    before = sums.withColumn("_before", F.sum("_total").over(by_block) - F.col("_total")).where(F.col("_before") < remaining).drop("_total")
+    near = cost.join(F.broadcast(before) if not keys else before, [*own, "_block"])
+    run = F.sum("cost").over(W.partitionBy(*own, "_block").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = near.withColumn("run", run + F.col("_before")).where(F.col("run") <= remaining).withColumn("_pack", F.lit(0))
+    pack, left, kept = W.partitionBy("_pack", *(keys or [])), F.lit(remaining), F.lit(False)  # three budgets of rows at most
     for s in range(3):  # what a section takes is the largest running sum that fits
         fits = (F.col("section") == s) & (F.col("run") <= F.col("_left"))
         out = out.withColumn("_left", left)
-        out = out.withColumn("_took", F.max(F.when(fits, F.col("run"))).over(W.partitionBy(*(keys or [])))).withColumn("_kept", kept | fits)
+        out = out.withColumn("_took", F.max(F.when(fits, F.col("run"))).over(pack)).withColumn("_kept", kept | fits)
         left, kept = F.col("_left") - F.coalesce("_took", F.lit(0)), F.col("_kept")
     return out.where("_kept").select(*parts.columns, "cost")
 

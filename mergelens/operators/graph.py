@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergelens.functions.lineage import cut, cut_counted
 from mergelens.functions.paths import clean_path
 from mergelens.schemas import TYPE_KINDS
 
 EDGE = ["src_file", "src_name", "dst_file", "dst_name", "kind"]
 DEPTH = 2
-#: Seeds up to this number are broadcast.
+#: Frontiers up to this number are broadcast.
 FEW = 10_000
+#: What a step with a larger frontier asks of Spark: a bloom filter of the frontier, whatever the size of the links.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64MB",
+}
 
 
 def refs_to(refs: DataFrame, file: str, name: str) -> DataFrame:
@@ -66,32 +73,60 @@ def files_touching(refs: DataFrame, file: str, name: str) -> DataFrame:
     return refs_to(refs, file, name).select(F.col("src_file").alias("path")).union(own).distinct().orderBy("path")
 
 
-def file_graph(refs: DataFrame) -> DataFrame:
-    """a, b: files that an edge joins, both ways; edges within a file left out."""
-    pairs = refs.select(F.col("src_file").alias("a"), F.col("dst_file").alias("b")).where("a <> b").distinct()
-    return pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def file_links(refs: DataFrame) -> DataFrame:
+    """a, b: files that an edge joins, both ways, each once; edges within a file left out. One shuffle."""
+    ends = F.array(F.struct(F.col("src_file").alias("a"), F.col("dst_file").alias("b")), F.struct(F.col("dst_file").alias("a"), F.col("src_file").alias("b")))
+    return refs.where("src_file <> dst_file").select(F.explode(ends).alias("e")).select("e.*").distinct()
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _step(links: DataFrame, frontier: DataFrame, n: int, found: DataFrame, d: int) -> tuple[DataFrame, int]:
+    """The files at distance ``d``, written as a table, and their number.
+
+    The links are scanned once. A frontier of up to ``FEW`` files is broadcast, so they aren't shuffled; a larger one is a
+    selected part of a table, from which Spark makes a bloom filter that the scan of the links applies before its shuffle.
+    """
+    conf, had = links.sparkSession.conf, {}
+    few = F.broadcast(frontier) if n <= FEW else frontier
+    reached = links.join(few.select(F.col("path").alias("a")), "a").select(F.col("b").alias("path")).distinct()
+    new = reached.join(found.select("path"), "path", "left_anti").select("path", F.lit(d).alias("distance"))
+    try:
+        if n > FEW:
+            had = {k: conf.get(k, None) for k in BLOOM}
+            for k, v in BLOOM.items():
+                conf.set(k, v)
+        return cut_counted(new, f"impact-{d}")
+    finally:
+        for k, v in had.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def impact(links: DataFrame, seeds: DataFrame, depth: int = DEPTH) -> DataFrame:
     """path, distance: files at up to ``depth`` steps from ``seeds`` (column path), the least distance each.
 
-    ``edges`` go both ways (a, b). The steps are unrolled; each is a join with the frontier and leaves out what has been
-    reached. No step collects anything.
+    ``links`` go both ways (a, b; repeated ones do no harm). Each frontier is a table, written once and counted as it is
+    written; a step reads the links and leaves out what has been reached. The rows never come to the driver.
     """
-    reached = seeds.select("path").distinct().withColumn("distance", F.lit(0))
-    frontier = reached
+    found, n = cut_counted(seeds.select("path").distinct().withColumn("distance", F.lit(0)), "impact-0")
+    frontier = found
     for d in range(1, depth + 1):
-        step = edges.join(frontier.select(F.col("path").alias("a")), "a").select(F.col("b").alias("path")).distinct()
-        frontier = step.join(reached, "path", "left_anti").withColumn("distance", F.lit(d))
-        reached = reached.union(frontier)
-    return reached
+        if not n:
+            break
+        frontier, n = _step(links, frontier.where(F.col("distance") == d - 1), n, found, d)
+        found = found.union(frontier)
+    return found
+
+
+def seeds(spark: SparkSession, changed: Iterable[str]) -> DataFrame:
+    """path: changed paths, cleaned; empty and root paths are none."""
+    df = spark.createDataFrame([(p,) for p in changed], "raw string")
+    return df.select(clean_path(F.col("raw")).alias("path"), "raw").where("raw <> '' and path not in ('.', '/')").select("path").distinct()
 
 
-def impact_set(refs: DataFrame, changed: Sequence[str], depth: int = DEPTH) -> DataFrame:
-    """``impact`` of changed paths, cleaned; empty and root paths are none. A path that isn't indexed is at distance 0."""
-    df = refs.sparkSession.createDataFrame([(p,) for p in changed], "raw string")
-    seeds = df.select(clean_path(F.col("raw")).alias("path"), "raw").where("raw <> '' and path not in ('.', '/')").select("path").distinct()
-    return impact(file_graph(refs), F.broadcast(seeds) if len(changed) <= FEW else seeds, depth).orderBy("distance", "path")
+def impact_set(refs: DataFrame, changed: Iterable[str], depth: int = DEPTH) -> DataFrame:
+    """``impact`` of changed paths over edges that no index holds: their links are written first, sorted by file, and the
+    steps read those. A path that isn't indexed is at distance 0."""
+    links = cut(file_links(refs).sortWithinPartitions("a"), "impact-links")
+    return impact(links, seeds(refs.sparkSession, changed), depth).orderBy("distance", "path")
 
 
 def repo_index(files: DataFrame, symbols: DataFrame, imports: DataFrame, directory: str | None = None) -> DataFrame:

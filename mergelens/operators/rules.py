@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from mergelens.functions.paths import glob_regex, in_scope
 from mergelens.functions.rx import PatternError, compile_pattern
 from mergelens.functions.text import quoted
 from mergelens.operators.findings import finding
+from mergelens.operators.ruleset import candidate_rows, literals
 from mergelens.schemas import RULES, SEVERITIES
 
 
@@ -127,22 +130,56 @@ def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, RULES)
 
 
+#: Up to so many rules each line is held against every pattern; beyond it, against those whose literals it has.
+MANY = 32
+
+
 def evaluate(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Findings of the rules that have a pattern, one for each line and rule that match: columns of findings, arriving by
-    file, rule and line.
+    file, rule and line. A null path or text matches nothing.
 
-    The rules are few and known on the driver, so each pattern is a literal that is compiled once. A line is read once:
-    it makes an array of the rules that match, which is empty for nearly all lines and explodes to the findings.
+    Rules are known on the driver. A few are literal patterns of one expression, see ``_by_pattern``; of ``MANY`` and more
+    those with a literal are found by it, see ``_by_literal``.
     """
+    numbered = [(k, r) for k, r in enumerate(rules) if not r.model_assisted]
+    if len(numbered) <= MANY:
+        return _by_pattern(lines, numbered)
+    words = {k: literals(r.pattern) for k, r in numbered}
+    plain = [(k, r) for k, r in numbered if words[k] is None]
+    if len(plain) > MANY:  # too many for one expression: tried on every line in their scope
+        plain = []
+    taken = {k for k, _ in plain}
+    found = _by_literal(lines, [(k, r, words[k]) for k, r in numbered if k not in taken])
+    return found.unionByName(_by_pattern(lines, plain)) if plain else found
+
+
+def _by_pattern(lines: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """Each pattern is a literal that is compiled once. A line is read once: it makes an array of the rules that match,
+    which is empty for nearly all lines and explodes to the findings."""
     hits = []
-    for k, r in enumerate(rules):
-        if not r.model_assisted:
-            scope = in_scope(F.col("path"), F.array(*[F.lit(p) for p in r.path_res]).cast("array<string>")) if len(r.path_res) != 1 else F.col("path").rlike(r.path_res[0])
-            fits = F.col("text").rlike(r.regex) if not r.path_res else scope & F.col("text").rlike(r.regex)
-            hits.append(F.when(fits, F.struct(F.lit(k).alias("k"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.pattern).alias("pattern"), F.lit(r.message).alias("message"))))
+    for k, r in rules:
+        scope = in_scope(F.col("path"), F.array(*[F.lit(p) for p in r.path_res]).cast("array<string>")) if len(r.path_res) != 1 else F.col("path").rlike(r.path_res[0])
+        fits = F.col("text").rlike(r.regex) if not r.path_res else scope & F.col("text").rlike(r.regex)
+        hits.append(F.when(fits, F.struct(F.lit(k).alias("k"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.pattern).alias("pattern"), F.lit(r.message).alias("message"))))
     kind = "array<struct<k:int,name:string,severity:string,pattern:string,message:string>>"
     found = F.array_compact(F.array(*hits)).cast(kind) if hits else F.expr(f"cast(array() as {kind})")
-    hit = lines.select("path", "number", "text", "line_ord", F.explode(found).alias("m"))
+    return _findings(lines.where("path is not null").select("path", "number", "text", "line_ord", F.explode(found).alias("m")))
+
+
+def _by_literal(lines: DataFrame, rules: Sequence[tuple[int, Rule, frozenset[str] | None]]) -> DataFrame:
+    """One pass over each line finds the rules whose literals it has, among those that hold its file; their patterns are then
+    tried where all others are, by the engine. The rules travel with the task and as a broadcast list of the driver's own."""
+    given = [(r.paths, words) for _, r, words in rules]
+    key = hashlib.sha256(repr([(p, sorted(w or ())) for p, w in given]).encode()).hexdigest()
+    rows = lines.select("path", "number", "text", "line_ord")
+    tried = rows.mapInArrow(candidate_rows(key, given), StructType([*rows.schema.fields, StructField("k", IntegerType())]))
+    listed = [(i, k, r.name, r.severity, r.pattern, r.message, r.regex) for i, (k, r, _) in enumerate(rules)]
+    known = lines.sparkSession.createDataFrame(listed, "k int, own int, name string, severity string, pattern string, message string, regex string")
+    hit = tried.join(F.broadcast(known), "k").where(F.rlike(F.col("text"), F.col("regex")))
+    return _findings(hit.select("path", "number", "text", "line_ord", F.struct(F.col("own").alias("k"), "name", "severity", "pattern", "message").alias("m")))
+
+
+def _findings(hit: DataFrame) -> DataFrame:
     reason = F.concat(F.lit("rule "), quoted(F.col("m.name")), F.lit(" matched pattern "), quoted(F.col("m.pattern")))
     return hit.select(
         *finding(

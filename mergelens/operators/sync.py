@@ -25,8 +25,36 @@ def changed_files(stored: DataFrame, current: DataFrame) -> DataFrame:
     return s.join(c, "path", "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select("path", F.when(F.col("now").isNull(), "deleted").when(F.col("was").isNull(), "added").otherwise("changed").alias("change"))
 
 
+def digests(files: DataFrame) -> DataFrame:
+    """dir, own: a digest of the paths and hashes of each directory's files, in whatever order. 128 bits and the number of files;
+    one aggregate, combined before its shuffle."""
+    one = F.xxhash64("path", "hash")
+    other = F.xxhash64(F.lit("other"), "hash", "path")
+    whole = F.concat_ws(":", F.count(F.lit(1)), F.sum(one.cast("decimal(38,0)")), F.bit_xor(other))
+    return files.groupBy(dir_of(F.col("path")).alias("dir")).agg(whole.alias("own"))
+
+
+def root_digest(dirs: DataFrame) -> DataFrame:
+    """One row, root: the digest of all directories; its parts are those of ``digests``, so the order doesn't matter."""
+    one = F.xxhash64("dir", "own")
+    return dirs.agg(F.concat_ws(":", F.count(F.lit(1)), F.sum(one.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("other"), "own", "dir"))).alias("root"))
+
+
+def stale_by_digest(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """dir: directories that are new, gone or of other files, from their digests (dir, own).
+
+    Where the digests of the whole trees are alike nothing is compared; else directories are joined, never files.
+    """
+    s, c = (root_digest(x).head().root for x in (stored, current))
+    if s == c:
+        return current.select("dir").limit(0)
+    was, now = stored.select("dir", F.col("own").alias("was")), current.select("dir", F.col("own").alias("now"))
+    return was.join(now, "dir", "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select("dir")
+
+
 def stale_dirs(stored: DataFrame, current: DataFrame) -> DataFrame:
-    return changed_files(stored, current).select(dir_of(F.col("path")).alias("dir")).distinct()
+    """``stale_by_digest`` of files (path, hash)."""
+    return stale_by_digest(digests(stored), digests(current))
 
 
 def split_index(rows: DataFrame, files: DataFrame) -> dict[str, DataFrame]:

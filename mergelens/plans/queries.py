@@ -124,6 +124,22 @@ def rule_eval(spark, d):
     return rules.evaluate(_seeded(_lines(spark, d)), _rules()).select("file", "line_start", "rule_id", "severity")
 
 
+@query("""WITH r AS (SELECT DISTINCT p_name, p_brand, p_type FROM part), b AS (SELECT DISTINCT p_brand FROM part),
+s AS (SELECT lower(p_type) || '/' || l_returnflag || '/s' || l_suppkey || '.txt' AS file, l_orderkey AS number, p_name, p_brand, p_type, CAST(l_quantity AS INT) AS q FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT file, CAST(number AS INT) AS line_start, 'goods ' || s.p_name || ' ' || s.p_brand || ' ' || s.p_type AS rule_id, 'info' AS severity FROM s JOIN r ON s.p_name = r.p_name AND s.p_brand = r.p_brand AND s.p_type = r.p_type
+UNION ALL SELECT file, CAST(number AS INT), 'many of ' || s.p_brand, 'warning' FROM s JOIN b ON s.p_brand = b.p_brand WHERE q BETWEEN 40 AND 49 AND file LIKE '%/R/%' """)
+def rule_catalogue(spark, d):
+    """Rules made from the kinds of goods (name, brand and type, of which there are fewer than 10,000), for the lines of deliveries."""
+    part, li = _table(spark, d, "part"), _table(spark, d, "lineitem")
+    kinds = part.select("p_name", "p_brand", "p_type").distinct().orderBy("p_name", "p_brand", "p_type").collect()
+    made = [rules.make_rule(f"goods {k.p_name} {k.p_brand} {k.p_type}", [f"{k.p_type.lower()}/**"], "info", rf"\b{k.p_name} of {k.p_brand}\b") for k in kinds]
+    made += [rules.make_rule(f"many of {b}", ["**/R/*.txt"], "warning", rf"{b}\b, 4\d pieces$") for b in sorted({k.p_brand for k in kinds})]
+    path = F.concat(F.lower("p_type"), F.lit("/"), F.col("l_returnflag"), F.lit("/s"), F.col("l_suppkey").cast("string"), F.lit(".txt"))
+    text = F.concat(F.lit("sold "), F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit(", "), F.col("l_quantity").cast("int").cast("string"), F.lit(" pieces"))
+    lines = li.join(part, li.l_partkey == part.p_partkey).select(path.alias("path"), F.col("l_orderkey").cast("int").alias("number"), text.alias("text"), F.col("l_linenumber").cast("int").alias("line_ord"))
+    return rules.evaluate(lines, made).select("file", "line_start", "rule_id", "severity")
+
+
 # The one pattern of the detector that the documents hold, its quotes doubled for SQL.
 GENERIC = r"(?i)(?:api[_-]?key|secret|token|passw(?:or)?d)[\"'']?\s*[:=]\s*[\"'']([A-Za-z0-9_\-+/=.]{16,})[\"'']"
 

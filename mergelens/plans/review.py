@@ -9,12 +9,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mergelens.functions.lineage import cut
 from mergelens.functions.text import split_budget
-from mergelens.operators import agent, context, findings, graph
+from mergelens.operators import agent, context, findings
 from mergelens.operators.detect import run_detectors
 from mergelens.operators.diff import added_lines
 from mergelens.operators.rules import Rule, default_rules, evaluate
@@ -64,7 +64,7 @@ def related_files(spark: SparkSession, repo: str, lines: DataFrame, store: Store
     except Exception as e:
         raise SyncFailed(e) from e
     changed = [r.path for r in lines.select("path").distinct().collect()]  # a row a changed file
-    reached = graph.impact_set(store.index("index_refs", repo), changed).where("distance > 0")
+    reached = store.index.impact_set(repo, changed).where("distance > 0")
     return reached.join(files.select("path", F.col("content").cast("string").alias("code")), "path").select("path", "distance", "code")
 
 
@@ -76,10 +76,12 @@ def model_findings(lines: DataFrame, related: DataFrame | None, baseline: DataFr
     prompt = context.pack_context(lines, related, context.baseline_block(baseline), room)
     name, answer = agent.route(providers, agent.SYSTEM, prompt, local_only)
     agent.parse_answer(answer)  # raises for what isn't an array of findings
+    entries, kept = Observation(), Observation()
     found = agent.candidates(spark.createDataFrame([(0, answer)], "ord int, answer string"))
-    invalid = found.where("not valid").count()
+    found = cut(found.observe(entries, F.count_if(~F.col("valid")).alias("invalid")), "model-entries")
     verified = agent.verify(found.where("valid").drop("valid"), lines)
-    return verified, invalid, verified.where("demoted").count(), name
+    verified = cut(verified.observe(kept, F.count_if("demoted").alias("demoted")), "model-findings")  # counted as it is written
+    return verified, entries.get["invalid"], kept.get["demoted"], name
 
 
 def review(

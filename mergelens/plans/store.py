@@ -1,29 +1,32 @@
 """Stored reviews and index tables as Parquet.
 
 What belongs together is written first and becomes visible by one small write at the end: a review by its row in
-``reviews``, a change of the index by the rows of its generation in ``manifest``. A run that dies in between leaves rows
-that nothing refers to.
+``reviews``, a change of the index by a version of its log (``plans.index``). A run that dies in between leaves rows that
+nothing refers to.
 """
 
 from __future__ import annotations
 
 import os
-import secrets
-import time
 import uuid
 from collections.abc import Iterable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from mergelens.functions.lineage import cut
 from mergelens.operators.findings import with_ids
 from mergelens.operators.graph import check_refs
-from mergelens.operators.sync import SyncSummary, split_index, stale_dirs
-from mergelens.schemas import INDEX_FILES, INDEX_IMPORTS, INDEX_REFS, INDEX_SYMBOLS, MIGRATIONS, REVIEWS, STORED_FINDINGS
+from mergelens.operators.sync import SyncSummary, digests, split_index, stale_by_digest
+from mergelens.plans.index import Index
+from mergelens.schemas import MIGRATIONS, REVIEWS, STORED_FINDINGS
 
-INDEX_TABLES = {"index_files": INDEX_FILES, "index_symbols": INDEX_SYMBOLS, "index_refs": INDEX_REFS, "index_imports": INDEX_IMPORTS}
-MANIFEST = "repo_path string, dir string, gen long, live boolean"
+
+
+#: Folders that reviews are dealt to by their repository.
+BUCKETS = 64
 
 
 def latest_per_repo(reviews: DataFrame, repo: str = "repo_path", at: str = "started_at", id_: str = "id") -> DataFrame:
@@ -46,19 +49,23 @@ def finding_order() -> list[Column]:
     return [F.col("file"), F.col("line_start").asc_nulls_first(), F.col("position")]
 
 
+def _bucket(repo: Column) -> Column:
+    return F.pmod(F.xxhash64(repo), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
     """Tables in a folder; missing ones are made when the store opens."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.index = Index(spark, self.root)
         self.migrate()
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def _schema(self, table: str) -> str:
-        kinds = {"reviews": REVIEWS, "findings": STORED_FINDINGS, "manifest": MANIFEST, "schema_migrations": "version int"}
-        return kinds.get(table) or INDEX_TABLES[table] + ", dir string, gen long"
+        return {"reviews": REVIEWS + ", bucket int", "findings": STORED_FINDINGS, "schema_migrations": "version int"}[table]
 
     def _exists(self, table: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
@@ -81,72 +88,68 @@ class Store:
 
     def save_review(self, review: dict, findings: DataFrame) -> None:
         """``review``: id, repo_path, mode, started_at, finished_at; findings in the order of ``rank`` if they have it. A
-        review is there with all its findings or not at all: they are written under the name of this attempt, which the
-        review's row then gives, so that what a lost attempt wrote belongs to no review."""
+        review is there with all its findings or not at all: they are written to a folder of this attempt, which the
+        review's row then names, so that what a lost attempt wrote belongs to no review. They are counted as they are written."""
         own = with_ids(findings)
         position = F.col("rank").cast("int") if "rank" in own.columns else F.lit(None).cast("int")
-        attempt = uuid.uuid4().hex
-        rows = own.withColumns({"review_id": F.lit(review["id"]), "position": position, "attempt": F.lit(attempt)})
-        names = [c.split()[0] for c in STORED_FINDINGS.split(", ")]
-        rows.select(*names).write.mode("append").parquet(self._path("findings"))
-        n = self.read("findings").where((F.col("review_id") == review["id"]) & (F.col("attempt") == attempt)).count()
-        row = (review["id"], review["repo_path"], review["mode"], review["started_at"].replace(microsecond=0), review["finished_at"].replace(microsecond=0), n, attempt)
-        self.spark.createDataFrame([row], REVIEWS).coalesce(1).write.mode("append").parquet(self._path("reviews"))
-
-    def get_review(self, id_: str) -> tuple[dict, DataFrame]:
-        """A review and its findings by file and line, none first. Raises KeyError."""
-        found = self.read("reviews").where(F.col("id") == id_).head(1)
+        attempt, seen = uuid.uuid4().hex, Observation()
+        names = [c.split()[0] for c in STORED_FINDINGS.split(", ") if not c.startswith("attempt")]
+        rows = own.withColumns({"review_id": F.lit(review["id"]), "position": position}).select(*names)
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self._findings(attempt))
+        row = (review["id"], review["repo_path"], review["mode"], review["started_at"].replace(microsecond=0), review["finished_at"].replace(microsecond=0), seen.get["n"], attempt)
+        heads = self.spark.createDataFrame([row], REVIEWS).withColumn("bucket", _bucket(F.col("repo_path")))
+        heads.coalesce(1).write.mode("append").partitionBy("bucket").option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(self._path("reviews"))
+
+    def _findings(self, attempt: str) -> str:
+        return f"{self._path('findings')}/attempt={attempt}"
+
+    def get_review(self, id_: str, repo: str | None = None) -> tuple[dict, DataFrame]:
+        """A review and its findings by file and line, none first; of the findings ever stored only its own are read, and with
+        ``repo`` only that repository's reviews are looked through. Raises KeyError."""
+        found = self.reviews(repo).where(F.col("id") == id_).head(1)
         if not found:
             raise KeyError(id_)
-        rows = self.read("findings").where((F.col("review_id") == id_) & F.col("attempt").eqNullSafe(found[0].attempt)).drop("attempt")
+        schema = ", ".join(c for c in STORED_FINDINGS.split(", ") if not c.startswith("attempt"))
+        rows = self.spark.read.schema(schema).parquet(self._findings(found[0].attempt))
         return found[0].asDict(), rows.orderBy(*finding_order())
 
-    def list_reviews(self, repo: str) -> DataFrame:
-        return self.read("reviews").where(F.col("repo_path") == repo).orderBy(F.col("started_at").desc(), F.col("id").desc())
+    def reviews(self, repo: str | None = None) -> DataFrame:
+        """All reviews, or those of a repository, whose bucket alone is read."""
+        rows = self.read("reviews")
+        if repo is not None:
+            rows = rows.where((F.col("bucket") == _bucket(F.lit(repo))) & (F.col("repo_path") == repo))
+        return rows.drop("bucket")
+
+    def list_reviews(self, repo: str, limit: int | None = None, after: tuple[datetime, str] | None = None) -> DataFrame:
+        """Reviews of a repository, the latest first. ``limit`` asks for a page of so many; the next one goes on ``after``
+        (started_at, id) of its last row. A page is the least rows of each task, not a sort of all."""
+        rows = self.reviews(repo)
+        if after is not None:
+            at, id_ = F.lit(after[0]), F.lit(after[1])
+            rows = rows.where((F.col("started_at") < at) | ((F.col("started_at") == at) & (F.col("id") < id_)))
+        rows = rows.orderBy(F.col("started_at").desc(), F.col("id").desc())
+        return rows if limit is None else rows.limit(limit)
 
     def list_repos(self) -> DataFrame:
         """repo_path, last_started, last_findings, reviews."""
-        latest = latest_per_repo(self.read("reviews"))
+        latest = latest_per_repo(self.reviews())
         named = latest.select("repo_path", F.col("started_at").alias("last_started"), F.col("id").alias("last_id"), F.col("findings_count").alias("last_findings"), "reviews")
         return named.orderBy(F.col("last_started").desc(), "repo_path")
 
     # index
 
-    def _latest(self) -> DataFrame:
-        top = self.read("manifest").groupBy("repo_path", "dir").agg(F.max_by(F.struct("gen", "live"), "gen").alias("top"))
-        return top.select("repo_path", "dir", "top.gen", "top.live").where("live").drop("live")
-
-    def index(self, table: str, repo: str | None = None) -> DataFrame:
-        """Current rows of an index table."""
-        rows = self.read(table)
-        if repo is not None:
-            rows = rows.where(F.col("repo_path") == repo)
-        return rows.join(self._latest(), ["repo_path", "dir", "gen"]).drop("gen")
-
-    def hashes(self, repo: str) -> DataFrame:
-        return self.index("index_files", repo).select("path", "hash")
-
-    def _new_gen(self) -> int:
-        """A number above every generation there is, of the time in microseconds and 12 random bits: writers that start
-        together have numbers of their own, and of their changes to one directory the greater stands whole."""
-        last = self.read("manifest").agg(F.max("gen")).head()[0] or 0
-        return max(last + 1, (time.time_ns() // 1000 << 12) | secrets.randbits(12))
+    def digests(self, repo: str) -> DataFrame:
+        """dir, own: the digests of a repository's directories, see ``operators.sync.digests``."""
+        return self.index.read("index_digests", repo).select("dir", "own")
 
     def replace_dirs(self, repo: str, dirs: Iterable[str], tables: dict[str, DataFrame]) -> None:
-        """Replaces directories whole in all four tables; those that get no file are gone. Raises ValueError, and changes
-        nothing, if an edge has an unknown end."""
+        """Replaces directories whole in all tables of the index; those that get no file are gone. Raises ValueError, and
+        changes nothing, if an edge has an unknown end."""
         check_refs(tables["index_refs"], tables["index_symbols"])
-        gen = self._new_gen()
-        for name, df in tables.items():
-            cols = [c.split()[0] for c in INDEX_TABLES[name].split(", ")]
-            df.select(*cols, "dir", F.lit(gen).cast("long").alias("gen")).write.mode("append").parquet(self._path(name))
-        there = {r.dir for r in self.read("index_files").where((F.col("gen") == gen) & (F.col("repo_path") == repo)).select("dir").distinct().collect()}
-        rows = [(repo, d, gen, d in there) for d in sorted(dirs)]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(self._path("manifest"))
+        self.index.replace(repo, dirs, tables)
 
     def delete_dir(self, repo: str, folder: str) -> None:
-        gen = self._new_gen()
-        self.spark.createDataFrame([(repo, folder, gen, False)], MANIFEST).coalesce(1).write.mode("append").parquet(self._path("manifest"))
+        self.index.delete(repo, folder)
 
 
 def sync(files: DataFrame, repo: str, store: Store | None = None) -> SyncSummary:
@@ -157,21 +160,20 @@ def sync(files: DataFrame, repo: str, store: Store | None = None) -> SyncSummary
     from mergelens.sources.files import index_rows
 
     spark = files.sparkSession
-    stored = store.hashes(repo) if store else spark.createDataFrame([], "path string, hash string")
-    dirs = [r.dir for r in stale_dirs(stored, files).orderBy("dir").collect()]  # one row a changed directory
+    stored = store.digests(repo) if store else spark.createDataFrame([], "dir string, own string")
+    dirs = [r.dir for r in stale_by_digest(stored, digests(files)).orderBy("dir").collect()]  # one row a changed directory
     if not dirs:
         return SyncSummary()
     wanted = F.broadcast(spark.createDataFrame([(d,) for d in dirs], "dir string"))
     own = files.join(wanted, dir_of(F.col("path")) == wanted.dir, "left_semi")
-    rows = index_rows(own).persist()
-    try:
-        counts = {r.record: r.n for r in rows.groupBy("record").agg(F.count("*").alias("n")).collect()}
-        skipped = sorted(r.file for r in rows.where("record = 'skipped'").select("file").collect())
-        if store:
-            store.replace_dirs(repo, dirs, split_index(rows, own))
-    finally:
-        rows.unpersist()
-    return SyncSummary(counts.get("file", 0), counts.get("symbol", 0), counts.get("ref", 0), len(dirs), skipped)
+    seen = Observation()
+    counts = [F.count_if(F.col("record") == r).alias(r) for r in ("file", "symbol", "ref", "skipped")]
+    rows = cut(index_rows(own).observe(seen, *counts), "sync-rows")  # counted as it is written
+    n = seen.get
+    skipped = sorted(r.file for r in rows.where("record = 'skipped'").select("file").collect()) if n["skipped"] else []
+    if store:
+        store.replace_dirs(repo, dirs, split_index(rows, own))
+    return SyncSummary(n["file"], n["symbol"], n["ref"], len(dirs), skipped)
 
 
 def numbered_reviews(reviews: DataFrame, repo_col: str) -> DataFrame:

@@ -64,7 +64,7 @@ func countdown(n int) {
 	}
 }
 """
-YARD = "package yard\n\nfunc Gate() { Lamp() }\n\nfunc Lamp() {}\n"
+YARD = "package yard\n\nconst rails = 3\n\ntype Crane struct{ load [rails]int }\n"
 TORN = "package depot\n\nvar half = [\n"
 EDGES = [
     ("crates.go", "Crate", "crates.go", "Lid", "use"), ("crates.go", "lightest", "crates.go", "heaviest", "use"), ("crates.go", "ledger", "crates.go", "Crate", "use"),
@@ -160,7 +160,7 @@ def rows(df):
 def test_queries_of_an_index(spark, indexed):
     store, first = indexed
     assert (first.files, first.symbols, first.refs, first.dirs_changed) == (3, 15, len(EDGES) + 1, 2)
-    refs, symbols, imports = (store.index(t, "r") for t in ("index_refs", "index_symbols", "index_imports"))
+    refs, symbols, imports = (store.index.read(t, "r") for t in ("index_refs", "index_symbols", "index_imports"))
     for file, name in {(e[2], e[3]) for e in EDGES}:  # every symbol that an edge leads to
         assert rows(graph.callers(refs, file, name)) == sorted((a, b, k) for a, b, c, d, k in EDGES if (c, d) == (file, name))
     for file, name in {(e[0], e[1]) for e in EDGES}:
@@ -169,18 +169,18 @@ def test_queries_of_an_index(spark, indexed):
     for name in ("fill", "Barrel"):
         with pytest.raises(ValueError):
             graph.type_uses(refs, symbols, "crates.go", name)
-    assert rows(graph.refs_into_file(refs, "yard/y.go")) == [("yard/y.go", "Gate", "yard/y.go", "Lamp", "call")]
+    assert rows(graph.refs_into_file(refs, "yard/y.go")) == [("yard/y.go", "Crane", "yard/y.go", "rails", "use")]
     assert rows(graph.refs_into_file(refs, "crates.go")) == sorted(e for e in EDGES if e[2] == "crates.go")
     assert [rows(graph.imports_of(imports, f)) for f in ("loads.go", "crates.go")] == [[("os",), ("strconv",)], []]
     assert rows(graph.files_touching(refs, "crates.go", "fill")) == [("crates.go",), ("loads.go",)]
-    assert rows(graph.files_touching(refs, "yard/y.go", "Gate")) == [("yard/y.go",)]
-    got = {r.path: (len(r.symbols), r.imports) for r in graph.repo_index(store.index("index_files", "r"), symbols, imports).collect()}
+    assert rows(graph.files_touching(refs, "yard/y.go", "Crane")) == [("yard/y.go",)]
+    got = {r.path: (len(r.symbols), r.imports) for r in graph.repo_index(store.index.read("index_files", "r"), symbols, imports).collect()}
     assert got == {"crates.go": (8, []), "loads.go": (5, ["os", "strconv"]), "yard/y.go": (2, [])}
-    assert graph.repo_index(store.index("index_files", "r"), symbols, imports, "yard").count() == 1
+    assert graph.repo_index(store.index.read("index_files", "r"), symbols, imports, "yard").count() == 1
 
 
 def test_impact_by_steps(spark, indexed):
-    refs = indexed[0].index("index_refs", "r")
+    refs = indexed[0].index.read("index_refs", "r")
     assert rows(graph.impact_set(refs, ["./loads.go", "yard/../yard/y.go", "", "/"])) == [("loads.go", 0), ("yard/y.go", 0), ("crates.go", 1)]
     assert rows(graph.impact_set(refs, ["nowhere.go"])) == [("nowhere.go", 0)]
     chain = spark.createDataFrame([("r", f"f{i}", "n", f"f{i + 1}", "n", "use") for i in range(5)], INDEX_REFS)
@@ -195,10 +195,10 @@ def test_later_syncs(spark, tmp_path):
     edited = SOURCES | {"loads.go": LOADS + "\nvar spare = heaviest\n"}
     got = sync(source_frame(spark, edited), "r", store)
     assert (got.dirs_changed, got.files, got.symbols) == (1, 2, 14)  # both files of the folder, none of the other
-    assert rows(graph.callers(store.index("index_refs", "r"), "crates.go", "heaviest"))[-1] == ("loads.go", "spare", "use")
+    assert rows(graph.callers(store.index.read("index_refs", "r"), "crates.go", "heaviest"))[-1] == ("loads.go", "spare", "use")
     gone = sync(source_frame(spark, {k: v for k, v in edited.items() if "/" not in k}), "r", store)
     assert (gone.dirs_changed, gone.files) == (1, 0)
-    assert store.index("index_files", "r").where("dir = 'yard'").count() == 0 and store.index("index_refs", "r").count() == len(EDGES) + 1
+    assert store.index.read("index_files", "r").where("dir = 'yard'").count() == 0 and store.index.read("index_refs", "r").count() == len(EDGES) + 1
     for _ in range(2):  # a file that can't be parsed has no row, so its folder is looked at each time
         torn = sync(source_frame(spark, {"crates.go": CRATES, "loads.go": edited["loads.go"], "torn.go": TORN}), "r", store)
         assert torn.skipped == ["torn.go"] and torn.dirs_changed == 1
