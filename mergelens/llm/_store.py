@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,15 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def shield(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with the columns ``own`` under their names and every other renamed by its place, so that no name, whatever
+    characters or twins it has, meets one of an operator's; and a function that gives such columns their names back."""
+    names = docs.columns
+    inner = [n if n in own and names.index(n) == k else f"_other_{k}" for k, n in enumerate(names)]
+    former = dict(zip(inner, names, strict=True))
+    return docs.toDF(*inner), lambda df: df.toDF(*[former.get(c, c) for c in df.columns])
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, text, ``more`` and the key of a document: ``dk`` (its id, a null id as the smallest) with ``th`` (a hash of its text).
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergelens.llm._rolling import BYTE_WORDS, grams, prefix, spans
+from mergelens.llm._store import shield
 from mergelens.llm.toxicity import words
 
 SHORT, LONG = 2, 6
@@ -197,8 +198,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = 8_000_000, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no test item, all columns as they are; see ``contaminated``."""
-    out = docs
-    for _, seeds in _prepared(docs.select(F.col(text_col).alias("text")), benchmark, block_bytes):
+    docs, named = shield(docs, text_col)
+    out, texts = docs, docs.select(F.col(text_col).alias("text"))
+    for _, seeds in _prepared(texts, benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -208,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                 yield b.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
-    return out
+    return named(out)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergelens.llm._store import materialise
+from mergelens.llm._store import materialise, shield
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]+"
@@ -154,11 +154,13 @@ def quality(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | Non
     rows at most. Columns of these names that ``docs`` has are replaced, all others stay. Null and empty texts fail; an
     empty table gives an empty one; repeated rows are judged alike. All features of every row are computed, since all are
     results here; see ``passing`` for the verdict alone."""
+    own = [k for k, c in enumerate(docs.columns) if c not in (*FEATURES, "base_failed", "kept")]
+    docs, named = shield(docs, text_col)
     plan = plan_cascade(take_sample(docs, text_col, sample_rows), default_rules() if rules is None else rules)
-    df = features(docs.drop("base_failed", "kept"), text_col)
+    df = features(docs.select(*[docs.columns[k] for k in own]), text_col)
     names = _columns(text_col)
     failed = F.coalesce(BASE[0].fails(names) | BASE[1].fails(names), F.lit(False))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & first_failed(plan, names).isNull())
+    return named(df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & first_failed(plan, names).isNull()))
 
 
 def passing(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
@@ -166,10 +168,11 @@ def passing(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | Non
     row that one rule has rejected computes nothing that only later rules read. Null and empty texts go; rows that repeat
     are judged alike; an empty table gives an empty one."""
     both = [*BASE, *(default_rules() if rules is None else rules)]
+    docs, named = shield(docs, text_col)
     plan = plan_cascade(take_sample(docs, text_col, sample_rows), both)
     df = _prepared(docs.select(F.struct("*").alias("row"), F.col(text_col)), text_col)
     verdict = F.explode(F.array(first_failed(plan, expressions())))  # evaluated once, see ``features``
-    return df.select("row", verdict.alias("rejected_by")).where("rejected_by is null").select("row.*")
+    return named(df.select("row", verdict.alias("rejected_by")).where("rejected_by is null").select("row.*"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

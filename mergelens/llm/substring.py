@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mergelens.llm import _repeats as R
 from mergelens.llm._rolling import BYTE_WORDS, grams, prefix, runs, sliding_argmin
@@ -183,14 +184,21 @@ def substring_dedup(docs: DataFrame, width: int = 20, m: int = 5, with_text: boo
     ordered by a hash of the text; rows that repeat both are one document and all get its result. An empty table gives an
     empty one, a text of fewer words than a window stays whole.
     """
-    more = {"row": F.struct(*[c for c in docs.columns if c != text_col])} if with_text else {}
+    row, places = None, []
+    if with_text:  # columns by their places: names may hold anything
+        names = docs.columns
+        places = [k for k, c in enumerate(names) if c != text_col]
+        row = StructType([StructField(names[k], docs.schema[k].dataType) for k in places])
+        docs = docs.toDF(*[c if c in (id_col, text_col) and names.index(c) == k else f"_{k}" for k, c in enumerate(names)])
+    more = {"row": F.struct(*[docs.columns[k] for k in places])} if with_text else {}
     docs = R.keyed(docs, id_col, text_col, more)
     texts = docs.selectExpr("dk", "th", "cast(text as binary) as text")
     cut = _rows(width, m)
     judged = R.judge(texts.mapInArrow(cut, R.RUNS), True, "substring-runs", R.frequent(texts, cut, "substring-often"))
-    out = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string"
-    out += f", text string, row {docs.schema['row'].dataType.simpleString()}" if with_text else ""
-    return R.spans(docs, judged, _pack(width), _compare(width)).mapInArrow(_finish(width, with_text), out)
+    out = [("doc_id", LongType()), ("th", LongType()), ("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType())]
+    out += [("text", StringType()), ("row", docs.schema["row"].dataType)] if with_text else []
+    done = R.spans(docs, judged, _pack(width), _compare(width)).mapInArrow(_finish(width, with_text), StructType([StructField(*c) for c in out]))
+    return done.withColumn("row", F.col("row").cast(row)) if with_text else done
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
