@@ -4,7 +4,8 @@ A suffix is ordered through its first ``width`` bytes only, most significant dig
 all that the order is needed for. The first digit of a window is its minimiser, a gram of ``gram`` bytes that equal
 windows choose at the same offset: one row stands for the whole run of windows that share it, so the first pass costs a
 row for some 150 bytes. The second digit is a digest of all the run covers. Runs alone in their group drop out, whole
-runs that are equal are settled, and only what is left reads its bytes, in digits of a quarter of the width each.
+runs that are equal are settled, and what is left is sorted by its bytes, in digits of eight. Only windows of a minimiser
+with very many different runs meet by a digest of 128 bits instead, each in a bucket of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from mergelens.llm import _repeats as R
-from mergelens.llm._rolling import BYTE_WORDS, grams, mix, prefix, runs, sliding_argmin
+from mergelens.llm._rolling import BYTE_WORDS, grams, prefix, runs, sliding_argmin
 
 CHUNK = 1 << 19  # bytes hashed at once
 
@@ -85,20 +86,36 @@ def _pack(width: int):
     return run
 
 
-def _passes(joined: bytes, at: np.ndarray, group: np.ndarray, width: int, digits: int = 4) -> np.ndarray:
-    """Which of the windows at ``at`` have an equal in their group: passes over digits, groups of one drop out."""
-    sums = prefix(BYTE_WORDS[np.frombuffer(joined, np.uint8)])
-    cuts = [width * d // digits for d in range(digits + 1)]
-    left, key = np.arange(len(at)), mix(group.astype(np.uint64))
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if not len(left):
-            break
-        key = mix(key ^ (grams(sums, b - a)[at[left] + a] * np.uint64(0x9E3779B97F4A7C15)))
-        order = np.argsort(key, kind="stable")
-        key, left = key[order], left[order]
-        same = key[1:] == key[:-1]
-        stays = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, left = key[stays], left[stays]
+def _passes(joined: bytes, at: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
+    """Which of the windows at ``at`` have an equal in their group, in the order of their bytes: passes over digits of eight
+    bytes, the most significant first. A pass sorts the groups that its digit splits; groups of one drop out."""
+    data = np.frombuffer(joined + bytes(8), np.uint8).astype(np.uint64)
+    words = np.zeros(len(joined), np.uint64)
+    for k in range(8):
+        words |= data[k : k + len(joined)] << np.uint64(56 - 8 * k)
+    left = np.argsort(group, kind="stable")
+    new = np.concatenate([[True], group[left[1:]] != group[left[:-1]]])[: len(left)]  # where a group begins
+
+    def several() -> np.ndarray:
+        return ~(new & np.concatenate([new[1:], [True]])[: len(new)])
+
+    left, new = left[several()], new[several()]
+    for a in sorted({*range(0, width - 7, 8), max(width - 8, 0)}):
+        digit = words[at[left] + a]
+        if width < 8:
+            digit >>= np.uint64(64 - 8 * width)
+        apart = (digit[1:] != digit[:-1]) & ~new[1:]
+        if not apart.any():
+            continue
+        number = np.cumsum(new) - 1
+        split = np.zeros(number[-1] + 1, bool)
+        split[number[1:][apart]] = True
+        some = np.flatnonzero(split[number])
+        order = np.lexsort((digit[some], number[some]))
+        left[some], digit[some] = left[some[order]], digit[some[order]]
+        new[1:] |= digit[1:] != digit[:-1]
+        stay = several()
+        left, new = left[stay], new[stay]
     return left
 
 
