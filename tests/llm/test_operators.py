@@ -436,7 +436,7 @@ def test_templates_learn_from_labels(spark):
     rows.append((1000, "http://host.net/spam/77.html"))
     df, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")
     got = {r.page_id: r for r in urls.filter_urls(df, urls.RULES, lab).collect()}
-    assert {i for i, r in got.items() if r.verdict == "block"} == {i for i, u in rows if "/spam/" in u and i < 1000}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {i for i, u in rows if "/spam/" in u}  # the last by its branch
     assert got[1].template == "host.net/spam/{n}" and got[3].template.startswith("host.net/*/")
     assert urls.filter_urls(df.limit(0), urls.RULES).count() == 0
 
