@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from datetime import datetime
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,12 @@ class App:
     def list_repos(self) -> DataFrame:
         return self.store.list_repos()
 
-    def list_reviews(self, repo: str) -> DataFrame:
-        return self.store.list_reviews(repo)
+    def list_reviews(self, repo: str, limit: int | None = None, after: tuple[datetime, str] | None = None) -> DataFrame:
+        return self.store.list_reviews(repo, limit, after)
+
+    def page_findings(self, repo: str, limit: int, after: tuple[datetime, str] | None = None) -> DataFrame:
+        """The findings of a page of reviews."""
+        return self.store.findings_of(self.store.list_reviews(repo, limit, after))
 
     def get_review(self, id_: str) -> tuple[dict, DataFrame]:
         return self.store.get_review(id_)

@@ -113,6 +113,15 @@ class Store:
         rows = self.spark.read.schema(schema).parquet(self._findings(found[0].attempt))
         return found[0].asDict(), rows.orderBy(*finding_order())
 
+    def findings_of(self, reviews: DataFrame) -> DataFrame:
+        """The findings of some reviews, each with what its review says of itself, see ``review_findings``. ``reviews`` is a page
+        of ``list_reviews``; only the folders that it names are read."""
+        some = reviews.where("findings_count > 0")
+        paths = [self._findings(r.attempt) for r in some.select("attempt").collect()]  # a page of reviews
+        schema = ", ".join(c for c in STORED_FINDINGS.split(", ") if not c.startswith("attempt"))
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return review_findings(some.select("id", "repo_path", "started_at"), rows.withColumnRenamed("id", "finding_id"))
+
     def reviews(self, repo: str | None = None) -> DataFrame:
         """All reviews, or those of a repository, whose bucket alone is read."""
         rows = self.read("reviews")

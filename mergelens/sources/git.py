@@ -54,9 +54,13 @@ def blame(folder: str, path: str, line: int) -> tuple[str, str]:
     return lines[0].split(" ")[0], next((x.removeprefix("author ") for x in lines if x.startswith("author ")), "")
 
 
+#: Changed files of a task at least, and tasks at most.
+FILES, TASKS = 16, 256
+
+
 class _Part(InputPartition):
-    def __init__(self, raw: str):
-        self.raw = raw
+    def __init__(self, lines: list[str]):
+        self.lines = lines
 
 
 class _Reader(DataSourceReader):
@@ -64,27 +68,27 @@ class _Reader(DataSourceReader):
         self.folder = folder
 
     def partitions(self) -> list[_Part]:
-        return [_Part(x) for x in status_lines(self.folder)] or [_Part("")]
+        lines = status_lines(self.folder)
+        size = max(FILES, -(-len(lines) // TASKS))
+        return [_Part(lines[i : i + size]) for i in range(0, len(lines), size)] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple[str, str | None, str | None]]:
         """The status line, the file's diff, and for an untracked file its text."""
-        raw = partition.raw
-        if not raw:
-            return
-        if raw.startswith("??"):
-            try:
-                with open(os.path.join(self.folder, raw[2:].strip()), encoding="utf-8", errors="replace", newline="") as f:
-                    yield raw, None, f.read()
-            except OSError:
-                yield raw, None, None
-            return
-        old, _, new = raw[3:].strip().partition(" -> ") if raw[0] == "R" else (raw[3:].strip(), "", "")
-        yield raw, file_diff(self.folder, new or old) or (file_diff(self.folder, old) if new else ""), None
+        for raw in partition.lines:
+            if raw.startswith("??"):
+                try:
+                    with open(os.path.join(self.folder, raw[2:].strip()), encoding="utf-8", errors="replace", newline="") as f:
+                        yield raw, None, f.read()
+                except OSError:
+                    yield raw, None, None
+                continue
+            old, _, new = raw[3:].strip().partition(" -> ") if raw[0] == "R" else (raw[3:].strip(), "", "")
+            yield raw, file_diff(self.folder, new or old) or (file_diff(self.folder, old) if new else ""), None
 
 
 class GitWorktree(DataSource):
-    """``spark.read.format("git_worktree").load(path)``: raw status line, diff, text of an untracked file. A task for each
-    changed file; the path must be visible to the executors."""
+    """``spark.read.format("git_worktree").load(path)``: raw status line, diff, text of an untracked file. Some
+    changed files a task; the path must be visible to the executors."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from mergelens.operators import graph, sync as sync_ops
@@ -205,6 +207,29 @@ def test_later_syncs(spark, tmp_path):
     assert store.migrate() == []
 
 
+def test_an_unchanged_tree_reads_no_rows_of_files(spark, tmp_path, monkeypatch):
+    store, read = Store(spark, str(tmp_path / "s")), []
+    sync(source_frame(spark, SOURCES), "r", store)
+    kept = type(store.index).read
+    monkeypatch.setattr(type(store.index), "read", lambda self, table, repo=None: (read.append(table), kept(self, table, repo))[1])
+    assert sync(source_frame(spark, SOURCES), "r", store).dirs_changed == 0 and read == ["index_digests"]
+    read.clear()
+    sync(source_frame(spark, SOURCES | {"yard/z.go": YARD.replace("Crane", "Hoist").replace("rails", "ropes")}), "r", store)
+    assert "index_files" not in read
+
+
+def test_digests_tell_what_files_tell(spark):
+    rng = random.Random(4)
+    for _ in range(6):
+        was = {f"d{rng.randrange(4)}/f{rng.randrange(9)}": str(rng.randrange(3)) for _ in range(20)}
+        now = {p: (h if rng.random() < 0.9 else "9") for p, h in was.items() if rng.random() < 0.9}
+        frames = [spark.createDataFrame(list(x.items()), "path string, hash string") for x in (was, now)]
+        want = {r.dir for r in sync_ops.changed_files(*frames).selectExpr("substring_index(path, '/', 1) as dir").collect()}
+        assert {r.dir for r in sync_ops.stale_dirs(*frames).collect()} == want
+        swapped = frames[0].selectExpr("path", "case when path = 'x' then hash else hash end as hash").orderBy(sync_ops.F.col("path").desc())
+        assert sync_ops.stale_dirs(frames[0], swapped).count() == 0
+
+
 def test_edges_with_unknown_ends_are_refused(spark):
     symbols = spark.createDataFrame([("r", "a", "x", "func", 1)], INDEX_SYMBOLS)
     refs = spark.createDataFrame([("r", "a", "x", "a", "y", "use")], INDEX_REFS)

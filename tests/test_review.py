@@ -110,6 +110,31 @@ def test_history(spark, tmp_path):
     assert got == [("/a", 3, "r2", 2, 2), ("/b", 2, "r4", 0, 2)]
     assert [r.id for r in store.list_reviews("/a").collect()] == ["r2", "r1"] and [r.id for r in store.list_reviews("/b").collect()] == ["r4", "r3"]
     assert store.list_reviews("/none").count() == 0
+    with pytest.raises(KeyError):
+        store.get_review("r1", "/b")
+    assert store.get_review("r1", "/a")[0]["id"] == "r1"
+
+
+def test_pages_of_history(spark, tmp_path):
+    """Pages by key are the whole list, whatever ties; a page's findings come from its own folders, and a review's from one."""
+    from mergelens.operators.findings import finding
+
+    store, seen = Store(spark, str(tmp_path / "s")), []
+    for k in range(9):
+        at = datetime(2024, 1, 1 + k // 3)
+        store.save_review({"id": f"r{k}", "repo_path": "/a", "mode": "offline", "started_at": at, "finished_at": at}, spark.range(k % 3).select(*finding(file=none_col(f"f{k}"))))
+    after = None
+    while page := store.list_reviews("/a", 4, after).collect():
+        assert len(page) <= 4
+        seen += [r.id for r in page]
+        after = (page[-1].started_at, page[-1].id)
+    assert seen == [r.id for r in store.list_reviews("/a").collect()] == [f"r{k}" for k in range(8, -1, -1)]
+    plan = store.list_reviews("/a", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "bucket" in plan.split("PartitionFilters")[1][:80]
+    rows = store.findings_of(store.list_reviews("/a", 4)).collect()
+    assert sorted((r.review_id, r.file, r.findings_count) for r in rows) == [("r5", "f5", 2), ("r5", "f5", 2), ("r7", "f7", 1), ("r8", "f8", 2), ("r8", "f8", 2)]
+    _, found = store.get_review("r5")
+    assert {f.rsplit("/", 2)[-2] for f in found.inputFiles()} == {"attempt=" + store.reviews().where("id = 'r5'").head().attempt}
 
 
 def none_col(name):
