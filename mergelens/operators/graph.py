@@ -129,6 +129,12 @@ def impact_set(refs: DataFrame, changed: Iterable[str], depth: int = DEPTH) -> D
     return impact(links, seeds(refs.sparkSession, changed), depth).orderBy("distance", "path")
 
 
+def context_files(reached: DataFrame, contents: DataFrame) -> DataFrame:
+    """path, distance, code of what ``impact`` reached beyond its seeds; ``contents``: path, code. Files that can't be read
+    are left out."""
+    return reached.where("distance > 0").join(contents, "path").select("path", "distance", "code")
+
+
 def repo_index(files: DataFrame, symbols: DataFrame, imports: DataFrame, directory: str | None = None) -> DataFrame:
     """repo_path, path, language, hash, symbols, imports: a row for each file, also for those without symbols; symbols of
     files that aren't indexed don't appear. ``directory`` picks one."""

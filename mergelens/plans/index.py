@@ -91,8 +91,8 @@ class Index:
             self.compact()
         return version
 
-    def delete(self, repo: str, folder: str) -> int:
-        return self.log.commit("", [(repo, folder, False)])
+    def delete(self, repo: str, *folders: str) -> int:
+        return self.log.commit("", [(repo, f, False) for f in folders])
 
     def compact(self) -> int:
         """Writes the current rows of all generations as one. Returns the version."""

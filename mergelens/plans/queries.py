@@ -6,16 +6,19 @@ an order line is a reference from a customer to a supplier; an event is a review
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from mergelens.functions.lineage import cut, shared_dir
 from mergelens.functions.paths import clean_path, dir_of, glob_regex, is_safe
 from mergelens.functions.text import estimate_tokens, normal_severity, severity_weight, whole_seconds
 from mergelens.operators import agent, context, detect, diff, findings, graph, rules, sync
-from mergelens.plans.store import latest_per_repo, numbered_reviews, review_findings
+from mergelens.plans.store import Store, latest_per_repo, numbered_reviews, review_findings
 from mergelens.sources import config, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,3 +466,125 @@ def review(spark, d):
     lines = _seeded(_lines(spark, d))
     found = findings.union_all([detect.detect_secrets(lines), rules.evaluate(lines, _rules())])
     return findings.with_rank(findings.dedupe(found), parts=16).select("file", "line_start", "rule_id", "severity", "rank")
+
+
+@query("""SELECT replace(p_name, ' ', '_') || '.go' AS file, CAST(p_size AS INT) AS line_start, 'go-vet' AS rule_id, 'lint' AS category, 'warning' AS severity, 'analyzer' AS source, p_type AS message, CAST(1 AS DOUBLE) AS confidence
+FROM part WHERE p_partkey % 7 NOT IN (5, 6)""")
+def lint_findings(spark, d):
+    """Lines of a linter, some with the repository's path before the file, some with ``./``, some that say nothing."""
+    p, k = _table(spark, d, "part"), F.col("p_partkey") % 7
+    at = F.when(k == 5, ":x: ").when(k == 6, " ").otherwise(F.concat(F.lit(":"), F.col("p_size").cast("string"), F.when(k < 3, ":7: ").otherwise(": ")))
+    lead = F.when(k % 3 == 0, "/work/tree/").when(k % 3 == 1, "./").otherwise("")
+    raw = F.concat(lead, F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".go"), at, F.col("p_type"))
+    got = detect.lint_findings(p.select(raw.alias("raw"), F.col("p_partkey").alias("ord")), "/work/tree")
+    return got.select("file", "line_start", "rule_id", "category", "severity", "source", "message", "confidence")
+
+
+# An index of customers in a directory for each nation and suppliers in one of their own, of which some nations are replaced
+# by rows of returned goods alone and others deleted.
+STORED_SQL = """o AS (SELECT l_suppkey, l_returnflag, o_orderpriority, o_custkey, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+e AS (SELECT DISTINCT 'n' || c_nationkey || '/c' || o_custkey AS src_file, o_orderpriority AS src_name, 's/s' || l_suppkey AS dst_file, l_returnflag AS dst_name FROM o
+WHERE c_nationkey % 5 <> 4 AND (c_nationkey % 3 <> 0 OR l_returnflag = 'R'))"""
+
+
+def _stored_index(spark: SparkSession, d: str) -> Store:
+    """A store of its own in the shared folder, after a replacement, a replacement of part and deletions."""
+    store = Store(spark, f"{shared_dir(spark)}/mergelens/index-query-{uuid.uuid4().hex}")
+    o, li, c, s = (_table(spark, d, t) for t in ("orders", "lineitem", "customer", "supplier"))
+    own = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    bought = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    file = F.concat(own, F.lit("/c"), F.col("c_custkey").cast("string"))
+    goods = F.concat(F.lit("s/s"), F.col("s_suppkey").cast("string"))
+    repo = F.lit("r").alias("repo_path")
+    edges = bought.select(
+        repo, own.alias("dir"), file.alias("src_file"), F.col("o_orderpriority").alias("src_name"), F.concat(F.lit("s/s"), F.col("l_suppkey").cast("string")).alias("dst_file"),
+        F.col("l_returnflag").alias("dst_name"), F.lit("call").alias("kind"), "c_nationkey",
+    ).distinct()
+    edges = cut(edges, "query-edges")
+    files = c.select(repo, own.alias("dir"), file.alias("path"), "c_nationkey").union(s.select(repo, F.lit("s").alias("dir"), goods.alias("path"), F.lit(None)))
+    flags = F.array(*[F.lit(r.dst_name) for r in edges.select("dst_name").distinct().collect()])  # R, A and N
+    symbols = edges.select(repo, "dir", F.col("src_file").alias("file_path"), F.col("src_name").alias("name"), "c_nationkey").distinct()
+    sold = s.select(repo, F.lit("s").alias("dir"), goods.alias("file_path"), F.explode(flags).alias("name"), F.lit(None).alias("c_nationkey"))
+
+    def put(where: str, names: list[str]) -> None:
+        part = {"index_files": files.where(where), "index_symbols": symbols.union(sold).where(f"c_nationkey is null or {where}"), "index_refs": edges.where(where)}
+        store.replace_dirs("r", names, {
+            "index_files": part["index_files"].select("repo_path", "dir", "path", F.lit("go").alias("language"), F.sha2("path", 256).alias("hash"), F.lit(None).cast("timestamp").alias("updated_at")),
+            "index_symbols": part["index_symbols"].select("repo_path", "dir", "file_path", "name", F.lit("func").alias("kind"), F.lit(1).alias("line")),
+            "index_refs": part["index_refs"].drop("c_nationkey"),
+            "index_imports": part["index_files"].select("repo_path", "dir", F.col("path").alias("file_path"), F.lit("os").alias("import_path")),
+        })
+
+    nations = sorted(r.c_nationkey for r in c.select("c_nationkey").distinct().collect())  # a row a directory
+    put("true", ["s", *[f"n{k}" for k in nations]])
+    edges = edges.where("dst_name = 'R'")
+    put("c_nationkey % 3 = 0", [f"n{k}" for k in nations if k % 3 == 0])
+    store.delete_dirs("r", *[f"n{k}" for k in nations if k % 5 == 4])
+    return store
+
+
+def _customer(spark: SparkSession, d: str) -> str:
+    """The file of the first customer of the nations 1 and 16."""
+    first = _table(spark, d, "customer").where("c_nationkey % 15 = 1").agg(F.min_by("c_nationkey", "c_custkey").alias("n"), F.min("c_custkey").alias("c")).head()
+    return f"n{first.n}/c{first.c}"
+
+
+@query(f"WITH {STORED_SQL} SELECT src_file, count(*) AS n, count(DISTINCT dst_file) AS files FROM e GROUP BY src_file")
+def index_store(spark, d):
+    """Edges of a stored index after replacements and deletions, read from its generations once they have been compacted."""
+    store = _stored_index(spark, d)
+    store.index.compact()
+    return store.index.read("index_refs", "r").groupBy("src_file").agg(F.count("*").alias("n"), F.count_distinct("dst_file").alias("files"))
+
+
+@query(f"""WITH {STORED_SQL}, i AS (SELECT DISTINCT src_file AS a, dst_file AS b FROM e), g AS (SELECT a, b FROM i UNION SELECT b, a FROM i), d1 AS (SELECT DISTINCT b AS path FROM g WHERE a = 's/s7'),
+d2 AS (SELECT DISTINCT b AS path FROM g JOIN d1 ON a = path), m AS (SELECT path, min(x) AS x FROM (SELECT 's/s7' AS path, 0 AS x UNION ALL SELECT path, 1 FROM d1 UNION ALL SELECT path, 2 FROM d2) GROUP BY path)
+SELECT 'caller' AS what, src_file AS file, src_name AS name FROM e WHERE dst_file = 's/s7' AND dst_name = 'R' UNION ALL SELECT 'callee', dst_file, dst_name FROM e WHERE src_name = '1-URGENT' AND src_file = (SELECT 'n' || c_nationkey || '/c' || c_custkey FROM customer WHERE c_nationkey % 15 = 1 ORDER BY c_custkey LIMIT 1)
+UNION ALL SELECT 'import', 's/s7', 'os' UNION ALL SELECT 'reached', path, CAST(x AS VARCHAR) FROM m""")
+def index_lookups(spark, d):
+    """Lookups in a stored index of several generations: callers, callees, imports and the impact set over its links."""
+    index = _stored_index(spark, d).index
+    row = lambda df, what, file, name: df.select(F.lit(what).alias("what"), F.col(file).alias("file"), F.col(name).cast("string").alias("name"))
+    out = row(index.callers("r", "s/s7", "R"), "caller", "file", "name").union(row(index.callees("r", _customer(spark, d), "1-URGENT"), "callee", "file", "name"))
+    return out.union(row(index.imports_of("r", "s/s7").withColumn("file", F.lit("s/s7")), "import", "file", "import_path")).union(row(index.impact_set("r", ["./s/s7"]), "reached", "path", "distance"))
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS id, l_returnflag AS rule_id, l_linenumber AS line_start, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('F', 'P'))
+SELECT id, 's' || l_suppkey AS file, CAST(NULLIF(line_start, 3) AS INT) AS line_start, rule_id, count(*) AS n, (SELECT count(*) FROM r q WHERE q.id = r.id) AS findings_count FROM r GROUP BY ALL""")
+def stored_reviews(spark, d):
+    """Two reviews saved with their findings and read by id."""
+    store = Store(spark, f"{shared_dir(spark)}/mergelens/reviews-query-{uuid.uuid4().hex}")
+    li, o = _table(spark, d, "lineitem"), _table(spark, d, "orders")
+    out, at = None, datetime(2024, 1, 1)
+    for status in ("F", "P"):
+        rows = li.join(o.where(F.col("o_orderstatus") == status), li.l_orderkey == o.o_orderkey)
+        line = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber"))
+        found = rows.select(*findings.finding(rule_id=F.col("l_returnflag"), category=F.lit("rule"), severity=F.lit("info"), file=F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), line_start=line))
+        store.save_review({"id": status, "repo_path": "/r", "mode": "offline", "started_at": at, "finished_at": at}, found)
+        head, got = store.get_review(status, "/r")
+        got = got.groupBy("file", "line_start", "rule_id").agg(F.count("*").alias("n")).select(F.lit(status).alias("id"), "file", "line_start", "rule_id", "n", F.lit(head["findings_count"]).cast("long").alias("findings_count"))
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query(f"""WITH {REFS_SQL}, p AS (SELECT DISTINCT src_file AS a, dst_file AS b FROM e), g AS (SELECT a, b FROM p UNION SELECT b, a FROM p), d1 AS (SELECT DISTINCT b AS path FROM g WHERE a = 's3'),
+m AS (SELECT path, min(x) AS x FROM (SELECT 's3' AS path, 0 AS x UNION ALL SELECT path, 1 FROM d1 UNION ALL SELECT b, 2 FROM g JOIN d1 ON a = path) GROUP BY path)
+SELECT path, CAST(x AS INT) AS distance, c_name AS code FROM m JOIN customer ON path = 'c' || c_custkey WHERE x > 0""")
+def impact_context(spark, d):
+    """What a change reaches, with the code that there is."""
+    code = _table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_name").alias("code"))
+    return graph.context_files(graph.impact_set(_refs(spark, d), ["s3"]), code)
+
+
+@query(f"""WITH {LINES}, a AS (SELECT source, path, number, text FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')), r AS (SELECT source, path, text FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'en')),
+c AS (SELECT DISTINCT source, 0 AS section, chr(10) AS chunk FROM a UNION ALL SELECT DISTINCT source, 1, '{context.DIFF.rstrip()}' || chr(10) FROM a UNION ALL SELECT DISTINCT source, 1, '--- ' || path || chr(10) FROM a
+UNION ALL SELECT source, 1, '+' || number || ' ' || text || chr(10) FROM a UNION ALL SELECT DISTINCT source, 2, '{context.RELATED.rstrip()}' || chr(10) FROM r UNION ALL SELECT DISTINCT source, 2, '--- ' || path || ' (distance 1)' || chr(10) FROM r
+UNION ALL SELECT source, 2, text || chr(10) FROM r WHERE text <> '')
+SELECT source, CAST(section AS INT) AS section, count(*) AS chunks, CAST(sum((strlen(chunk) + 3) // 4) AS BIGINT) AS tokens FROM c GROUP BY ALL""")
+def context_related(spark, d):
+    """All chunks of a pack for each source: its English documents as the change, the others as related code."""
+    docs = _table(spark, d, "documents").select("source", "lang", _path().alias("path"), "text")
+    lines = docs.where("lang = 'en'").select("source", "path", F.posexplode(diff.lines_of(F.col("text"))).alias("i", "text")).select("source", "path", (F.col("i") + 1).alias("number"), (F.col("i") + 1).alias("line_ord"), "text")
+    related = docs.where("lang <> 'en'").select("source", "path", F.lit(1).alias("distance"), F.col("text").alias("code"))
+    parts = context.chunks(lines, related, ["source"])
+    return parts.groupBy("source", "section").agg(F.count("*").alias("chunks"), F.sum(estimate_tokens(F.col("chunk"))).alias("tokens"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mergelens.functions.lineage import cut
 from mergelens.functions.text import split_budget
-from mergelens.operators import agent, context, findings
+from mergelens.operators import agent, context, findings, graph
 from mergelens.operators.detect import run_detectors
 from mergelens.operators.diff import added_lines
 from mergelens.operators.rules import Rule, default_rules, evaluate
@@ -64,8 +64,7 @@ def related_files(spark: SparkSession, repo: str, lines: DataFrame, store: Store
     except Exception as e:
         raise SyncFailed(e) from e
     changed = [r.path for r in lines.select("path").distinct().collect()]  # a row a changed file
-    reached = store.index.impact_set(repo, changed).where("distance > 0")
-    return reached.join(files.select("path", F.col("content").cast("string").alias("code")), "path").select("path", "distance", "code")
+    return graph.context_files(store.index.impact_set(repo, changed), files.select("path", F.col("content").cast("string").alias("code")))
 
 
 def model_findings(lines: DataFrame, related: DataFrame | None, baseline: DataFrame, providers: Sequence[agent.Provider], budget: int, local_only: bool) -> tuple[DataFrame, int, int, str]:

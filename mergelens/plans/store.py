@@ -157,8 +157,9 @@ class Store:
         check_refs(tables["index_refs"], tables["index_symbols"])
         self.index.replace(repo, dirs, tables)
 
-    def delete_dir(self, repo: str, folder: str) -> None:
-        self.index.delete(repo, folder)
+    def delete_dirs(self, repo: str, *folders: str) -> None:
+        """With one commit."""
+        self.index.delete(repo, *folders)
 
 
 def sync(files: DataFrame, repo: str, store: Store | None = None) -> SyncSummary:
