@@ -143,6 +143,26 @@ def rule_catalogue(spark, d):
     return rules.evaluate(lines, made).select("file", "line_start", "rule_id", "severity")
 
 
+@query("""SELECT n_name || '/c' || c_custkey || '.txt' AS file, CAST(c_custkey AS INT) AS line_start, 'digits of ' || n_name AS rule_id, CASE WHEN n_nationkey % 2 = 0 THEN 'warning' ELSE 'error' END AS severity,
+'Names of ' || n_name || chr(10) || 'are looked at.' AS message FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_name LIKE '%' || (n_nationkey % 10)
+UNION ALL SELECT n_name || '/c' || c_custkey || '.txt', CAST(c_custkey AS INT), 'round numbers', 'info', '' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_name LIKE '%00'""")
+def rule_documents(spark, d):
+    """Rules that were written as documents: one for each region, of a rule for each of its nations and one for the model alone;
+    and a rule for all."""
+    nations = _table(spark, d, "nation").orderBy("n_nationkey").collect()  # 25
+    texts: dict[int, str] = {}
+    for n in nations:
+        severity = "severity: error\n" if n.n_nationkey % 2 else ""
+        rule = f'---\nname: digits of {n.n_name}\npaths: ["{n.n_name}/**"]\n{severity}pattern: "{n.n_nationkey % 10}$"\n---\n\nNames of {n.n_name}\nare looked at.\n\n'
+        texts[n.n_regionkey] = texts.get(n.n_regionkey, "---\nname: manners\n---\nAsk the model.\n") + rule
+    made = [r for k, t in texts.items() for r in rules.parse_rules(t, f"region-{k}")]
+    made += rules.parse_rules('---\nname: round numbers\nseverity: info\npattern: " 00$|00$"\n---\n', "all")
+    c, n = _table(spark, d, "customer"), _table(spark, d, "nation")
+    path = F.concat(F.col("n_name"), F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".txt"))
+    lines = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(path.alias("path"), F.col("c_custkey").cast("int").alias("number"), F.col("c_name").alias("text"), F.lit(1).alias("line_ord"))
+    return rules.evaluate(lines, made).select("file", "line_start", "rule_id", "severity", "message")
+
+
 # The one pattern of the detector that the documents hold, its quotes doubled for SQL.
 GENERIC = r"(?i)(?:api[_-]?key|secret|token|passw(?:or)?d)[\"'']?\s*[:=]\s*[\"'']([A-Za-z0-9_\-+/=.]{16,})[\"'']"
 
@@ -464,7 +484,8 @@ SELECT file, CAST(number AS INT) AS line_start, rule_id, severity, row_number()
 @query(REVIEW_SQL)
 def review(spark, d):
     lines = _seeded(_lines(spark, d))
-    found = findings.union_all([detect.detect_secrets(lines), rules.evaluate(lines, _rules())])
+    found, _, _ = detect.run_detectors(lines, ["secrets"])
+    found = findings.union_all([*found, rules.evaluate(lines, _rules())])
     return findings.with_rank(findings.dedupe(found), parts=16).select("file", "line_start", "rule_id", "severity", "rank")
 
 
