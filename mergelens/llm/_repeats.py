@@ -99,20 +99,23 @@ def judge(rows: DataFrame, first_stays: bool, label: str, often: DataFrame) -> D
     return materialise(rows.where("dup or rep"), label)
 
 
-def spans(docs: DataFrame, judged: DataFrame, pack: Callable, compare: Callable) -> DataFrame:
+def spans(docs: DataFrame, judged: DataFrame, pack: Callable, compare: Callable, hot: Callable | None = None) -> DataFrame:
     """(dk, th, text, .., spans): every document with the windows found twice, as runs (start, n), and what other columns
     ``docs`` has.
 
     ``pack`` cuts the representatives out of their texts and sends them to buckets; ``compare`` gets whole buckets,
-    sorted, and returns runs of windows. The texts are shuffled by document once, for both joins.
+    sorted, and returns runs of windows. The texts are shuffled by document once, for both joins. With ``hot`` the runs
+    of hot minimisers are left to it: it gets (dk, th, text) and those runs and returns (dk, th, start, n) or None.
     """
     more = [c for c in docs.columns if c not in ("doc_id", "dk", "th", "text")]
     docs = docs.select("dk", "th", F.col("text").cast("binary").alias("text"), *more)
-    wanted = judged.where("rep").groupBy("dk", "th").agg(F.collect_list(F.struct("mh", "start", "n", "hot")).alias("runs"))
+    wanted = judged.where("rep and not hot" if hot else "rep").groupBy("dk", "th").agg(F.collect_list(F.struct("mh", "start", "n", "hot")).alias("runs"))
     packed = docs.join(wanted, ["dk", "th"]).select("dk", "th", "text", *more, "runs").mapInArrow(pack, "bucket long, body binary, dk long, th long, start int")
     sorted_ = packed.repartition("bucket").sortWithinPartitions("bucket", "dk", "th", "start")
     found = sorted_.mapInArrow(_buckets(compare), "dk long, th long, start int, n int")
     both = judged.where("dup").select("dk", "th", "start", "n").union(found)
+    more_found = hot(docs.select("dk", "th", "text"), judged.where("rep and hot").select("mh", "dk", "th", "start", "n")) if hot else None
+    both = both if more_found is None else both.union(more_found)
     both = both.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     return docs.join(both, ["dk", "th"], "left").select("dk", "th", "text", *more, "spans")
 

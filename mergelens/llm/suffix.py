@@ -5,21 +5,25 @@ all that the order is needed for. The first digit of a window is its minimiser,
 windows choose at the same offset: one row stands for the whole run of windows that share it, so the first pass costs a
 row for some 150 bytes. The second digit is a digest of all the run covers. Runs alone in their group drop out, whole
 runs that are equal are settled, and what is left is sorted by its bytes, in digits of eight. Only windows of a minimiser
-with very many different runs meet by a digest of 128 bits instead, each in a bucket of its own.
+with very many different runs meet by digests of 128 bits instead: of ranges of neighbouring windows, which are divided
+where they are neither equal to another's nor without any like.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mergelens.llm import _repeats as R
 from mergelens.llm._rolling import BYTE_WORDS, grams, prefix, runs, sliding_argmin
+from mergelens.llm._store import materialise
 
 CHUNK = 1 << 19  # bytes hashed at once
 
@@ -70,17 +74,11 @@ def _pack(width: int):
             bucket, body, dk, th, start = [], [], [], [], []
             for k, t, text, wanted in zip(*(b.column(c).to_pylist() for c in ("dk", "th", "text", "runs")), strict=True):
                 for r in wanted:
-                    s, n = r["start"], r["n"]
-                    if r["hot"]:  # a digest of each window stands for it
-                        made = [(xxhash.xxh3_128_digest(text[i : i + width]), i) for i in range(s, s + n)]
-                        bucket += [int.from_bytes(x[:8], "big", signed=True) for x, _ in made]
-                    else:
-                        made = [(text[s : s + n - 1 + width], s)]
-                        bucket.append(r["mh"])
-                    body += [x for x, _ in made]
-                    start += [i for _, i in made]
-                    dk += [k] * len(made)
-                    th += [t] * len(made)
+                    bucket.append(r["mh"])
+                    body.append(text[r["start"] : r["start"] + r["n"] - 1 + width])
+                    start.append(r["start"])
+                    dk.append(k)
+                    th.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(body, pa.binary()), pa.array(dk, pa.int64()), pa.array(th, pa.int64()), pa.array(start, pa.int32())], ["bucket", "body", "dk", "th", "start"])
 
     return run
@@ -126,12 +124,7 @@ def _compare(width: int):
         bodies = t.column("body").to_pylist()
         fresh = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (dk[1:] != dk[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1])])  # no repeated rows
         lens = np.array([len(x) for x in bodies])
-        alone = np.flatnonzero(fresh & (lens == 16))
-        out = [np.zeros((0, 3), np.int64)]
-        order = sorted(alone.tolist(), key=lambda k: bodies[k])
-        hit = [k for i, k in enumerate(order) if i and bodies[order[i - 1]] == bodies[k] or i + 1 < len(order) and bodies[order[i + 1]] == bodies[k]]
-        out.append(np.stack([dk[hit], th[hit], start[hit].astype(np.int64)], 1))
-        whole = np.flatnonzero(fresh & (lens != 16))
+        out, whole = [np.zeros((0, 3), np.int64)], np.flatnonzero(fresh)
         heads, ends = runs(bucket[whole])
         k = 0
         while k < len(heads):  # so many buckets at once as fill a chunk
@@ -154,6 +147,74 @@ def _compare(width: int):
     return run
 
 
+def _bodies(width: int, gram: int):
+    """dk, th, start, n, at, body of runs of hot minimisers: ``at`` is the minimiser's place in the run's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, t, text, wanted in zip(*(b.column(c).to_pylist() for c in ("dk", "th", "text", "runs")), strict=True):
+                for r in wanted:
+                    body = text[r["start"] : r["start"] + r["n"] - 1 + width]
+                    values = grams(prefix(BYTE_WORDS[np.frombuffer(body, np.uint8)]), gram).view(np.int64)
+                    rows.append((k, t, r["start"], r["n"], int(np.flatnonzero(values == r["mh"])[0]), body))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["dk", "th", "start", "n", "at", "body"])
+
+    return run
+
+
+def _cells(width: int, span: int):
+    """The windows of runs, from ``a`` to ``b``, dealt to cells of ``span`` neighbours by their distance to the minimiser:
+    ``every`` is a digest of all that a cell's windows cover, ``common`` of what lies in each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            rows = []
+            for dk, th, start, at, body, a, b in zip(*(batch.column(c).to_pylist() for c in ("dk", "th", "start", "at", "body", "a", "b")), strict=True):
+                for cell in range((at - b) // span, (at - a) // span + 1):
+                    near, far = cell * span, cell * span + span - 1
+                    i, j = max(a, at - far), min(b, at - near)
+                    every = digest(body[i : j + width]) + struct.pack(">ii", at - j, at - i)
+                    rows.append((dk, th, start, i, j, every, digest(body[at - near : at - far + width]) + struct.pack(">i", cell)))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["dk", "th", "start", "a", "b", "every", "common"])
+
+    return run
+
+
+def _hot(width: int, gram: int):
+    def found(docs: DataFrame, runs_: DataFrame) -> DataFrame | None:
+        """dk, th, start, n: windows found twice among the runs of minimisers that have too many different runs for a task.
+
+        Windows are dealt to cells of some fifty neighbours, then of seven, then of one. Cells that are equal in several
+        runs are settled whole and one of each kind goes on; a cell whose common part no other kind has drops out; the kinds
+        that share a common part are divided. So a run costs a few rows for each place where it parts from others, however
+        many runs there are.
+        """
+        if runs_.isEmpty():
+            return None
+        wanted = runs_.groupBy("dk", "th").agg(F.collect_list(F.struct("mh", "start", "n")).alias("runs"))
+        bodies = docs.join(wanted, ["dk", "th"]).select("dk", "th", "text", "runs").mapInArrow(_bodies(width, gram), "dk long, th long, start int, n int, at int, body binary")
+        bodies = materialise(bodies.dropDuplicates(["dk", "th", "start"]), "suffix-bodies")  # repeated rows are one document
+        third = round((width - gram + 1) ** (1 / 3))
+        rows, out = bodies.withColumns({"a": F.lit(0), "b": F.col("n") - 1}).drop("n"), None
+        for span in dict.fromkeys((max(1, third * third), max(1, third), 1)):
+            cells = materialise(rows.mapInArrow(_cells(width, span), "dk long, th long, start int, a int, b int, every binary, common binary"), f"suffix-cells-{span}")
+            first = F.min(F.struct("dk", "th", "start", "a", "b")).alias("first")
+            kinds = materialise(cells.groupBy("common", "every").agg(F.count("*").alias("k"), first), f"suffix-kinds-{span}")
+            now = cells.join(kinds.where("k > 1").select("every"), "every", "left_semi").select("dk", "th", (F.col("start") + F.col("a")).alias("start"), (F.col("b") - F.col("a") + 1).alias("n"))
+            out = now if out is None else out.union(now)
+            parted = materialise(kinds.groupBy("common").agg(F.count("*").alias("n")).where("n > 1"), f"suffix-parted-{span}")
+            rows = kinds.join(parted, "common").select("first.*").join(bodies.drop("n"), ["dk", "th", "start"])
+        return out
+
+    return found
+
+
 def _finish(width: int, with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,7 +250,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 100, with_bytes:
     cut = _rows(width, gram)
     judged = R.judge(texts.mapInArrow(cut, R.RUNS), False, "suffix-runs", R.frequent(texts, cut, "suffix-often"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return R.spans(docs, judged, _pack(width), _compare(width)).mapInArrow(_finish(width, with_bytes), out)
+    return R.spans(docs, judged, _pack(width), _compare(width), _hot(width, gram)).mapInArrow(_finish(width, with_bytes), out)
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
