@@ -21,7 +21,7 @@ from mergelens.functions.paths import glob_regex
 #: A literal of fewer letters is found in too many lines to be of use.
 SHORT = 2
 #: Paths whose rules a task remembers.
-HELD = 4096
+HELD = 1 << 16
 
 
 def literals(pattern: str) -> frozenset[str] | None:
@@ -68,6 +68,7 @@ class Scopes:
     def __init__(self, globs: Sequence[Sequence[str]]):
         self.everywhere = frozenset(k for k, gs in enumerate(globs) if not gs)
         self.nodes: list[dict] = []
+        self.sets: dict[frozenset[int], frozenset[int]] = {}
         self.odd: list[tuple[re.Pattern, int]] = []  # ``**`` within a name: the whole pattern
         self.all = [(re.compile(glob_regex(g)), k) for k, gs in enumerate(globs) for g in gs]
         self.root = self._node()
@@ -125,9 +126,12 @@ class Scopes:
                     if rx == "**" or _fits(rx, part):
                         after.add(to)
             states = self._enter(after)
-        out = {k for s in states for k in self.nodes[s]["rules"]}
-        out.update(k for rx, k in self.odd if rx.search(path))
-        return frozenset(out)
+        ends = frozenset(s for s in states if self.nodes[s]["rules"])
+        out = self.sets.get(ends)
+        if out is None:  # many paths end alike, so their rules are one set
+            out = self.sets[ends] = frozenset(k for s in ends for k in self.nodes[s]["rules"])
+        odd = [k for rx, k in self.odd if rx.search(path)]
+        return out.union(odd) if odd else out
 
     def _enter(self, states: set[int]) -> set[int]:
         todo = list(states)
