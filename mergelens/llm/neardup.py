@@ -2,13 +2,17 @@
 
 Two texts are near duplicates where the Jaccard similarity of their sets of word 5-shingles is ``SIMILARITY`` or more.
 ``BANDS`` bands of ``ROWS`` minima each meet in one band at least with probability 1 - (1 - s^ROWS)^BANDS: all but 6 in a
-million pairs at s = 0.8, and fewer above it. Texts that share a cell are only candidates; candidates that hang together are
-compared pair by pair with their whole sets, so no link rests on an estimate.
+million pairs at s = 0.8, and fewer above it. Of texts that share a cell, a pair is a candidate only where enough of all minima
+agree, by four bits of each: ``MISS`` is the probability that a pair of just s fails, and pairs below about 0.67 rarely pass,
+so a passage that many texts share doesn't chain them together. Candidates that hang together are compared with their whole
+sets, so no link rests on an estimate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,10 @@ from mergelens.llm.components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
+#: How probable it may be that a pair of just the similarity asked for has fewer agreeing minima than the cutoff.
+MISS = 1e-6
+#: Nodes of a cell that one task compares.
+CELL_CAP = 2048
 SEED = 42
 BLOCK = 1 << 12  # shingles whose minima are taken at once
 _RNG = np.random.default_rng(SEED)
@@ -29,6 +37,9 @@ FACTORS = _RNG.integers(0, 2**32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 SHIFTS = _RNG.integers(0, 2**32, (BANDS * ROWS, 1), np.uint32)
 MIX = _RNG.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 SALT = _RNG.integers(0, 2**64, BANDS, np.uint64)
+#: How many halves of a byte are zero.
+HALVES = np.array([(x < 16) + (x % 16 == 0) for x in range(256)], np.uint8)
+_MASK = 2**64 - 1
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -47,15 +58,55 @@ def _shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((h(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
 
 
-def _cells(shingles: np.ndarray) -> np.ndarray:
-    """The cell of each band."""
+def _minima(shingles: np.ndarray) -> np.ndarray:
     low = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     h = (shingles >> np.uint64(32)).astype(np.uint32)
     for k in range(0, len(h), BLOCK):
         np.minimum(low, (FACTORS * h[k : k + BLOCK] + SHIFTS).min(axis=1), out=low)
+    return low
+
+
+def _cells(low: np.ndarray) -> np.ndarray:
+    """The cell of each band of minima."""
     return (low.reshape(BANDS, ROWS).astype(np.uint64) * MIX).sum(axis=1, dtype=np.uint64) ^ SALT
 
 
+def _sketch(low: np.ndarray) -> bytes:
+    """Four bits of each minimum."""
+    bits = ((low * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8)
+    return (bits[::2] << np.uint8(4) | bits[1::2]).tobytes()
+
+
+@cache
+def cutoff(similarity: float) -> int:
+    """The least number of agreeing minima that ``similarity`` leaves possible but for a probability of ``MISS``; those that
+    differ agree by chance in one case of sixteen."""
+    n, p, below = BANDS * ROWS, similarity + (1 - similarity) / 16, 0.0
+    for c in range(n):
+        below += comb(n, c) * p**c * (1 - p) ** (n - c)
+        if below > MISS:
+            return c
+    return n
+
+
+def _forest(sketches: np.ndarray, side: np.ndarray, cut: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of sketches with ``cut`` agreeing minima. Side 0 meets all, 1 and 2 only each other."""
+    left, queue = np.arange(len(sketches)), []
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left = left[1:]
+            continue
+        i = queue.pop()
+        near = HALVES[sketches[left] ^ sketches[i]].sum(axis=1, dtype=np.int64) >= cut
+        if side[i]:
+            near &= side[left] != side[i]
+        for j in left[near].tolist():
+            yield i, j
+            queue.append(j)
+        left = left[~near]
+
+
 def _similar(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
     """A spanning forest of the pairs of non-empty sets that are similar. Each set is held against those of fitting size
     that no link has reached yet, so a group of near copies costs about one comparison a member."""
@@ -124,23 +175,72 @@ def _links(sets: DataFrame, similarity: float, cap: int) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, cap: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _candidates(nodes: DataFrame, similarity: float, cell_cap: int) -> DataFrame:
+    """(a, b): pairs that share a cell and pass by their sketches, enough to connect all such pairs. ``nodes``: node, cells,
+    sketch.
+
+    Cells of the same nodes, as a group of few copies has many, are compared once: they are told by two 64-bit sums over their
+    nodes. A cell of more than ``cell_cap`` nodes is dealt to blocks and each pair of blocks is a task's work.
+    """
+    placed = materialise(nodes.select("node", F.explode("cells").alias("cell")), "near-cells")
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sum{i}") for i in range(2)]
+    full = placed.groupBy("cell").agg(F.count("*").alias("members"), *sums).where("members > 1")
+    shared = materialise(full.groupBy("members", "sum0", "sum1").agg(F.min("cell").alias("cell")).select("cell", "members"), "near-shared")
+    met = materialise(placed.join(shared, "cell"), "near-met")
+    # a table, so that the join has an exchange on either side
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = met.join(nodes.select("node", "sketch"), "node").withColumn("blocks", F.ceil(F.col("members") / cell_cap).cast("int")).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte")
+    rows = rows.select("cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "node", "sketch")
+    cut = cutoff(similarity)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            nodes = np.array([n for n, _, _ in held], np.int64)
+            sketches = np.frombuffer(b"".join(s for _, _, s in held), np.uint8).reshape(len(held), -1)
+            found = np.array(list(_forest(sketches, np.array([x for _, x, _ in held]), cut)), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])], ["a", "b"])
+
+        for b in batches:
+            for cell, p, q, *row in zip(*[b.column(c).to_pylist() for c in ("cell", "p", "q", "node", "side", "sketch")], strict=True):
+                if (cell, p, q) != now:
+                    if len(held) > 1:
+                        yield out()
+                    now, held = (cell, p, q), []
+                held.append(row)
+        if len(held) > 1:
+            yield out()
+
+    return rows.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, cap: int = 1 << 20, cell_cap: int = CELL_CAP, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_id, th, group): documents of one group are joined by links of ``similarity`` or more.
 
-    A node is a text with its A-Z lower-cased and its blanks made alike; it is compared once however many documents have
-    it. Null and blank texts are one node. ``th`` is the key of a text, see ``keyed``. Bands are laid out for a
-    ``similarity`` of 0.8 or more. An empty table gives an empty one.
+    A node is a text with its A-Z lower-cased and its blanks made alike, told by a digest of 128 bits; it is compared once
+    however many documents have it. Null and blank texts are one node. ``th`` is the key of a text, see ``keyed``, and ``group``
+    the digest of one of the group's texts. Bands are laid out for a ``similarity`` of 0.8 or more. An empty table gives an
+    empty one.
     """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, cells = [], []
+            digests, cells, sketches = [], [], []
             for t in b.column("text"):
                 words = _words(t.as_py())
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                cells.append(_cells(_shingles(words)).view(np.int64) if words else np.zeros(0, np.int64))
-            ids = [b.column(c) for c in ("doc_id", "dk", "th")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "dk", "th", "node", "cells"])
+                d = xxhash.xxh3_128_intdigest(b" ".join(words))
+                digests.append((d >> 64, d & _MASK))
+                low = _minima(_shingles(words))
+                cells.append(_cells(low).view(np.int64) if words else np.zeros(0, np.int64))
+                sketches.append(_sketch(low))
+            high, low = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64).T
+            cols = [*(b.column(c) for c in ("doc_id", "dk", "th")), pa.array(high), pa.array(low), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "dk", "th", "high", "low", "cells", "sketch"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,17 +248,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, cap: int =
             yield pa.RecordBatch.from_arrays([b.column("component"), b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["component", "node", "size", "shingles"])
 
     keys = keyed(docs, id_col, text_col)
-    marked = materialise(keys.mapInArrow(place, "doc_id long, dk long, th long, node long, cells array<long>"), "near-docs")
-    placed = marked.dropDuplicates(["node"]).select("node", F.explode("cells").alias("cell"))
-    placed = materialise(placed, "near-cells")
-    shared = placed.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    shared = materialise(shared.select("cell", "least"), "near-shared")
-    candidates = components(placed.join(shared, "cell").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    # copies are reduced to one row a node before their shuffle, then joined
-    firsts = marked.groupBy("node").agg(F.min(F.struct("dk", "th")).alias("x")).join(candidates, "node")
-    texts = keys.select("dk", "th", "text").join(firsts.select("node", "component", "x.dk", "x.th"), ["dk", "th"]).select("component", "node", "text")
+    marked = materialise(keys.mapInArrow(place, "doc_id long, dk long, th long, high long, low long, cells array<long>, sketch binary"), "near-docs")
+    # copies are reduced to one row a node before their shuffle
+    nodes = marked.groupBy("high", "low").agg(F.min(F.struct("dk", "th")).alias("x"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch"))
+    nodes = materialise(nodes.select("*", F.monotonically_increasing_id().alias("node")), "near-nodes")
+    candidates = components(_candidates(nodes.select("node", "cells", "sketch"), similarity, cell_cap))
+    firsts = nodes.select("node", "x.dk", "x.th").join(candidates, "node")
+    texts = keys.select("dk", "th", "text").join(firsts, ["dk", "th"]).select("component", "node", "text")
     sets = materialise(texts.mapInArrow(shingled, "component long, node long, size long, shingles binary"), "near-sets")
+    found = components(_links(sets, similarity, cap)).join(nodes.select("node", "high", "low"), "node")
+    named = nodes.select(F.col("node").alias("component"), F.struct("high", "low").alias("group"))
     # a table, so that the join has an exchange on either side and the copies of one node are split among tasks
-    found = materialise(components(_links(sets, similarity, cap)), "near-found")
-    joined = marked.select("doc_id", "th", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left")
-    return joined.select("doc_id", "th", F.coalesce("component", "own").alias("group"))
+    found = materialise(found.join(named, "component").select("high", "low", "group"), "near-found")
+    joined = marked.select("doc_id", "th", "high", "low").join(found, ["high", "low"], "left")
+    return joined.select("doc_id", "th", F.coalesce("group", F.struct("high", "low")).alias("group"))

@@ -54,14 +54,14 @@ def brute(rows):
     return {i: find(i) for i in range(len(rows))}, pairs
 
 
-@pytest.mark.parametrize("cap", [1 << 20, 300])
-def test_groups_are_those_of_all_similar_pairs(spark, cap):
+@pytest.mark.parametrize("cap, cell_cap", [(1 << 20, 2048), (300, 2)])
+def test_groups_are_those_of_all_similar_pairs(spark, cap, cell_cap):
     rows = rows_of()
     want, pairs = brute(rows)
     far = [(i, j) for i, j in pairs if (fingerprint(rows[i][1]) ^ fingerprint(rows[j][1])).bit_count() > 4]
     assert len(far) > 20  # beyond the distance of op2
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.group for r in neardup.near_duplicates(df, cap=cap).collect()}
+    got = {r.doc_id: r.group for r in neardup.near_duplicates(df, cap=cap, cell_cap=cell_cap).collect()}
     assert len(got) == len(rows)
     named = {}
     for i, g in got.items():
@@ -94,3 +94,22 @@ def test_forest_connects_what_is_similar():
     for i, j in links:
         top[find(i)] = find(j)
     assert all(find(i) == find(j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])))
+
+
+def test_sketches_pass_what_is_similar():
+    rng = np.random.default_rng(5)
+    cut, near, far = neardup.cutoff(0.8), 0, 0
+    for _ in range(300):
+        base = rng.integers(0, 2**64, 180, np.uint64)
+        other = np.concatenate([base[:160], rng.integers(0, 2**64, 20, np.uint64)])  # a similarity of 0.8
+        third = np.concatenate([base[:90], rng.integers(0, 2**64, 90, np.uint64)])  # one of a third
+        sketches = np.stack([np.frombuffer(neardup._sketch(neardup._minima(np.unique(s))), np.uint8) for s in (base, other, third)])
+        got = set(neardup._forest(sketches, np.zeros(3, int), cut))
+        near += (0, 1) in got
+        far += len(got) > 1
+    assert (near, far) == (300, 0)
+    # sides 1 and 2 meet only each other, side 0 everything
+    same = np.zeros((4, 120), np.uint8)
+    assert len(list(neardup._forest(same, np.array([1, 1, 1, 1]), cut))) == 0
+    assert len(list(neardup._forest(same, np.array([1, 2, 1, 2]), cut))) == 3
+    assert len(list(neardup._forest(same, np.array([0, 0, 0, 0]), cut))) == 3
