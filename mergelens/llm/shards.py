@@ -166,7 +166,7 @@ def kd_shards(df: DataFrame, dims: Sequence[str], n_shards: int | None = None, t
     )
     rows = materialise(rows, "shards-rows")
     groups = rows.groupBy("g", "text_crc32", "size").agg(F.count("*").alias("n"), *[F.min(x).alias(x) for x in coords])
-    groups = groups.select(F.xxhash64("g", "text_crc32", "size").alias("g"), (F.col("n") * F.col("size")).alias("w"), "n", *coords)
+    groups = groups.select(F.xxhash64("g", "text_crc32", "size").alias("g"), "text_crc32", "size", (F.col("n") * F.col("size")).alias("w"), "n", *coords)
     groups = materialise(groups, "shards-groups")
     total = groups.agg(F.sum("w"), F.sum("n"), *[f(x) for x in coords for f in (F.min, F.max)]).head()
     weight, count = total[0] or 0, total[1] or 0
@@ -188,12 +188,13 @@ def kd_shards(df: DataFrame, dims: Sequence[str], n_shards: int | None = None, t
         points, nodes = _split(points, nodes, extent, shard_bytes)
 
     homes = _small(spark, [(i, n.first) for i, n in enumerate(nodes)], "node int, shard int")
-    own = points.join(homes, "node").select("g", "shard")
+    key = ["g", "text_crc32", "size"]  # two texts rarely share the first, and hardly ever all three
+    own = points.join(homes, "node").select(*key, "shard")
     named = rows.withColumn("g", F.xxhash64("g", "text_crc32", "size")).join(_small(spark, list(parts.items()), "g long, m int"), "g", "left")
     hot = named.where("m is not null").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("m")).cast("int"))
     placed = _small(spark, [(h.g, h.piece, n.first) for n in nodes for h in n.heavy], "g long, piece int, shard int")
     cols = ["doc_id", "size", "text_crc32", "shard"]
-    both = hot.join(placed, ["g", "piece"]).select(cols).union(named.where("m is null").join(own, "g").select(cols))
+    both = hot.join(placed, ["g", "piece"]).select(cols).union(named.where("m is null").join(own, key).select(cols))
     return _slots(both, count, k)
 
 
