@@ -260,7 +260,7 @@ def planted(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("ws"))
-    n, g = F.size("ws"), F.floor(F.col("h") / 10)
+    n, g = F.nullif(F.size("ws"), F.lit(0)), F.floor(F.col("h") / 10)  # no remainder by zero words: it would be an error
     rows = rows.withColumn("n", n).withColumn("a", (g % F.col("n")).cast("int"))
     rows = rows.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (3 + g % 8)) + 1).cast("int"))
     rest: Column = F.col("n") - F.col("a")
