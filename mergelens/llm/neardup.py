@@ -242,17 +242,24 @@ def near_duplicates(
             cols = [*(b.column(c) for c in ("doc_id", "dk", "th")), pa.array(high), pa.array(low), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "dk", "th", "high", "low", "cells", "sketch"])
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_shingles(_words(t.as_py())) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("component"), b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["component", "node", "size", "shingles"])
-
     keys = keyed(docs, id_col, text_col)
     marked = materialise(keys.mapInArrow(place, "doc_id long, dk long, th long, high long, low long, cells array<long>, sketch binary"), "near-docs")
     # copies are reduced to one row a node before their shuffle
     nodes = marked.groupBy("high", "low").agg(F.min(F.struct("dk", "th")).alias("x"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes.select("*", F.monotonically_increasing_id().alias("node")), "near-nodes")
-    candidates = components(_candidates(nodes.select("node", "cells", "sketch"), similarity, cell_cap))
+    return settled(keys, marked, nodes, _candidates(nodes.select("node", "cells", "sketch"), similarity, cell_cap), similarity, cap)
+
+
+def settled(keys: DataFrame, marked: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, cap: int) -> DataFrame:
+    """(doc_id, th, group) of ``marked`` (doc_id, th, high, low): ``pairs`` of candidates (a, b: nodes) that hang together are
+    compared with their whole sets. ``nodes``: node, high, low, x (dk and th of one of its documents in ``keys``)."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_shingles(_words(t.as_py())) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("component"), b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["component", "node", "size", "shingles"])
+
+    candidates = components(pairs)
     firsts = nodes.select("node", "x.dk", "x.th").join(candidates, "node")
     texts = keys.select("dk", "th", "text").join(firsts, ["dk", "th"]).select("component", "node", "text")
     sets = materialise(texts.mapInArrow(shingled, "component long, node long, size long, shingles binary"), "near-sets")

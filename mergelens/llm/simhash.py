@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from mergelens.llm import neardup
+from mergelens.llm._rolling import mix
 from mergelens.llm._store import NO_ID, keyed, materialise
 from mergelens.llm.components import components
 
 BLOCK = 1 << 16  # shingles hashed at once
 EVEN = np.uint64(0x5555555555555555)
+#: Wide fingerprints: words of 64 bits, a hash for each.
+WORDS = 4
+_RNG = np.random.default_rng(42)
+ODD, SALT, FOLD = (_RNG.integers(0, 2**64, WORDS, np.uint64) | np.uint64(1) for _ in range(3))
+#: How probable it may be that two texts of just the similarity asked for share no cell.
+MISS = 1e-5
+#: More bits of their wide fingerprints may differ with this probability.
+BEYOND = 1e-6
+#: What a row of a grid costs, in comparisons.
+ROW = 300
+#: Rows of a cell that are held against all others at once, and cells that are broadcast.
+AT_ONCE, FEW = 256, 10_000
 
 
 def _fingerprint(text: str | None, n: int, seed: int) -> int:
@@ -183,6 +197,147 @@ def near_duplicates(docs: DataFrame, n: int = 4, seed: int = 42, distance: int =
     return marked.join(named, "fp").select("doc_id", "th", "fp", "component_id", "group")
 
 
+def wide(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint of ``WORDS`` words of a set of hashes: a bit is 1 if set in over half of them."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for k in range(0, len(shingles), 255):  # so many are counted in a byte
+        h = mix(shingles[k : k + 255, None] * ODD + SALT)
+        counts += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(shingles)).view(np.uint64)
+
+
+def differing(similarity: float) -> float:
+    """How probable it is that a bit of two sets of that Jaccard similarity differs: their angle. Of sizes that differ as well the
+    angle is less; small sets, whose counts are often even, have some more, hence the tenth."""
+    return 1.1 * acos(2 * similarity / (1 + similarity)) / pi
+
+
+def reach(similarity: float) -> int:
+    """How many bits of two wide fingerprints may differ: more do with a probability of ``BEYOND``."""
+    n, p, more = 64 * WORDS, differing(similarity), 1.0
+    for d in range(n):
+        more -= comb(n, d) * p**d * (1 - p) ** (n - d)
+        if more < BEYOND:
+            return d
+    return n
+
+
+def drawn_grids(n: int, similarity: float) -> np.ndarray:
+    """Masks of grids, each of some segments drawn at random: enough that two texts of ``similarity`` share a cell but for
+    a probability of ``MISS``. The more fingerprints (``n``) there are, the more segments a cell fixes, up to eight, for disk's
+    sake: a segment's counts are equal by chance in three cases of eight."""
+    p = differing(similarity)
+    same = (1 - p) ** 2 + p * p / 2
+    grids = lambda s: ceil(log(MISS) / log(1 - same**s))
+    s = min(range(2, 9), key=lambda s: grids(s) * (ROW + n * 0.375**s / 2))
+    rng, out = np.random.default_rng(7), np.zeros((grids(s), WORDS), np.uint64)
+    for mask in out:
+        for at in rng.choice(32 * WORDS, s, replace=False).tolist():
+            mask[at // 32] |= np.uint64(3 << (2 * (at % 32)))
+    return out
+
+
+def _close(fp: np.ndarray, side: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of wide fingerprints (a row each) that differ in ``most`` bits or fewer. Side 0 meets
+    all, 1 and 2 only each other."""
+    code, label = embed(fp), np.arange(len(fp))
+    for a in range(0, len(fp), AT_ONCE):
+        bound = np.zeros((min(AT_ONCE, len(fp) - a), len(fp) - a), np.uint16)
+        for w in range(fp.shape[1]):
+            bound += np.bitwise_count(code[a : a + AT_ONCE, w, None] ^ code[None, a:, w])
+        i, j = np.nonzero(bound <= most)  # the lower bound
+        i, j = i[j > i] + a, j[j > i] + a
+        near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= most
+        near &= (side[i] == 0) | (side[i] != side[j])
+        i, j = i[near], j[near]
+        rows, begins = np.unique(i, return_index=True)
+        for r, js in zip(rows.tolist(), np.split(j, begins[1:]), strict=False):
+            for other, k in zip(*np.unique(label[js], return_index=True), strict=True):
+                if other != label[r]:
+                    yield r, int(js[k])
+                    label[label == other] = label[r]
+
+
+def wide_links(nodes: DataFrame, similarity: float, cell_cap: int = 4096) -> DataFrame:
+    """(a, b): pairs of nodes whose wide fingerprints differ in ``reach`` bits or fewer and that share a cell, enough to connect
+    all such pairs. ``nodes``: node, fp (its words, one after the other).
+
+    As in ``links`` a fingerprint goes to its cell of each grid, and a cell of more than ``cell_cap`` nodes is dealt to blocks.
+    """
+    masks, most = drawn_grids(nodes.count(), similarity), reach(similarity)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = embed(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS))
+            for g, mask in enumerate(masks):
+                k = mix(((code & mask) * FOLD).sum(axis=1, dtype=np.uint64) + np.uint64((g + 1) * 0xC2B2AE3D27D4EB4F % 2**64))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column("node"), b.column("fp")], ["cell", "node", "fp"])
+
+    placed = nodes.select("node", "fp").mapInArrow(cells, "cell long, node long, fp binary")
+    hot = materialise(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_cap), "simhash-hot")
+    k = F.coalesce(F.ceil(F.col("n") / cell_cap), F.lit(1)).cast("int")
+    rows = placed.join(F.broadcast(hot) if hot.count() <= FEW else hot, "cell", "left").withColumn("k", k)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte")
+    rows = rows.select("cell", (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("block"), side.alias("side"), "node", "fp")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nodes, side = (np.concatenate(p) for p in zip(*[(n, s) for n, s, _ in held], strict=True))
+            if len(nodes) > 1:
+                fp = np.frombuffer(b"".join(f for _, _, f in held), np.uint64).reshape(-1, WORDS)
+                found = np.array(list(_close(fp, side, most)), np.int64).reshape(-1, 2)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])], ["a", "b"])
+
+        for b in batches:
+            cell, block, node, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "node", "side"))
+            fps = b.column("fp").to_pylist()
+            new = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1
+            for x, z in zip([0, *new.tolist()], [*new.tolist(), len(cell)], strict=True):
+                if x < z and (cell[x], block[x]) != now:
+                    if held:
+                        yield from out()
+                    now, held = (cell[x], block[x]), []
+                held.append((node[x:z], side[x:z], b"".join(fps[x:z])))
+        if held:
+            yield from out()
+
+    return rows.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(compare, "a long, b long")
+
+
+def similar_texts(
+    docs: DataFrame, similarity: float = neardup.SIMILARITY, cap: int = 1 << 20, cell_cap: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, th, group): documents of one group are joined by links of Jaccard ``similarity`` or more of their sets of word
+    5-shingles. Columns and rows are those of ``neardup.near_duplicates``.
+
+    Candidates are found by SimHash: wide fingerprints of the sets, segment counts, grids and the Manhattan bound, then
+    the Hamming distance. Whole sets decide. Texts of few shingles have coarser angles than ``differing`` takes, so a similar
+    pair of those may be missed more often.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, fps = [], []
+            for t in b.column("text"):
+                words = neardup._words(t.as_py())
+                d = xxhash.xxh3_128_intdigest(b" ".join(words))
+                digests.append((d >> 64, d & (2**64 - 1)))
+                fps.append(wide(neardup._shingles(words)).tobytes() if words else None)
+            high, low = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64).T
+            cols = [*(b.column(c) for c in ("doc_id", "dk", "th")), pa.array(high), pa.array(low), pa.array(fps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "dk", "th", "high", "low", "fp"])
+
+    keys = keyed(docs, id_col, text_col)
+    marked = materialise(keys.mapInArrow(place, "doc_id long, dk long, th long, high long, low long, fp binary"), "simhash-wide")
+    nodes = marked.groupBy("high", "low").agg(F.min(F.struct("dk", "th")).alias("x"), F.first("fp").alias("fp"))
+    nodes = materialise(nodes.select("*", F.monotonically_increasing_id().alias("node")), "simhash-nodes")
+    return neardup.settled(keys, marked, nodes, wide_links(nodes.where("fp is not null"), similarity, cell_cap), similarity, cap)
+
+
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one document of each group in ``found`` (see ``near_duplicates``) is left: the one of
     smallest id, and of smallest text hash among several texts of that id; a null id only where there is no other. Of

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from mergelens.llm import neardup
+from mergelens.llm import neardup, simhash
 from tests.llm.fixtures import prose, words
 from tests.llm.test_dedup import AZ, WORD, fingerprint
 
@@ -113,3 +113,57 @@ def test_sketches_pass_what_is_similar():
     assert len(list(neardup._forest(same, np.array([1, 1, 1, 1]), cut))) == 0
     assert len(list(neardup._forest(same, np.array([1, 2, 1, 2]), cut))) == 3
     assert len(list(neardup._forest(same, np.array([0, 0, 0, 0]), cut))) == 3
+
+
+@pytest.mark.parametrize("cap, cell_cap", [(1 << 20, 4096), (300, 2)])
+def test_groups_by_simhash_are_those_of_all_similar_pairs(spark, cap, cell_cap):
+    rows = rows_of(6)
+    want, pairs = brute(rows)
+    assert sum((fingerprint(rows[i][1]) ^ fingerprint(rows[j][1])).bit_count() > 4 for i, j in pairs) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.group for r in simhash.similar_texts(df, cap=cap, cell_cap=cell_cap).collect()}
+    named = {}
+    for i, g in got.items():
+        named[g] = min(i, named.get(g, i))
+    assert len(got) == len(rows) and {i: named[g] for i, g in got.items()} == want
+
+
+def test_stage_asks_simhash(spark, monkeypatch):
+    calls, real = [], simhash.wide_links
+    monkeypatch.setattr(simhash, "wide_links", lambda *a: (calls.append(a), real(*a))[1])
+    corpus_pipeline.near_dedup(spark, spark.createDataFrame([(1, "a b", "s"), (2, "a b", "s")], SCHEMA), "")
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("size", [46, 90, 400])
+def test_wide_fingerprints_of_similar_sets(size):
+    """Bits that differ, cells shared: within what is reckoned with, whether one set holds the other or both have some of their own."""
+    rng, most = np.random.default_rng(size), simhash.reach(0.8)
+    masks = simhash.drawn_grids(100_000, 0.8)
+    apart, missed = [], 0
+    for k in range(400):
+        base = rng.integers(0, 2**64, size, np.uint64)
+        a, b = (base, base[: -(-size * 4 // 5)]) if k % 2 else (base[: size - size // 10], base[size // 10 :])
+        x, y = simhash.wide(np.unique(a)), simhash.wide(np.unique(b))
+        apart.append(int(np.bitwise_count(x ^ y).sum()))
+        missed += not ((simhash.embed(x) & masks) == (simhash.embed(y) & masks)).all(axis=1).any()
+    assert missed == 0 and max(apart) <= most
+    assert np.mean(apart) <= 256 * simhash.differing(0.8)
+
+
+def test_forest_of_wide_fingerprints(monkeypatch):
+    monkeypatch.setattr(simhash, "AT_ONCE", 7)
+    rng = np.random.default_rng(1)
+    fp = np.repeat(rng.integers(0, 2**64, (9, simhash.WORDS), np.uint64), 4, axis=0)
+    fp[:, 0] ^= rng.integers(0, 8, len(fp)).astype(np.uint64)
+    for side in (np.zeros(36, int), rng.integers(1, 3, 36)):
+        near = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).sum() <= 2 and (side[i] == 0 or side[i] != side[j])  # noqa: B023, E731
+        tops = []
+        for links in (list(simhash._close(fp, side, 2)), [(i, j) for i in range(36) for j in range(i) if near(i, j)]):
+            assert all(near(i, j) for i, j in links)
+            top = list(range(36))
+            for i, j in links:
+                p, q = top[i], top[j]
+                top = [min(p, q) if t in (p, q) else t for t in top]
+            tops.append(top)
+        assert tops[0] == tops[1]
