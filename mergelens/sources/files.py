@@ -1,4 +1,4 @@
-"""Source trees: walking, hashing, and the grouped function that turns Go directories into index rows."""
+"""Source trees: walking, hashing, and what turns Go files into index rows."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergelens.functions.lineage import cut
 from mergelens.functions.paths import dir_of
 
 SKIPPED_DIRS = (".git", ".codegraph", "node_modules", "vendor", "dist", "build")
@@ -62,21 +64,66 @@ def source_files(files: DataFrame, repo_path: str) -> DataFrame:
 
 def index_rows(files: DataFrame) -> DataFrame:
     """Symbols, imports, references and unparsable files of source files, one row each (``INDEX``): record is ``file``,
-    ``symbol``, ``import``, ``ref`` or ``skipped``. A directory is the work of one call, since references never leave it."""
-    from mergelens.sources.goparse import index_directory
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        repo, folder = key
-        texts = [(p, bytes(c).decode("utf-8", "replace")) for p, c in zip(pdf.path, pdf.content, strict=True)]
-        parsed, refs, skipped = index_directory(texts)
-        rows: list[tuple] = [(repo, folder, "skipped", p, None, None, None, None, None) for p in skipped]
-        for f in parsed:
-            rows.append((repo, folder, "file", f.path, None, None, None, None, None))
-            rows += [(repo, folder, "symbol", f.path, n, k, line, None, None) for n, k, line in f.symbols]
-            rows += [(repo, folder, "import", f.path, i, None, None, None, None) for i in f.imports]
-            rows += [(repo, folder, "ref", f.path, src, kind, None, dst_file, dst) for src, dst_file, dst, kind in refs[f.path]]
-        out = pd.DataFrame(rows, columns=["repo_path", "dir", "record", "file", "name", "kind", "line", "dst_file", "dst_name"])
-        return out.astype({"line": "Int32"})
-
-    keyed = files.withColumn("dir", dir_of(F.col("path"))).select("repo_path", "dir", "path", "content")
-    return keyed.groupBy("repo_path", "dir").applyInPandas(run, INDEX)
+    ``symbol``, ``import``, ``ref`` or ``skipped``. A file is parsed on its own and what it gives is written as a table; what it
+    mentions is then joined with the symbols of its directory's package, so no task holds a directory."""
+    # by number, so that few bytes that take long to parse aren't one task
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("repo_path", dir_of(F.col("path")).alias("dir"), "path", "content").repartition(parts, "repo_path", "path")
+    parsed = cut(dealt.mapInArrow(_parsed, PARSED), "index-parsed")
+    own = parsed.where("record <> 'mention'").select(*[c.split()[0] for c in INDEX.split(", ")])
+    return own.unionByName(_references(parsed).select("*", F.lit("ref").alias("record"), F.lit(None).cast("int").alias("line")))
+
+
+#: Rows of ``INDEX`` and the mentions of ``goparse.mentions``: name, kind (call, ref or sel), target, member, called.
+PARSED = INDEX + ", package string, nth int, member string, called boolean"
+#: Rows that are handed on at once.
+ROWS = 20_000
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from mergelens.sources.goparse import GoSyntaxError, mentions, parse
+
+    names = [c.split()[0] for c in PARSED.split(", ")]
+    kinds = [{"int": pa.int32(), "boolean": pa.bool_()}.get(c.split()[1], pa.string()) for c in PARSED.split(", ")]
+    rows: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        rows.clear()
+        return got
+
+    for b in batches:
+        for repo, folder, path, content in zip(*[b.column(c) for c in ("repo_path", "dir", "path", "content")], strict=True):
+            repo, folder, path = repo.as_py(), folder.as_py(), path.as_py()
+            row = lambda record, name=None, kind=None, line=None, target=None, *more: (repo, folder, record, path, name, kind, line, None, target, *more, *(None,) * (4 - len(more)))  # noqa: B023, E731
+            try:
+                f = parse(path, content.as_py().decode("utf-8", "replace"))
+            except (GoSyntaxError, RecursionError):
+                rows.append(row("skipped"))
+                continue
+            rows.append(row("file"))
+            rows += [row("symbol", n, k, line, None, f.package, i) for i, (n, k, line) in enumerate(f.symbols)]
+            rows += [row("import", i) for i in f.imports]
+            rows += [row("mention", owner, what, None, name, f.package, None, member, called) for owner, what, name, member, called in mentions(f)]
+            if len(rows) >= ROWS:
+                yield out()
+    if rows:
+        yield out()
+
+
+def _references(parsed: DataFrame) -> DataFrame:
+    """``goparse.resolve`` of all files: mentions joined with the names that their packages declare; of several declarations the
+    least file is the target and the last one gives the kind."""
+    key = ["repo_path", "dir", "package"]
+    declared = parsed.where("record = 'symbol'").groupBy(*key, F.col("name").alias("found")).agg(F.min("file").alias("at"), F.max_by("kind", F.struct("file", "nth")).alias("is"))
+    said = parsed.where("record = 'mention'").select(*key, "file", "name", F.col("kind").alias("what"), F.col("dst_name").alias("found"), "member", "called")
+    plain = said.join(declared, [*key, "found"])
+    owned = declared.where(F.instr("found", ".") > 0).select(*key, F.col("found").alias("method"), F.col("at").alias("method_at"))
+    method = F.when(F.col("what") == "sel", F.concat("found", F.lit("."), "member"))
+    both = plain.withColumn("method", method).join(owned, [*key, "method"], "left")
+    has = F.col("method_at").isNotNull()
+    kind = F.when(has, F.col("called")).otherwise((F.col("what") == "call") & (F.col("is") == "func"))
+    edges = both.select(
+        "repo_path", "dir", "file", "name", F.when(kind, "call").otherwise("use").alias("kind"), F.coalesce("method_at", "at").alias("dst_file"), F.when(has, F.col("method")).otherwise(F.col("found")).alias("dst_name")
+    )
+    return edges.where("not (dst_file = file and dst_name = name)").distinct()

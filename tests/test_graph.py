@@ -134,6 +134,26 @@ def test_references(body, expected):
     assert [(s, d, k) for s, _, d, k in refs["z.go"]] == expected
 
 
+def test_index_rows_are_those_of_whole_directories(spark, monkeypatch):
+    """The same rows as from whole directories, files being parsed apart; nothing is grouped by directory in Python."""
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandas", lambda *a, **k: pytest.fail("a directory is one group"))
+    again = "package yard\n\nconst Crate = 1\n\nfunc rails() {}\n\nvar lid = rails\n"  # declares two names again
+    other = "package depot\n\ntype heaviest struct{}\n\nfunc (Crate) Light() { fill(); Lid.flip(nil); ledger.x() }\n"
+    trees = {"a": {"crates.go": CRATES, "loads.go": LOADS, "torn.go": TORN}, "b": {"crates.go": CRATES, "yard.go": YARD, "zz.go": again, "d.go": other}, "c": {"loads.go": LOADS}}
+    want = []
+    for d, tree in trees.items():
+        parsed, refs, skipped = index_directory([(f"{d}/{p}", t) for p, t in tree.items()])
+        want += [(d, "skipped", p, None, None, None, None, None) for p in skipped]
+        for f in parsed:
+            want += [(d, "file", f.path, *[None] * 5), *[(d, "symbol", f.path, n, k, line, None, None) for n, k, line in f.symbols], *[(d, "import", f.path, i, *[None] * 4) for i in f.imports]]
+            want += [(d, "ref", f.path, src, kind, None, at, dst) for src, at, dst, kind in refs[f.path]]
+    rows = [("r", f"{d}/{p}", t.encode()) for d, tree in trees.items() for p, t in tree.items()]
+    got = fsrc.index_rows(spark.createDataFrame(rows, "repo_path string, path string, content binary").repartition(5))
+    key = lambda r: [str(x) for x in r]
+    assert sorted((tuple(r[1:]) for r in got.select("repo_path", "dir", "record", "file", "name", "kind", "line", "dst_file", "dst_name").collect()), key=key) == sorted(want, key=key)
+    assert sum(r[1] == "ref" for r in want) >= 30
+
+
 def test_syntax_errors():
     for bad in ("", "package", "package p\nfunc (", "package p\nvar x = ", "package p\nx := 1", "package p\nfunc f() { if { }", 'package p\nvar s = "open'):
         with pytest.raises(GoSyntaxError):
