@@ -14,13 +14,14 @@ from re import _constants as op
 from re import _parser
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 
 from mergelens.functions.paths import glob_regex
 
 #: A literal of fewer letters is found in too many lines to be of use.
 SHORT = 2
-#: Paths whose rules a task remembers.
+#: Paths whose rules, and texts whose literals, a task remembers.
 HELD = 1 << 16
 
 
@@ -69,6 +70,7 @@ class Scopes:
         self.everywhere = frozenset(k for k, gs in enumerate(globs) if not gs)
         self.nodes: list[dict] = []
         self.sets: dict[frozenset[int], frozenset[int]] = {}
+        self.folders: dict[str, set[int]] = {}
         self.odd: list[tuple[re.Pattern, int]] = []  # ``**`` within a name: the whole pattern
         self.all = [(re.compile(glob_regex(g)), k) for k, gs in enumerate(globs) for g in gs]
         self.root = self._node()
@@ -109,23 +111,37 @@ class Scopes:
         node["wild"]["**"] = self._node(True)
         return node["wild"]["**"]
 
+    def _below_folder(self, folder: str) -> set[int]:
+        """The states below a folder (its path with the last slash), remembered: many files have one folder."""
+        got = self.folders.get(folder)
+        if got is None:
+            if len(self.folders) >= HELD:
+                self.folders.clear()
+            got = self._enter({self.root})
+            for part in folder.split("/")[:-1]:
+                got = self._step(got, part)
+            self.folders[folder] = got
+        return got
+
+    def _step(self, states: set[int], part: str) -> set[int]:
+        after = set()
+        for s in states:
+            node = self.nodes[s]
+            if node["loop"]:
+                after.add(s)
+            if part in node["names"]:
+                after.add(node["names"][part])
+            for rx, to in node["wild"].items():
+                if rx == "**" or _pattern(rx).search(part):
+                    after.add(to)
+        return self._enter(after)
+
     def of(self, path: str) -> frozenset[int]:
         """The rules with a scope that holds ``path``; those without one are not among them."""
         if "\n" in path:  # which ends no segment, but a pattern's any-character
             return frozenset(k for rx, k in self.all if rx.search(path))
-        states = self._enter({self.root})
-        for part in path.split("/"):
-            after = set()
-            for s in states:
-                node = self.nodes[s]
-                if node["loop"]:
-                    after.add(s)
-                if part in node["names"]:
-                    after.add(node["names"][part])
-                for rx, to in node["wild"].items():
-                    if rx == "**" or _fits(rx, part):
-                        after.add(to)
-            states = self._enter(after)
+        cut = path.rfind("/") + 1
+        states = self._step(self._below_folder(path[:cut]), path[cut:])
         ends = frozenset(s for s in states if self.nodes[s]["rules"])
         out = self.sets.get(ends)
         if out is None:  # many paths end alike, so their rules are one set
@@ -144,8 +160,8 @@ class Scopes:
 
 
 @lru_cache(maxsize=1 << 16)
-def _fits(regex: str, part: str) -> bool:
-    return re.search(regex, part) is not None
+def _pattern(regex: str) -> re.Pattern:
+    return re.compile(regex)
 
 
 class Finder:
@@ -165,6 +181,17 @@ class Finder:
             self.automaton.make_automaton()
         self.empty = not holders
         self.held: dict[str, frozenset[int]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def holders(self, text: str) -> tuple[int, ...]:
+        """The rules of which the text has a literal, in order; a text that comes again is not searched again."""
+        got = self.seen.get(text)
+        if got is None:
+            if len(self.seen) >= HELD:
+                self.seen.clear()
+            low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            got = self.seen[text] = tuple(sorted({k for _, ks in self.automaton.iter(low) for k in ks}))
+        return got
 
     def scope(self, path: str) -> frozenset[int]:
         got = self.held.get(path)
@@ -177,11 +204,8 @@ class Finder:
     def candidates(self, path: str, text: str) -> list[int]:
         """Rules that hold the path and may match the text, in order."""
         here, everywhere = self.scope(path), self.scopes.everywhere
-        found = {k for k in self.always if k in here or k in everywhere} if self.always else set()
-        if not self.empty:
-            for _, ks in self.automaton.iter(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")):
-                found.update(k for k in ks if k in here or k in everywhere)
-        return sorted(found)
+        found = [] if self.empty else [k for k in self.holders(text) if k in here or k in everywhere]
+        return sorted({*found, *(k for k in self.always if k in here or k in everywhere)}) if self.always else found
 
 
 _FINDERS: dict[str, Finder] = {}
@@ -206,7 +230,10 @@ def candidate_rows(key: str, rules: Sequence[tuple[Sequence[str], frozenset[str]
                     got = find.candidates(path, text)
                     ks += got
                     rows += [i] * len(got)
-            taken = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ks, pa.int32())], [*b.schema.names, "k"])
+            # rows of one rule stand together: the engine compiles a pattern again only where it changes
+            ks = np.array(ks, np.int32)
+            order = np.argsort(ks, kind="stable")
+            taken = b.take(pa.array(np.array(rows, np.int64)[order]))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ks[order])], [*b.schema.names, "k"])
 
     return run

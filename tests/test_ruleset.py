@@ -3,10 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from mergelens.functions.paths import glob_regex
-from mergelens.operators import rules
+from mergelens.operators import rules, ruleset
 from mergelens.operators.ruleset import Scopes, literals
 from mergelens.plans import queries
 
@@ -76,3 +77,16 @@ def test_many_rules_find_what_each_finds(spark, n, blank):
 def test_catalogue_reads_lines_once(spark):
     plan = queries.rule_catalogue(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_what_comes_again_is_not_worked_out_again(monkeypatch):
+    """Texts are searched once, folders walked once however many files they have, and rows of a rule stand together."""
+    find = ruleset.Finder([(["a/b/*.txt"], frozenset(["some"])), (["**/c/**"], frozenset(["thing"])), ([], None)])
+    steps, real = [], ruleset.Scopes._step
+    monkeypatch.setattr(ruleset.Scopes, "_step", lambda self, states, part: (steps.append(part), real(self, states, part))[1])
+    got = [find.candidates(f"a/b/{k}.txt", "something") for k in range(50)] + [find.candidates(f"a/c/{k}", "something") for k in range(50)]
+    assert got == [[0, 2]] * 50 + [[1, 2]] * 50
+    assert len(steps) == 100 + 4 and len(find.seen) == 1
+    batch = pa.RecordBatch.from_pydict({"path": ["a/b/x.txt", "c/y"] * 3, "text": ["something"] * 6})
+    out = next(ruleset.candidate_rows("again", [(["a/b/*.txt"], frozenset(["some"])), (["**/c/**"], frozenset(["thing"])), ([], None)])(iter([batch])))
+    assert out.column("k").to_pylist() == [0] * 3 + [1] * 3 + [2] * 6 and out.column("path").to_pylist()[:6] == ["a/b/x.txt"] * 3 + ["c/y"] * 3
