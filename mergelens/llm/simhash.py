@@ -258,9 +258,27 @@ def _close(fp: np.ndarray, side: np.ndarray, most: int) -> Iterator[tuple[int, i
                     label[label == other] = label[r]
 
 
+def _stars(nodes: np.ndarray, found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The links ``found`` (places in ``nodes``) as stars: each node that they join and the least one of those it is joined
+    with. Cells that share a group mostly share its least nodes, so their stars have more links in common than forests."""
+    top: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (p := top.get(v, v)) != v:
+            top[v] = v = top.get(p, p)
+        return v
+
+    for i, j in found:
+        p, q = find(int(nodes[i])), find(int(nodes[j]))
+        top[max(p, q)] = min(p, q)
+    joined = np.array([(v, find(v)) for v in top], np.int64).reshape(-1, 2)
+    joined = joined[joined[:, 0] != joined[:, 1]]
+    return joined[:, 0], joined[:, 1]
+
+
 def wide_links(nodes: DataFrame, similarity: float, cell_cap: int = 4096) -> DataFrame:
-    """(a, b): pairs of nodes whose wide fingerprints differ in ``reach`` bits or fewer and that share a cell, enough to connect
-    all such pairs. ``nodes``: node, fp (its words, one after the other).
+    """(a, b): stars that connect the nodes whose wide fingerprints differ in ``reach`` bits or fewer and that share a cell, those
+    and no others. ``nodes``: node, fp (its words, one after the other).
 
     As in ``links`` a fingerprint goes to its cell of each grid, and a cell of more than ``cell_cap`` nodes is dealt to blocks.
     """
@@ -288,9 +306,9 @@ def wide_links(nodes: DataFrame, similarity: float, cell_cap: int = 4096) -> Dat
             nodes, side = (np.concatenate(p) for p in zip(*[(n, s) for n, s, _ in held], strict=True))
             if len(nodes) > 1:
                 fp = np.frombuffer(b"".join(f for _, _, f in held), np.uint64).reshape(-1, WORDS)
-                found = np.array(list(_close(fp, side, most)), np.int64).reshape(-1, 2)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])], ["a", "b"])
+                a, b = _stars(nodes, list(_close(fp, side, most)))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for b in batches:
             cell, block, node, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "node", "side"))

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from mergelens.llm import _repeats, simhash, substring, suffix
+from mergelens.llm import components as connected
 from mergelens.llm.components import components
 from tests.llm.fixtures import SCHEMA, corpus, prose
 
@@ -233,3 +234,15 @@ def test_word_pieces():
     assert all(p == ws[base : base + len(p)] for base, p in pieces)
     starts = [base + j for base, p in pieces for j in range(len(p) - 7)]
     assert starts == list(range(len(ws) - 7))
+
+
+def test_components_of_a_group_linked_many_times_over(spark, monkeypatch):
+    """One group as 60 cells of a sixth of its nodes give it: of the edges of all stars few more than one a node go on to the rounds."""
+    rng, n = random.Random(3), 300
+    cells = [sorted(rng.sample(range(n), n // 6)) for _ in range(60)]
+    edges = [(c[0], x) for c in cells for x in c[1:]]
+    written, real = {}, connected.materialise
+    monkeypatch.setattr(connected, "materialise", lambda df, label: written.setdefault(label, real(df, label)))
+    got = {r.node: r.component for r in connected.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(sorted({x for e in edges for x in e}), 0)
+    assert len(set(edges)) > 5 * n and written["cc-0"].count() < 1.2 * n

@@ -167,3 +167,10 @@ def test_forest_of_wide_fingerprints(monkeypatch):
                 top = [min(p, q) if t in (p, q) else t for t in top]
             tops.append(top)
         assert tops[0] == tops[1]
+
+
+def test_stars_join_what_links_join():
+    nodes = np.array([50, 7, 30, 9, 8, 60])
+    a, b = simhash._stars(nodes, [(0, 2), (2, 3), (1, 4)])
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {50: 9, 30: 9, 8: 7}
+    assert len(simhash._stars(nodes, [])[0]) == 0
