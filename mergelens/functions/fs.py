@@ -27,6 +27,12 @@ def names(spark: SparkSession, folder: str) -> dict[str, int]:
     return {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(p)}
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    p, fs = _at(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     p, fs = _at(spark, path)
     stream = fs.open(p)

@@ -1,6 +1,6 @@
 """The index of repositories: generations of rows under a commit log, laid out for lookups.
 
-Edges are kept twice, sorted by their source and by their target, and once more as links between files, both ways; each
+Edges are kept twice, sorted by their source and by their target, which are also the links between files, both ways; each
 table is sorted by what it is asked for and has bloom filters, so a lookup reads the row groups that hold its rows. A
 generation is a folder of its own: those without a directory left are not read and may be deleted. ``compact`` writes what is left
 of many generations as one.
@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,9 @@ from pyspark.sql import functions as F
 from mergelens.functions import fs
 from mergelens.operators import graph
 from mergelens.operators.sync import digests
-from mergelens.plans.commits import EVERY, CommitLog
+from mergelens.plans.commits import EVERY, FEW, CommitLog
 from mergelens.schemas import INDEX_FILES, INDEX_IMPORTS, INDEX_REFS, INDEX_SYMBOLS
 
-LINKS = "repo_path string, a string, b string"
 DIGESTS = "repo_path string, own string"
 #: Columns, sort order, columns with bloom filters.
 TABLES = {
@@ -30,27 +30,36 @@ TABLES = {
     "index_imports": (INDEX_IMPORTS, ["repo_path", "file_path"], ["file_path"]),
     "index_refs": (INDEX_REFS, ["repo_path", "src_file", "src_name"], ["src_file"]),
     "index_refs_into": (INDEX_REFS, ["repo_path", "dst_file", "dst_name"], ["dst_file"]),
-    "index_links": (LINKS, ["repo_path", "a", "b"], ["a"]),
     "index_digests": (DIGESTS, ["repo_path", "dir"], []),
 }
+#: Tables that an earlier version of this engine kept as well.
+FORMER = ["index_links"]
+#: Bytes of a generation's table from which on it isn't sorted again.
+LARGE = 16 << 20
 #: Generations that are read side by side before they are written as one.
 MOST = 64
 
 
+def _each(f: Callable[[str], None], names: Iterable[str]) -> None:
+    """``f`` of all tables side by side: the last tasks of one leave cores to the next."""
+    with ThreadPoolExecutor(len(TABLES)) as pool:
+        list(pool.map(f, names))
+
+
 class Index:
     def __init__(self, spark: SparkSession, root: str, most: int = MOST, every: int = EVERY, options: dict[str, str] | None = None):
         self.spark, self.root, self.most, self.options = spark, root.rstrip("/"), most, options or {}
         self.log = CommitLog(spark, f"{self.root}/index_log", every)
-        self._known: tuple[int, DataFrame, dict[str, bool]] = (-1, None, {})
+        self._known: tuple[int, DataFrame, dict[str, bool], bool] = (-1, None, {}, True)
 
     def _current(self) -> tuple[DataFrame, dict[str, bool]]:
         """The state, and of each generation that it names whether all its directories are still current. Generations are
         few: ``compact`` sees to it."""
         if self._known[0] != self.log.version():
             version, state = self.log.state()
-            gens = state.groupBy("gen").agg((F.count("*") == F.first("total")).alias("whole")).collect()
-            self._known = (version, state, {r.gen: r.whole for r in gens})
-        return self._known[1:]
+            gens = state.groupBy("gen").agg((F.count("*") == F.first("total")).alias("whole"), F.count("*").alias("n")).collect()
+            self._known = (version, state, {r.gen: r.whole for r in gens}, sum(r.n for r in gens if not r.whole) <= FEW)
+        return self._known[1:3]
 
     def _read(self, table: str, gens: Iterable[str]) -> DataFrame:
         schema = TABLES[table][0] + ", dir string, gen string"
@@ -59,21 +68,30 @@ class Index:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths)
 
-    def read(self, table: str, repo: str | None = None) -> DataFrame:
-        """Current rows of a table. Generations that are whole are read as they are; only those of which some directory was
-        replaced since are joined with the state."""
+    def read(self, table: str, repo: str | None = None, of: Iterable[str] | None = None) -> DataFrame:
+        """Current rows of a table, or of some of its generations. Generations that are whole are read as they are; only those
+        of which some directory was replaced since are joined with the state, whose directories are broadcast if they are few,
+        so that the rows stay where they are and as they are sorted."""
         state, gens = self._current()
+        if of is not None:
+            gens = {g: gens[g] for g in of if g in gens}
         pick = (lambda df: df) if repo is None else (lambda df: df.where(F.col("repo_path") == repo))
         out = pick(self._read(table, [g for g, whole in gens.items() if whole]))
         torn = [g for g, whole in gens.items() if not whole]
         if torn:
             left = pick(state).where(F.col("gen").isin(torn)).select("repo_path", "dir", "gen")
+            left = F.broadcast(left) if self._known[3] else left
             out = out.unionByName(pick(self._read(table, torn)).join(left, ["repo_path", "dir", "gen"], "left_semi"))
         return out.drop("gen")
 
-    def _write(self, table: str, df: DataFrame, gen: str) -> None:
+    def _write(self, table: str, df: DataFrame, gen: str, one: bool = True, ordered: bool = False) -> None:
+        """Adds rows to a generation, sorted, or in the order that they come in (``ordered``). ``one``: they are of one
+        repository, which is then left out of the order: what all rows share tells a sort nothing, but makes it compare them whole."""
         schema, order, blooms = TABLES[table]
-        writer = df.select(*[c.split()[0] for c in schema.split(", ")], "dir").repartitionByRange(*order).sortWithinPartitions(*order).write
+        rows = df.select(*[c.split()[0] for c in schema.split(", ")], "dir")
+        if not ordered:
+            rows = rows.repartitionByRange(*order[one:]).sortWithinPartitions(*order[one:])
+        writer = rows.write.mode("append")
         for c in blooms:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.options(**{"parquet.bloom.filter.adaptive.enabled": "true"} | self.options).parquet(f"{self.root}/{table}/gen={gen}")
@@ -83,8 +101,8 @@ class Index:
         imports with ``dir``. All of it becomes visible with one commit. Returns the version."""
         gen, refs = uuid.uuid4().hex, tables["index_refs"]
         own = digests(tables["index_files"]).withColumn("repo_path", F.lit(repo))
-        for name, df in {**tables, "index_refs_into": refs, "index_links": links(refs), "index_digests": own}.items():
-            self._write(name, df, gen)
+        rows = {**tables, "index_refs_into": refs, "index_digests": own}
+        _each(lambda name: self._write(name, rows[name], gen), rows)
         there = {r.dir for r in self._read("index_files", [gen]).select("dir").distinct().collect()}  # a row a changed directory
         version = self.log.commit(gen, [(repo, d, d in there) for d in sorted(set(dirs))])
         if len(self._current()[1]) > self.most:
@@ -95,13 +113,23 @@ class Index:
         return self.log.commit("", [(repo, f, False) for f in folders])
 
     def compact(self) -> int:
-        """Writes the current rows of all generations as one. Returns the version."""
+        """Writes the current rows of all generations as one. Those of a large generation, which are sorted, are copied as they
+        lie, without a shuffle, unless so many directories are left that they aren't broadcast; all others are sorted together.
+        Returns the version."""
         state, gens = self._current()
         if not gens:
             return self.log.version()
-        gen = uuid.uuid4().hex
-        for name in TABLES:
-            self._write(name, self.read(name), gen)
+        gen, one = uuid.uuid4().hex, len(state.select("repo_path").distinct().limit(2).collect()) < 2
+
+        def write(name: str) -> None:
+            large = [g for g in gens if (gens[g] or self._known[3]) and fs.size(self.spark, f"{self.root}/{name}/gen={g}") >= LARGE]
+            small = [g for g in gens if g not in large]
+            if small:
+                self._write(name, self.read(name, of=small), gen, one)
+            if large:
+                self._write(name, self.read(name, of=large), gen, ordered=True)
+
+        _each(write, TABLES)
         return self.log.replace(state, gen)
 
     def vacuum(self, older_s: float = 86_400) -> list[str]:
@@ -110,7 +138,7 @@ class Index:
         before = int((time.time() - older_s) * 1000)
         _, gens = self._current()
         dead = set()
-        for table in TABLES:
+        for table in [*TABLES, *FORMER]:
             for name, at in fs.names(self.spark, f"{self.root}/{table}").items():
                 if name.startswith("gen=") and name[4:] not in gens and at < before:
                     fs.delete(self.spark, f"{self.root}/{table}/{name}")
@@ -139,11 +167,10 @@ class Index:
         return graph.imports_of(self.read("index_imports", repo), file)
 
     def impact_set(self, repo: str, changed: Iterable[str], depth: int = graph.DEPTH) -> DataFrame:
-        """``graph.impact`` over the links that are kept with the index."""
-        return graph.impact(self.read("index_links", repo).select("a", "b"), graph.seeds(self.spark, changed), depth).orderBy("distance", "path")
-
+        """``graph.impact`` over the edges that are kept with the index: by source and by target they are its links."""
+        return graph.impact(self.links(repo), graph.seeds(self.spark, changed), depth).orderBy("distance", "path")
 
-def links(refs: DataFrame) -> DataFrame:
-    """repo_path, dir, a, b: the files that the edges of a directory join, both ways, each once."""
-    ends = F.array(F.struct(F.col("src_file").alias("a"), F.col("dst_file").alias("b")), F.struct(F.col("dst_file").alias("a"), F.col("src_file").alias("b")))
-    return refs.where("src_file <> dst_file").select("repo_path", "dir", F.explode(ends).alias("e")).select("repo_path", "dir", "e.*").distinct()
+    def links(self, repo: str) -> DataFrame:
+        """a, b: files that an edge joins, both ways, as often as edges do."""
+        out, into = (self.read(t, repo).where("src_file <> dst_file") for t in ("index_refs", "index_refs_into"))
+        return out.select(F.col("src_file").alias("a"), F.col("dst_file").alias("b")).union(into.select("dst_file", "src_file"))

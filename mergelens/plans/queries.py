@@ -513,18 +513,20 @@ def _stored_index(spark: SparkSession, d: str) -> Store:
     store = Store(spark, f"{shared_dir(spark)}/mergelens/index-query-{uuid.uuid4().hex}")
     o, li, c, s = (_table(spark, d, t) for t in ("orders", "lineitem", "customer", "supplier"))
     own = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
-    bought = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    bought = li.join(o, li.l_orderkey == o.o_orderkey).select("o_custkey", "o_orderpriority", "l_suppkey", "l_returnflag")
+    bought = bought.repartition("o_custkey").distinct().join(c, F.col("o_custkey") == F.col("c_custkey"))  # a file's edges side by side
     file = F.concat(own, F.lit("/c"), F.col("c_custkey").cast("string"))
     goods = F.concat(F.lit("s/s"), F.col("s_suppkey").cast("string"))
     repo = F.lit("r").alias("repo_path")
     edges = bought.select(
         repo, own.alias("dir"), file.alias("src_file"), F.col("o_orderpriority").alias("src_name"), F.concat(F.lit("s/s"), F.col("l_suppkey").cast("string")).alias("dst_file"),
         F.col("l_returnflag").alias("dst_name"), F.lit("call").alias("kind"), "c_nationkey",
-    ).distinct()
+    )
     edges = cut(edges, "query-edges")
     files = c.select(repo, own.alias("dir"), file.alias("path"), "c_nationkey").union(s.select(repo, F.lit("s").alias("dir"), goods.alias("path"), F.lit(None)))
     flags = F.array(*[F.lit(r.dst_name) for r in edges.select("dst_name").distinct().collect()])  # R, A and N
     symbols = edges.select(repo, "dir", F.col("src_file").alias("file_path"), F.col("src_name").alias("name"), "c_nationkey").distinct()
+    symbols = cut(symbols, "query-symbols")
     sold = s.select(repo, F.lit("s").alias("dir"), goods.alias("file_path"), F.explode(flags).alias("name"), F.lit(None).alias("c_nationkey"))
 
     def put(where: str, names: list[str]) -> None:
@@ -555,7 +557,8 @@ def index_store(spark, d):
     """Edges of a stored index after replacements and deletions, read from its generations once they have been compacted."""
     store = _stored_index(spark, d)
     store.index.compact()
-    return store.index.read("index_refs", "r").groupBy("src_file").agg(F.count("*").alias("n"), F.count_distinct("dst_file").alias("files"))
+    pairs = store.index.read("index_refs", "r").groupBy("src_file", "dst_file").agg(F.count("*").alias("n"))
+    return pairs.groupBy("src_file").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
 
 
 @query(f"""WITH {STORED_SQL}, i AS (SELECT DISTINCT src_file AS a, dst_file AS b FROM e), g AS (SELECT a, b FROM i UNION SELECT b, a FROM i), d1 AS (SELECT DISTINCT b AS path FROM g WHERE a = 's/s7'),

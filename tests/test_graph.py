@@ -277,3 +277,14 @@ def test_walk(tmp_path, spark):
 
 def test_imports_schema(spark):
     assert spark.createDataFrame([], INDEX_IMPORTS).columns == ["repo_path", "file_path", "import_path"]
+
+
+def test_edges_are_checked_by_their_ends(spark, monkeypatch):
+    """Edges are joined with the symbols only to name one that has a missing end."""
+    refs = spark.createDataFrame([("r", "a", "f", "b", "g", "call")] * 2, "repo_path string, src_file string, src_name string, dst_file string, dst_name string, kind string")
+    symbols = spark.createDataFrame([("r", "a", "f"), ("r", "b", "g"), ("r", "b", "g")], "repo_path string, file_path string, name string")
+    for lost in ("file_path = 'a'", "name = 'g'"):
+        with pytest.raises(ValueError, match="unknown end: .*'src_file': 'a'"):
+            graph.check_refs(refs, symbols.where(f"not ({lost})"))
+    monkeypatch.setattr(graph, "dangling", None)
+    graph.check_refs(refs, symbols)

@@ -200,3 +200,46 @@ def test_a_large_frontier_prunes_the_links(spark, large, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "might_contain" in plans[1]
     assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold") != "0"
+
+
+def torn(spark, root):
+    """An index of two generations, of which the first has lost a directory to the second and another to a deletion."""
+    dirs = {d: [f"f{i}" for i in range(30)] for d in "abc"}
+    edges = [(f"{d}/f{i}", f"{e}/f{(i * 7 + 1) % 30}") for d in dirs for e in dirs for i in range(30)]
+    index, later = Index(spark, root), [(a, b) for a, b in edges if a[0] == "a" and a < "a/f2"]
+    index.replace("r", list(dirs), tables(spark, "r", dirs, edges))
+    index.replace("r", ["a"], tables(spark, "r", {"a": dirs["a"]}, later))
+    index.delete("r", "c")
+    return index, sorted(later + [(a, b) for a, b in edges if a[0] == "b"])
+
+
+def test_torn_generations_are_read_where_they_lie(spark, tmp_path):
+    """The few directories that are left are broadcast: neither lookups nor links deal out the edges of an index."""
+    index, want = torn(spark, str(tmp_path))
+    rows = index.read("index_refs", "r")
+    assert sorted((r.src_file, r.dst_file) for r in rows.collect()) == want
+    for df in (rows, index.links("r")):
+        assert "SortMergeJoin" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
+    assert {r.path: r.distance for r in index.impact_set("r", ["a/f0"], 2).collect()} == reach(want, ["a/f0"], 2)
+    assert "index_links" not in fs.names(spark, str(tmp_path))  # edges by source and by target are the links
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_large_generations_are_not_sorted_again(spark, tmp_path, monkeypatch, few):
+    from mergelens.plans import index as module
+
+    index, want = torn(spark, str(tmp_path))
+    monkeypatch.setattr(module, "LARGE", 1)
+    monkeypatch.setattr(module, "FEW", few)
+    index, sorted_ = Index(spark, str(tmp_path)), []
+    ranged = type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda self, *a: (sorted_.append(a), ranged(self, *a))[1])
+    index.compact()
+    assert bool(sorted_) == (not few)  # beyond what may be broadcast all that is torn is sorted
+    assert list(index._current()[1].values()) == [True]
+    for table in ("index_refs", "index_refs_into"):
+        assert sorted((r.src_file, r.dst_file) for r in index.read(table, "r").collect()) == want
+        for f in index.read(table, "r").inputFiles():
+            part = [tuple(r) for r in spark.read.parquet(f).select(*(["src_file", "src_name"] if table == "index_refs" else ["dst_file", "dst_name"])).collect()]
+            assert sum(x > y for x, y in zip(part, part[1:], strict=False)) < 8  # whole runs, one for each file that was read
+    assert sorted(r.file for r in index.callers("r", "b/f1", "run").collect()) == sorted(a for a, b in want if b == "b/f1")
