@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,25 +84,32 @@ class Index:
             out = out.unionByName(pick(self._read(table, torn)).join(left, ["repo_path", "dir", "gen"], "left_semi"))
         return out.drop("gen")
 
-    def _write(self, table: str, df: DataFrame, gen: str, one: bool = True, ordered: bool = False) -> None:
-        """Adds rows to a generation, sorted, or in the order that they come in (``ordered``). ``one``: they are of one
-        repository, which is then left out of the order: what all rows share tells a sort nothing, but makes it compare them whole."""
+    def _write(self, table: str, df: DataFrame, gen: str, repo: str | None = None, ordered: bool = False, ranges: bool = True) -> None:
+        """Adds rows to a generation, sorted, or in the order that they come in (``ordered``). ``repo``: all are of this
+        repository, which travels with none of them and is no part of the order. Sorted rows are dealt out by ranges of the
+        order, for which Spark reads them once more, or by its hash."""
         schema, order, blooms = TABLES[table]
-        rows = df.select(*[c.split()[0] for c in schema.split(", ")], "dir")
+        names = [*[c.split()[0] for c in schema.split(", ")], "dir"]
+        rows = df.select(*names)
+        if repo is not None:
+            rows, order = rows.drop("repo_path"), [c for c in order if c != "repo_path"]
         if not ordered:
-            rows = rows.repartitionByRange(*order[one:]).sortWithinPartitions(*order[one:])
+            rows = (rows.repartitionByRange(*order) if ranges else rows.repartition(*order)).sortWithinPartitions(*order)
+        if repo is not None:
+            rows = rows.select(*[F.lit(repo).alias(c) if c == "repo_path" else c for c in names])
         writer = rows.write.mode("append")
         for c in blooms:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.options(**{"parquet.bloom.filter.adaptive.enabled": "true"} | self.options).parquet(f"{self.root}/{table}/gen={gen}")
 
-    def replace(self, repo: str, dirs: Iterable[str], tables: dict[str, DataFrame]) -> int:
+    def replace(self, repo: str, dirs: Iterable[str], tables: dict[str, DataFrame], ordered: Collection[str] = ()) -> int:
         """Replaces directories whole in all tables; those that get no file are gone. ``tables`` are files, symbols, refs and
-        imports with ``dir``. All of it becomes visible with one commit. Returns the version."""
+        imports with ``dir``; those that ``ordered`` names come sorted, or in a few sorted runs a partition, and are written as
+        they lie. The others are dealt out by hash and sorted. All of it becomes visible with one commit. Returns the version."""
         gen, refs = uuid.uuid4().hex, tables["index_refs"]
         own = digests(tables["index_files"]).withColumn("repo_path", F.lit(repo))
         rows = {**tables, "index_refs_into": refs, "index_digests": own}
-        _each(lambda name: self._write(name, rows[name], gen), rows)
+        _each(lambda name: self._write(name, rows[name], gen, repo, name in ordered, ranges=False), rows)
         there = {r.dir for r in self._read("index_files", [gen]).select("dir").distinct().collect()}  # a row a changed directory
         version = self.log.commit(gen, [(repo, d, d in there) for d in sorted(set(dirs))])
         if len(self._current()[1]) > self.most:
@@ -119,7 +126,8 @@ class Index:
         state, gens = self._current()
         if not gens:
             return self.log.version()
-        gen, one = uuid.uuid4().hex, len(state.select("repo_path").distinct().limit(2).collect()) < 2
+        gen, repos = uuid.uuid4().hex, [r.repo_path for r in state.select("repo_path").distinct().limit(2).collect()]
+        one = repos[0] if len(repos) == 1 else None
 
         def write(name: str) -> None:
             large = [g for g in gens if (gens[g] or self._known[3]) and fs.size(self.spark, f"{self.root}/{name}/gen={g}") >= LARGE]

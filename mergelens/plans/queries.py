@@ -513,16 +513,15 @@ def _stored_index(spark: SparkSession, d: str) -> Store:
     store = Store(spark, f"{shared_dir(spark)}/mergelens/index-query-{uuid.uuid4().hex}")
     o, li, c, s = (_table(spark, d, t) for t in ("orders", "lineitem", "customer", "supplier"))
     own = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
-    bought = li.join(o, li.l_orderkey == o.o_orderkey).select("o_custkey", "o_orderpriority", "l_suppkey", "l_returnflag")
-    bought = bought.repartition("o_custkey").distinct().join(c, F.col("o_custkey") == F.col("c_custkey"))  # a file's edges side by side
+    placed = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey", "c_custkey", "o_orderpriority")
+    bought = li.join(placed, li.l_orderkey == placed.o_orderkey).select("c_nationkey", "c_custkey", "o_orderpriority", "l_suppkey", "l_returnflag")
+    bought = bought.repartition("c_custkey").distinct()  # a file's edges side by side
     file = F.concat(own, F.lit("/c"), F.col("c_custkey").cast("string"))
     goods = F.concat(F.lit("s/s"), F.col("s_suppkey").cast("string"))
     repo = F.lit("r").alias("repo_path")
-    edges = bought.select(
-        repo, own.alias("dir"), file.alias("src_file"), F.col("o_orderpriority").alias("src_name"), F.concat(F.lit("s/s"), F.col("l_suppkey").cast("string")).alias("dst_file"),
-        F.col("l_returnflag").alias("dst_name"), F.lit("call").alias("kind"), "c_nationkey",
-    )
-    edges = cut(edges, "query-edges")
+    ends = bought.select("c_nationkey", file.alias("src_file"), F.col("o_orderpriority").alias("src_name"), F.concat(F.lit("s/s"), F.col("l_suppkey").cast("string")).alias("dst_file"), F.col("l_returnflag").alias("dst_name"))
+    ends = cut(ends.sortWithinPartitions("src_file", "src_name"), "query-edges")
+    edges = ends.select(repo, own.alias("dir"), "src_file", "src_name", "dst_file", "dst_name", F.lit("call").alias("kind"), "c_nationkey")
     files = c.select(repo, own.alias("dir"), file.alias("path"), "c_nationkey").union(s.select(repo, F.lit("s").alias("dir"), goods.alias("path"), F.lit(None)))
     flags = F.array(*[F.lit(r.dst_name) for r in edges.select("dst_name").distinct().collect()])  # R, A and N
     symbols = edges.select(repo, "dir", F.col("src_file").alias("file_path"), F.col("src_name").alias("name"), "c_nationkey").distinct()
@@ -536,11 +535,11 @@ def _stored_index(spark: SparkSession, d: str) -> Store:
             "index_symbols": part["index_symbols"].select("repo_path", "dir", "file_path", "name", F.lit("func").alias("kind"), F.lit(1).alias("line")),
             "index_refs": part["index_refs"].drop("c_nationkey"),
             "index_imports": part["index_files"].select("repo_path", "dir", F.col("path").alias("file_path"), F.lit("os").alias("import_path")),
-        })
+        }, ordered=["index_refs"])
 
     nations = sorted(r.c_nationkey for r in c.select("c_nationkey").distinct().collect())  # a row a directory
     put("true", ["s", *[f"n{k}" for k in nations]])
-    edges = edges.where("dst_name = 'R'")
+    edges = cut(edges.where("dst_name = 'R' and c_nationkey % 3 = 0"), "query-returned")
     put("c_nationkey % 3 = 0", [f"n{k}" for k in nations if k % 3 == 0])
     store.delete_dirs("r", *[f"n{k}" for k in nations if k % 5 == 4])
     return store

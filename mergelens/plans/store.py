@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -151,11 +151,11 @@ class Store:
         """dir, own: the digests of a repository's directories, see ``operators.sync.digests``."""
         return self.index.read("index_digests", repo).select("dir", "own")
 
-    def replace_dirs(self, repo: str, dirs: Iterable[str], tables: dict[str, DataFrame]) -> None:
+    def replace_dirs(self, repo: str, dirs: Iterable[str], tables: dict[str, DataFrame], ordered: Collection[str] = ()) -> None:
         """Replaces directories whole in all tables of the index; those that get no file are gone. Raises ValueError, and
-        changes nothing, if an edge has an unknown end."""
+        changes nothing, if an edge has an unknown end. ``ordered`` names tables that come sorted."""
         check_refs(tables["index_refs"], tables["index_symbols"])
-        self.index.replace(repo, dirs, tables)
+        self.index.replace(repo, dirs, tables, ordered)
 
     def delete_dirs(self, repo: str, *folders: str) -> None:
         """With one commit."""

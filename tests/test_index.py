@@ -243,3 +243,44 @@ def test_large_generations_are_not_sorted_again(spark, tmp_path, monkeypatch, fe
             part = [tuple(r) for r in spark.read.parquet(f).select(*(["src_file", "src_name"] if table == "index_refs" else ["dst_file", "dst_name"])).collect()]
             assert sum(x > y for x, y in zip(part, part[1:], strict=False)) < 8  # whole runs, one for each file that was read
     assert sorted(r.file for r in index.callers("r", "b/f1", "run").collect()) == sorted(a for a, b in want if b == "b/f1")
+
+
+def test_a_small_frontier_is_asked_of_the_scan(large, monkeypatch):
+    """A step from few files reads the row groups that hold them, not all links."""
+    index, edges = large
+    read = []
+    monkeypatch.setattr(graph, "cut_counted", lambda df, label: (read.append(scanned(df)), _cut(df, label))[1])
+    from mergelens.functions.lineage import cut_counted as _cut
+
+    got = {r.path: r.distance for r in index.impact_set("r", ["p/f1"], 1).collect()}
+    assert got == reach(edges, ["p/f1"], 1) and len(read) == 2
+    assert read[1] <= len(edges) / 4  # of twice as many links
+    assert index.spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold") == "10"
+
+
+def test_a_replacement_reads_its_rows_once(spark, tmp_path, monkeypatch):
+    """Tables that come sorted are written as they lie, the others are sorted without a first reading for ranges."""
+    dirs = {"p": [f"f{i}" for i in range(50)]}
+    edges = sorted((f"p/f{i}", f"p/f{i * 7 % 50}") for i in range(50))
+    kind, dealt = type(spark.range(1)), []
+    for name in ("repartition", "repartitionByRange"):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), name=name: (dealt.append((name, a)), f(self, *a))[1])
+    index, given = Index(spark, str(tmp_path)), tables(spark, "r", dirs, edges)
+    index.replace("r", ["p"], {**given, "index_refs": given["index_refs"].coalesce(1)}, ordered=["index_refs"])
+    assert sorted(a[0] for _, a in dealt) == ["dir", "dst_file", "file_path", "file_path", "path"] and {n for n, _ in dealt} == {"repartition"}
+    for table, key in (("index_refs", "src_file"), ("index_refs_into", "dst_file")):
+        rows = index.read(table, "r")
+        assert sorted((r.repo_path, r.src_file, r.dst_file, r.dir) for r in rows.collect()) == [("r", a, b, "p") for a, b in edges]
+        for f in rows.inputFiles():
+            part = [r[0] for r in spark.read.parquet(f).select(key).collect()]
+            assert part == sorted(part)
+
+
+def test_edges_with_an_unknown_end(spark):
+    refs, symbols = (tables(spark, "r", {"p": ["a", "b"]}, [("p/a", "p/b"), ("p/b", "p/a")])[k] for k in ("index_refs", "index_symbols"))
+    graph.check_refs(refs, symbols)
+    for end in ("p/a", "p/b"):
+        with pytest.raises(ValueError, match=end):
+            graph.check_refs(refs.where(f"src_file = '{end}'"), symbols.where(f"file_path <> '{end}'"))
+        with pytest.raises(ValueError, match=end):
+            graph.check_refs(refs.where(f"dst_file = '{end}'"), symbols.where(f"file_path <> '{end}'"))
